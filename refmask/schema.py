@@ -1,20 +1,17 @@
-"""Schemas of the tables that jobs read and write."""
+"""Schemas (DDL) of the tables that jobs read and write."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 from refmask.functions.redact import ENTRIES_TYPE
 from refmask.functions.typos import FINDINGS_TYPE
 
-SCRIPTS = T.StructType.fromDDL("script_id BIGINT, text STRING, mode STRING")
-TEXTS = T.StructType.fromDDL("script_id BIGINT, text STRING")
+SCRIPTS = "script_id BIGINT, text STRING, mode STRING"
+TEXTS = "script_id BIGINT, text STRING"
 # One row per script: what a redaction job produces. The long tables are explodes of it.
-ANNOTATED = T.StructType.fromDDL(
+ANNOTATED = (
     "script_id BIGINT, mode STRING, status STRING, text STRING, "
     f"entries {ENTRIES_TYPE}, findings {FINDINGS_TYPE}"
 )
-RESTORED = T.StructType.fromDDL("script_id BIGINT, status STRING, text STRING")
-OPTIONS = T.StructType.fromDDL("mode STRING, redact_columns BOOLEAN")
+RESTORED = "script_id BIGINT, status STRING, text STRING"
 
 KEYS = ("script_id",)
