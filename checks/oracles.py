@@ -96,8 +96,13 @@ def prose_redacted(corpus: str) -> str:
 
 
 def prose_restored(corpus: str) -> str:
-    """Every name comes back in the first spelling its script uses."""
-    return f"WITH {prose_redacted_ctes(corpus, 'original')} SELECT script_id, text FROM redacted"
+    """Every name comes back in the first spelling its script uses; no mapping, no text."""
+    return (
+        f"WITH {prose_redacted_ctes(corpus, 'original')} SELECT r.script_id, "
+        "CASE WHEN f.script_id IS NULL THEN 'no_mapping' ELSE 'ok' END AS status, "
+        "CASE WHEN f.script_id IS NOT NULL THEN text END AS text FROM redacted r "
+        "LEFT JOIN (SELECT DISTINCT script_id FROM firsts) f ON f.script_id = r.script_id"
+    )
 
 
 def prose_mapping(corpus: str) -> str:

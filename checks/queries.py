@@ -127,7 +127,7 @@ _HINT = oc._q(
 )
 def b1_detect_mode(spark, sf_dir):
     texts = co.frame(spark, sf_dir, co.ALL_TEXTS)
-    return texts.select("source", "script_id", tx.detect_mode(F.col("text")).alias("mode"))
+    return texts.select("source", "script_id", F.expr(tx.detect_mode("text")).alias("mode"))
 
 
 _REQUESTED = (
@@ -178,7 +178,7 @@ _SPELLINGS = (
 )
 def c1_canonical_refs(spark, sf_dir):
     refs = co.frame(spark, sf_dir, _SPELLINGS)
-    return refs.select("script_id", tx.canonical_ref(F.col("ref")).alias("canon"))
+    return refs.select("script_id", F.expr(tx.canonical_ref("ref")).alias("canon"))
 
 
 _QUOTED_NAMES = (
@@ -192,7 +192,7 @@ _QUOTED_NAMES = (
 )
 def c3_unquoted_names(spark, sf_dir):
     names = co.frame(spark, sf_dir, _QUOTED_NAMES)
-    return names.select("script_id", tx.strip_identifier_quotes(F.col("name")).alias("name"))
+    return names.select("script_id", F.expr(tx.strip_identifier_quotes("name")).alias("name"))
 
 
 @query(
@@ -457,17 +457,19 @@ def f6_restore_roundtrip(spark, sf_dir):
 @query(oc.prose_restored(co.PROSE_SCRIPTS))
 def f6_restore_prose(spark, sf_dir):
     job = redact_corpus(co.frame(spark, sf_dir, co.PROSE_SCRIPTS))
-    return rs.restore_with_entries(job.annotated).select(
-        "script_id", F.coalesce("text", F.lit("")).alias("text")
-    )
+    return rs.restore_with_entries(job.annotated)
+
+
+_RESTORED = (
+    "replace(replace(replace(replace(text, 'redacted.Table_10', '?'), 'redacted.Table_1', "
+    f"{co.ORDER_TABLE}), 'redacted.Table_2', {co.PRIORITY_TABLE}), '?', 'redacted.Table_10')"
+)
 
 
 @query(
     "SELECT script_id, CASE WHEN script_id % 10 = 3 THEN 'blank' ELSE 'ok' END AS status, "
-    "CASE WHEN script_id % 10 <> 3 THEN replace(replace(replace(text, 'redacted.Table_10', 'ten'), 'redacted.Table_1', a), 'redacted.Table_2', b) END AS text "
-    f"FROM (SELECT script_id, text, {co.ORDER_TABLE} AS a, {co.PRIORITY_TABLE} AS b FROM ({co.EDITED_SCRIPTS}) JOIN orders ON o_orderkey = script_id)"
-    .replace("replace(replace(replace(text", "replace(replace(replace(replace(text")
-    .replace("'redacted.Table_2', b)", "'redacted.Table_2', b), 'ten', 'redacted.Table_10')")
+    f"CASE WHEN script_id % 10 <> 3 THEN {_RESTORED} END AS text "
+    f"FROM ({co.EDITED_SCRIPTS}) JOIN orders ON o_orderkey = script_id"
 )
 def f6_restore_edited(spark, sf_dir):
     job = _sql(spark, sf_dir)

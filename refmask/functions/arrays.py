@@ -7,136 +7,111 @@ usual "search the list for every element" into 10^10 comparisons.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from refmask.functions.sqltext import keep_if, let, struct, transform, when
 
 # Up to this many distinct values a linear search beats sorting. Only the speed depends on it.
 LINEAR_SEARCH_MAX = 128
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once per row and hand it to ``body``.
-
-    The optimiser may copy a projected expression into a lambda of the next projection, where it
-    would run once per element; a lambda variable is never copied.
-    """
-    return F.transform(F.array(value), body)[0]
-
-
-def first_seen_numbers(keys: Column) -> Column:
-    """Number the distinct non-null ``keys`` 1, 2, … by first appearance; NULL keys give NULL."""
+def first_seen(keys: str) -> str:
+    """The distinct non-null ``keys`` in order of appearance, as ``{pos, key}`` with 0-based pos."""
 
-    def numbered(distinct: Column) -> Column:
-        searched = F.transform(keys, lambda key: F.array_position(distinct, key).cast("int"))
-        return F.when(F.size(distinct) <= LINEAR_SEARCH_MAX, searched).otherwise(
-            _numbers_by_sorting(keys)
+    def by_search(distinct: str) -> str:
+        return transform(
+            distinct, lambda key: struct(pos=f"int(array_position({keys}, {key}) - 1)", key=key)
         )
 
-    return let(F.array_distinct(F.array_compact(keys)), numbered)
+    def by_sorting(entries: str) -> str:
+        heads = keep_if(entries, lambda e, i: f"{e}.key IS NOT NULL AND {_starts_run(entries, e, i)}")
+        return f"sort_array({transform(heads, lambda h: struct(pos=f'{h}.pos', key=f'{h}.key'))})"
 
-
-def _numbers_by_sorting(keys: Column) -> Column:
-    entries = F.sort_array(
-        F.transform(keys, lambda key, pos: F.struct(key.alias("key"), pos.alias("pos")))
+    return let(
+        f"array_distinct(array_compact({keys}))",
+        lambda distinct: when(
+            f"size({distinct}) <= {LINEAR_SEARCH_MAX}",
+            by_search(distinct),
+            let(_sorted_with_positions(keys), by_sorting),
+        ),
     )
 
-    def from_sorted(entries: Column) -> Column:
-        marked = F.transform(
-            entries,
-            lambda e, i: F.struct(
-                e.key.alias("key"),
-                e.pos.alias("pos"),
-                i.alias("start"),
-                ((i == 0) | ~F.get(entries, i - 1).key.eqNullSafe(e.key)).alias("head"),
-            ),
-        )
-        return let(F.filter(marked, lambda e: e.head), lambda heads: from_heads(entries, heads))
 
-    def from_heads(entries: Column, heads: Column) -> Column:
-        # One run of equal keys per head; runs sorted by their first position get their numbers,
-        # NULL keys sort last of all and get none.
-        runs = F.sort_array(
-            F.transform(
-                heads,
-                lambda h, i: F.struct(
-                    h.key.isNull().alias("skipped"),
-                    h.pos.alias("pos"),
-                    h.start.alias("start"),
-                    F.coalesce(F.get(heads, i + 1).start, F.size(entries)).alias("end"),
-                ),
-            )
-        )
-        numbered = F.transform(
-            runs,
-            lambda run, n: F.transform(
-                F.sequence(run.start, run.end - 1),
-                lambda i: F.struct(
-                    F.get(entries, i).pos.alias("pos"),
-                    F.when(~run.skipped, n + 1).alias("n"),
-                ),
-            ),
-        )
-        return F.transform(F.sort_array(F.flatten(numbered)), lambda e: e.n)
+def first_seen_numbers(keys: str) -> str:
+    """Number the distinct non-null ``keys`` 1, 2, … by first appearance; NULL keys give NULL."""
+    return let(
+        f"array_distinct(array_compact({keys}))",
+        lambda distinct: when(
+            f"size({distinct}) <= {LINEAR_SEARCH_MAX}",
+            transform(keys, lambda key: f"int(array_position({distinct}, {key}))"),
+            _numbers_by_sorting(keys),
+        ),
+    )
 
-    return let(entries, from_sorted)
 
+def lookup(keys: str, names: str, values: str) -> str:
+    """For each of ``keys`` the element of ``values`` next to it in ``names``, NULL if absent.
 
-def first_seen(keys: Column) -> Column:
-    """The distinct non-null ``keys`` in order of appearance, as ``{pos, key}`` with 0-based pos."""
+    ``names`` are distinct and as many as ``values``.
+    """
+
+    def bound(b: str) -> str:
+        # Numbering names and keys together gives every known key the index of its name.
+        def by_numbering(numbers: str) -> str:
+            return transform(
+                f"{b}.keys",
+                lambda key, i: f"get({b}.values, get({numbers}, {i} + size({b}.names)) - 1)",
+            )
 
-    def by_search(distinct: Column) -> Column:
-        return F.transform(
-            distinct,
-            lambda key: F.struct(
-                (F.array_position(keys, key) - 1).cast("int").alias("pos"), key.alias("key")
+        return when(
+            f"size({b}.names) <= {LINEAR_SEARCH_MAX}",
+            transform(
+                f"{b}.keys",
+                lambda key: f"get({b}.values, int(array_position({b}.names, {key}) - 1))",
             ),
+            let(_numbers_by_sorting(f"concat({b}.names, {b}.keys)"), by_numbering),
         )
 
-    def by_sorting(entries: Column) -> Column:
-        heads = F.filter(
-            entries, lambda e, i: (i == 0) | (F.get(entries, i - 1).key != e.key)
-        )
-        return F.sort_array(
-            F.transform(heads, lambda h: F.struct(h.pos.alias("pos"), h.key.alias("key")))
-        )
+    return let(struct(keys=keys, names=names, values=values), bound)
 
-    def choose(distinct: Column) -> Column:
-        entries = F.filter(
-            F.sort_array(
-                F.transform(keys, lambda key, pos: F.struct(key.alias("key"), pos.alias("pos")))
-            ),
-            lambda e: e.key.isNotNull(),
-        )
-        return F.when(F.size(distinct) <= LINEAR_SEARCH_MAX, by_search(distinct)).otherwise(
-            let(entries, by_sorting)
-        )
 
-    return let(F.array_distinct(F.array_compact(keys)), choose)
+def _sorted_with_positions(keys: str) -> str:
+    return f"sort_array({transform(keys, lambda key, i: struct(key=key, pos=i))})"
 
 
-def lookup(keys: Column, names: Column, values: Column) -> Column:
-    """For each of ``keys`` the element of ``values`` next to it in ``names``, NULL if absent.
+def _starts_run(entries: str, entry: str, i: str) -> str:
+    return f"({i} = 0 OR NOT (get({entries}, {i} - 1).key <=> {entry}.key))"
 
-    ``names`` are distinct and as many as ``values``.
-    """
 
-    def bound(b: Column) -> Column:
-        searched = F.transform(
-            b.keys, lambda key: F.get(b.values, (F.array_position(b.names, key) - 1).cast("int"))
+def _numbers_by_sorting(keys: str) -> str:
+    def from_sorted(entries: str) -> str:
+        marked = transform(
+            entries,
+            lambda e, i: struct(
+                key=f"{e}.key", pos=f"{e}.pos", start=i, head=_starts_run(entries, e, i)
+            ),
         )
+        return let(keep_if(marked, lambda e: f"{e}.head"), lambda heads: from_heads(entries, heads))
 
-        # Numbering names and keys together gives every known key the index of its name.
-        def by_numbering(numbers: Column) -> Column:
-            return F.transform(
-                b.keys, lambda key, i: F.get(b.values, F.get(numbers, i + F.size(b.names)) - 1)
-            )
-
-        return F.when(F.size(b.names) <= LINEAR_SEARCH_MAX, searched).otherwise(
-            let(_numbers_by_sorting(F.concat(b.names, b.keys)), by_numbering)
+    def from_heads(entries: str, heads: str) -> str:
+        # One run of equal keys per head; runs sorted by their first position get their numbers,
+        # NULL keys sort last of all and get none.
+        runs = transform(
+            heads,
+            lambda h, i: struct(
+                skipped=f"{h}.key IS NULL",
+                pos=f"{h}.pos",
+                start=f"{h}.start",
+                stop=f"coalesce(get({heads}, {i} + 1).start, size({entries}))",
+            ),
+        )
+        numbered = transform(
+            f"sort_array({runs})",
+            lambda run, n: transform(
+                f"sequence({run}.start, {run}.stop - 1)",
+                lambda i: struct(
+                    pos=f"get({entries}, {i}).pos", n=when(f"NOT {run}.skipped", f"{n} + 1")
+                ),
+            ),
         )
+        return transform(f"sort_array(flatten({numbered}))", lambda e: f"{e}.n")
 
-    return let(
-        F.struct(keys.alias("keys"), names.alias("names"), values.alias("values")), bound
-    )
+    return let(_sorted_with_positions(keys), from_sorted)

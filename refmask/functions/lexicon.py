@@ -82,6 +82,9 @@ TYPOS_HEADING = "Potential SQL typos:"
 
 # White space as the web platform defines it; Java's \s and \b differ, so neither is used.
 SPACE = "[\\t\\n\\x0B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]"
+_NOT_SPACE = "[^" + SPACE[1:]
+NOT_SPACE = _NOT_SPACE
+NEWLINE = r"\r\n?"
 WORD_START = "(?<![A-Za-z0-9_])"
 WORD_END = "(?![A-Za-z0-9_])"
 
@@ -161,6 +164,12 @@ SQL_COLUMN = (
 )
 # The left identifier of a matched pair and the dot after it.
 COLUMN_HEAD = rf"\A({_BARE}){_DOT}"
+# Pairs that are placeholders, or could be taken for one.
+_NUMBERED = "(?i:Table|Col)_[0-9]++"
+RESERVED_PAIR = (
+    rf"\A(?:(?i:redacted)(?![A-Za-z0-9_$#])"
+    rf"|{_BARE}{_DOT}(?:{_NUMBERED}|\"{_NUMBERED}\"|`{_NUMBERED}`|\[{_NUMBERED}\])\z)"
+)
 
 # -- PySpark tables ----------------------------------------------------------------------------
 _CALL = (
@@ -170,10 +179,14 @@ PYSPARK_TABLE = (
     rf"(?i)(?=[s.])(?<lead>{_CALL}{SPACE}*+\({SPACE}*+(?<quote>[\"']))"
     r"(?<ref>[^\"'\\\r\n]++)(?=\k<quote>)"
 )
+# A name with a dot and, padding aside, no white space.
+PYSPARK_NAME = (
+    rf"\A{SPACE}*+{_NOT_SPACE[:-1]}.]*+\.{_NOT_SPACE}*+{SPACE}*+\z"
+)
 _PYSPARK_HINT_CALLS = (
     f"{WORD_START}spark{_DOT}(?:read{_DOT})?table|\\.{SPACE}*+write{_DOT}(?:saveAsTable|insertInto)"
 )
-PYSPARK_HINT = rf"(?i)(?:{_PYSPARK_HINT_CALLS}){SPACE}*+\("
+PYSPARK_HINT = rf"(?i)(?=[s.])(?:{_PYSPARK_HINT_CALLS}){SPACE}*+\("
 
 # -- placeholders ------------------------------------------------------------------------------
 _PLACEHOLDER = r"redacted\.(?:Table|Col)_[0-9]+"
@@ -181,12 +194,12 @@ PLACEHOLDER = f"(?i)(?<ref>{_PLACEHOLDER})"
 PLACEHOLDER_WORD = f"{WORD_START}(?i)(?<ref>{_PLACEHOLDER}){WORD_END}"
 PLACEHOLDER_KEY = rf"(?i)\A{_PLACEHOLDER}\z"
 IS_TABLE_PLACEHOLDER = r"(?i)\Aredacted\.Table_[0-9]+\z"
-IS_PLACEHOLDER_PART = r"(?i)\A(?:Table|Col)_[0-9]+\z"
 # Numbers of the placeholders a script already contains, spelled the way restoring looks for them.
 TABLE_NUMBERS = rf"{WORD_START}redacted\.Table_([0-9]+){WORD_END}"
 COLUMN_NUMBERS = rf"{WORD_START}redacted\.Col_([0-9]+){WORD_END}"
 
-# -- white space -------------------------------------------------------------------------------
+# -- quotes and white space -------------------------------------------------------------------------------
+IDENTIFIER_QUOTES = r'(?s)\A(?:"(.*)"|`(.*)`|\[(.*)\])\z'
 OUTER_SPACE = rf"\A{SPACE}++|{SPACE}++\z"
 # Quoted parts are captured and put back, so only white space outside quotes goes.
 SPACE_OUTSIDE_QUOTES = rf'("[^"]*+(?:""[^"]*+)*+"|`[^`]*+`|\[[^\]]*+\])|{SPACE}++'
@@ -194,7 +207,9 @@ SPACE_OUTSIDE_QUOTES = rf'("[^"]*+(?:""[^"]*+)*+"|`[^`]*+`|\[[^\]]*+\])|{SPACE}+
 # -- misspellings ------------------------------------------------------------------------------
 def typo_pattern(rules) -> str:
     """Any of the misspellings of ``rules``, each as whole words."""
-    return f"(?i){WORD_START}(?<ref>" + "|".join(_phrase(bad) for bad, _ in rules) + f"){WORD_END}"
+    first_letters = "".join(sorted({bad[0] for bad, _ in rules}))
+    words = "|".join(_phrase(bad) for bad, _ in rules)
+    return f"(?i)(?=[{first_letters}]){WORD_START}(?<ref>{words}){WORD_END}"
 
 
 ANY_TYPO = typo_pattern(TYPO_RULES)

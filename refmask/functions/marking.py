@@ -7,53 +7,49 @@ expression pass, from which joining gives back the text byte for byte.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from collections.abc import Callable
 
-from refmask.functions.arrays import let
+from refmask.functions.sqltext import keep_if, let, literal, pattern, transform, when
 
 # Unicode non-characters: reserved for internal use, never in exchanged text. A text that has them
 # nevertheless gets marks extended by its own hash, which it cannot contain.
-_OPEN = "﷐"
-_CLOSE = "﷑"
+OPEN = literal("﷐")
+CLOSE = literal("﷑")
 
 
-def with_marks(text: Column, body) -> Column:
+def with_marks(text: str, body: Callable[[str, str], str]) -> str:
     """``body(open, close)`` with two marks that do not occur in ``text``."""
-    tag = F.when(text.contains(_OPEN) | text.contains(_CLOSE), F.sha2(text, 256)).otherwise("")
-    return let(tag, lambda t: body(F.concat(F.lit(_OPEN), t), F.concat(F.lit(_CLOSE), t)))
+    tag = when(
+        f"contains({text}, {OPEN}) OR contains({text}, {CLOSE})", f"sha2({text}, 256)", "''"
+    )
+    return let(tag, lambda tag: body(f"({OPEN} || {tag})", f"({CLOSE} || {tag})"))
 
 
-def cut(text: Column, pattern: str, keep: str = "") -> Column:
+def cut(text: str, regex: str, keep: str = "") -> str:
     """``[text, match, text, …]``: odd elements are the group ``ref`` of each match.
 
     ``keep`` names (as replacement text) the groups that stay in the text before the reference. A
     match without a reference leaves an empty odd element.
     """
-    return with_marks(
-        text,
-        lambda mark, _: F.split(
-            F.regexp_replace(
-                text, F.lit(pattern), F.concat(F.lit(keep), mark, F.lit("${ref}"), mark)
-            ),
-            mark,
-        ),
-    )
+
+    def marked(mark: str, _: str) -> str:
+        template = f"{literal(keep)} || {mark} || {literal('${ref}')} || {mark}"
+        return f"split(regexp_replace({text}, {pattern(regex)}, {template}), {mark})"
+
+    return with_marks(text, marked)
 
 
-def matches(parts: Column) -> Column:
+def matches(parts: str) -> str:
     """The odd elements of a cut text."""
-    return F.filter(parts, lambda _, i: i.bitwiseAND(F.lit(1)) == 1)
+    return keep_if(parts, lambda _, i: f"{i} & 1 = 1")
 
 
-def join(parts: Column, replacements: Column) -> Column:
+def join(parts: str, replacements: str) -> str:
     """A cut text with its matches replaced; a NULL replacement keeps the match."""
-    return F.array_join(
-        F.transform(
-            parts,
-            lambda part, i: F.when(i.bitwiseAND(F.lit(1)) == 0, part).otherwise(
-                F.coalesce(F.get(replacements, F.shiftright(i, 1)), part)
-            ),
+    pieces = transform(
+        parts,
+        lambda part, i: when(
+            f"{i} & 1 = 0", part, f"coalesce(get({replacements}, shiftright({i}, 1)), {part})"
         ),
-        "",
     )
+    return f"array_join({pieces}, '')"

@@ -1,6 +1,6 @@
-"""Redaction of one text as a column expression.
+"""Redaction of one text as an expression.
 
-Each function returns ``struct<text, entries>`` where ``entries`` is the script's dictionary:
+Each function gives ``struct<text, entries>`` where ``entries`` is the script's dictionary:
 ``array<struct<n, placeholder, kind, original, canon>>`` in order of numbering. Everything is local
 to the row, so redacting a corpus needs no shuffle and works on streams unchanged.
 """
@@ -9,34 +9,34 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from refmask.functions import lexicon as lx
 from refmask.functions import text as tx
-from refmask.functions.arrays import first_seen, first_seen_numbers, let
+from refmask.functions.arrays import first_seen, first_seen_numbers
 from refmask.functions.marking import cut, join, matches, with_marks
+from refmask.functions.sqltext import keep_if, let, literal, pattern, struct, transform, when
 
 ENTRIES_TYPE = (
     "array<struct<n:int,placeholder:string,kind:string,original:string,canon:string>>"
 )
 REFS_TYPE = "array<struct<pos:int,ref:string,canon:string,accepted:boolean>>"
 
+Expression = Callable[[str], str]
+
 
-def sql_table_key(ref: Column) -> Column:
+def sql_table_key(ref: str) -> str:
     """Key of a table name, NULL where the match stays as it is."""
-    return F.when(tx.is_likely_table(ref), tx.canonical_ref(ref))
+    return when(tx.is_likely_table(ref), tx.canonical_ref(ref))
 
 
-def column_key(pair: Column) -> Column:
-    return F.when((pair != "") & tx.is_likely_column(pair), tx.canonical_ref(tx.column_ref(pair)))
+def column_key(pair: str) -> str:
+    return when(tx.is_likely_column(pair), tx.canonical_ref(tx.column_ref(pair)))
 
 
-def pyspark_table_key(ref: Column) -> Column:
-    return F.when(tx.is_likely_pyspark_table(ref), tx.canonical_ref(tx.strip_space(ref)))
+def pyspark_table_key(ref: str) -> str:
+    return when(tx.is_likely_pyspark_table(ref), tx.canonical_ref(tx.strip_space(ref)))
 
 
-def redact_sql_tables(text: Column) -> Column:
+def redact_sql_tables(text: str) -> str:
     return _redact(
         text,
         parts=cut(text, lx.SQL_TABLE, keep="${keep}${lead}"),
@@ -48,7 +48,7 @@ def redact_sql_tables(text: Column) -> Column:
     )
 
 
-def redact_sql_columns(text: Column) -> Column:
+def redact_sql_columns(text: str) -> str:
     """Qualified columns; expects a text whose tables are already redacted."""
     return _redact(
         text,
@@ -61,23 +61,22 @@ def redact_sql_columns(text: Column) -> Column:
     )
 
 
-def redact_sql(text: Column, redact_columns: bool = False) -> Column:
+def redact_sql(text: str, redact_columns: bool = False) -> str:
     if not redact_columns:
         return redact_sql_tables(text)
 
-    def columns_of(tables: Column) -> Column:
+    def columns_of(tables: str) -> str:
         return let(
-            redact_sql_columns(tables["text"]),
-            lambda columns: F.struct(
-                columns["text"].alias("text"),
-                F.concat(tables["entries"], columns["entries"]).alias("entries"),
+            redact_sql_columns(f"{tables}.text"),
+            lambda columns: struct(
+                text=f"{columns}.text", entries=f"concat({tables}.entries, {columns}.entries)"
             ),
         )
 
     return let(redact_sql_tables(text), columns_of)
 
 
-def redact_pyspark(text: Column) -> Column:
+def redact_pyspark(text: str) -> str:
     return _redact(
         text,
         parts=cut(text, lx.PYSPARK_TABLE, keep="${lead}"),
@@ -89,106 +88,98 @@ def redact_pyspark(text: Column) -> Column:
     )
 
 
-def redact(text: Column, mode: Column, redact_columns: bool = False) -> Column:
+def redact(text: str, mode: str, redact_columns: bool = False) -> str:
     """Dispatch on the mode of the row; only the chosen branch is evaluated."""
-    return F.when(mode == "pyspark", redact_pyspark(text)).otherwise(
-        redact_sql(text, redact_columns)
-    )
+    return when(f"{mode} = 'pyspark'", redact_pyspark(text), redact_sql(text, redact_columns))
 
 
 def _redact(
-    text: Column,
-    parts: Column,
-    key_of: Callable[[Column], Column],
-    original_of: Callable[[Column], Column],
+    text: str,
+    parts: str,
+    key_of: Expression,
+    original_of: Expression,
     kind: str,
     prefix: str,
     taken: str,
-) -> Column:
-    def from_parts(parts: Column) -> Column:
+) -> str:
+    def from_parts(parts: str) -> str:
         return let(matches(parts), lambda refs: from_refs(parts, refs))
 
-    def from_refs(parts: Column, refs: Column) -> Column:
-        return let(F.transform(refs, key_of), lambda keys: from_keys(parts, refs, keys))
+    def from_refs(parts: str, refs: str) -> str:
+        return let(transform(refs, key_of), lambda keys: from_keys(parts, refs, keys))
 
-    def from_keys(parts: Column, refs: Column, keys: Column) -> Column:
+    def from_keys(parts: str, refs: str, keys: str) -> str:
         return let(
             first_seen(keys),
             lambda firsts: let(
-                _placeholders(text, F.size(firsts), prefix, taken),
+                _placeholders(text, f"size({firsts})", prefix, taken),
                 lambda names: result(parts, refs, keys, firsts, names),
             ),
         )
 
-    def result(
-        parts: Column, refs: Column, keys: Column, firsts: Column, names: Column
-    ) -> Column:
-        entries = F.transform(
+    def result(parts: str, refs: str, keys: str, firsts: str, names: str) -> str:
+        entries = transform(
             firsts,
-            lambda first, i: F.struct(
-                F.substring_index(F.get(names, i), "_", -1).cast("int").alias("n"),
-                F.get(names, i).alias("placeholder"),
-                F.lit(kind).alias("kind"),
-                original_of(F.get(refs, first.pos)).alias("original"),
-                first.key.alias("canon"),
+            lambda first, i: struct(
+                n=f"int(substring_index(get({names}, {i}), '_', -1))",
+                placeholder=f"get({names}, {i})",
+                kind=f"'{kind}'",
+                original=original_of(f"get({refs}, {first}.pos)"),
+                canon=f"{first}.key",
             ),
         )
-        redacted = let(
-            F.transform(first_seen_numbers(keys), lambda n: F.get(names, n - 1)),
-            lambda new: join(parts, new),
+        replacements = transform(first_seen_numbers(keys), lambda n: f"get({names}, {n} - 1)")
+        return struct(
+            text=let(replacements, lambda new: join(parts, new)),
+            entries=f"CAST({entries} AS {ENTRIES_TYPE})",
         )
-        return F.struct(redacted.alias("text"), entries.cast(ENTRIES_TYPE).alias("entries"))
 
     return let(parts, from_parts)
 
 
-def _placeholders(text: Column, count: Column, prefix: str, taken: str) -> Column:
-    """The first ``count`` placeholders whose numbers do not occur in ``text`` yet."""
-    fresh = F.transform(
-        F.sequence(F.lit(0), count), lambda i: F.concat(F.lit(prefix), (i + 1).cast("string"))
-    )
+def _placeholders(text: str, count: str, prefix: str, taken: str) -> str:
+    """At least ``count`` placeholders whose numbers do not occur in ``text`` yet."""
+    fresh = transform(f"sequence(1, {count} + 1)", lambda n: f"'{prefix}' || {n}")
 
-    def around(present: Column) -> Column:
-        numbers = F.transform(
-            F.sequence(F.lit(1), count + F.size(present) + 1), lambda i: i.cast("string")
+    def around(present: str) -> str:
+        numbers = transform(
+            f"sequence(1, {count} + size({present}) + 1)", lambda n: f"string({n})"
         )
-        return F.transform(
-            F.array_except(numbers, present), lambda n: F.concat(F.lit(prefix), n)
+        return transform(
+            f"array_except({numbers}, {present})", lambda n: f"'{prefix}' || {n}"
         )
 
-    return F.when(
-        text.contains(prefix),
-        let(F.regexp_extract_all(text, F.lit(taken), F.lit(1)), around),
-    ).otherwise(fresh)
+    present = f"regexp_extract_all({text}, {pattern(taken)}, 1)"
+    return when(f"contains({text}, '{prefix}')", let(present, around), fresh)
 
 
 # -- references as a list ------------------------------------------------------------------------
 
 
-def sql_table_refs(text: Column) -> Column:
+def sql_table_refs(text: str) -> str:
     """All table hits of a SQL text, ``accepted`` or not, as ``array<struct<pos, ref, canon, …>>``."""
 
-    def listed(mark: Column, bar: Column) -> Column:
-        template = F.concat(
-            F.lit("${keep}${lead}${skiplead}"), mark, F.lit("${ref}"), bar, F.lit("${skip}"), mark
+    def listed(mark: str, bar: str) -> str:
+        template = " || ".join(
+            (literal("${keep}${lead}${skiplead}"), mark, literal("${ref}"), bar, literal("${skip}"), mark)
         )
-        marked = F.regexp_replace(text, F.lit(lx.SQL_TABLE_ALL), template)
-        hits = F.filter(matches(F.split(marked, mark)), lambda hit: hit != bar)
-        return F.transform(
+        marked = f"regexp_replace({text}, {pattern(lx.SQL_TABLE_ALL)}, {template})"
+        hits = keep_if(matches(f"split({marked}, {mark})"), lambda hit: f"{hit} <> {bar}")
+        return transform(
             hits,
-            lambda hit: F.struct(
-                F.replace(hit, bar).alias("ref"), (~hit.startswith(bar)).alias("accepted")
+            lambda hit: struct(
+                ref=f"replace({hit}, {bar}, '')", accepted=f"NOT startswith({hit}, {bar})"
             ),
         )
 
     return _numbered_refs(
         with_marks(text, listed),
-        lambda hit: hit.accepted & tx.is_likely_table(hit.ref),
-        lambda ref: tx.canonical_ref(ref),
+        lambda hit: f"{hit}.accepted AND {tx.is_likely_table(f'{hit}.ref')}",
+        tx.canonical_ref,
     )
 
 
-def column_refs(text: Column) -> Column:
+def column_refs(text: str) -> str:
     return _plain_refs(
         cut(text, lx.SQL_COLUMN, keep="${keep}${lead}"),
         tx.is_likely_column,
@@ -196,7 +187,7 @@ def column_refs(text: Column) -> Column:
     )
 
 
-def pyspark_table_refs(text: Column) -> Column:
+def pyspark_table_refs(text: str) -> str:
     return _plain_refs(
         cut(text, lx.PYSPARK_TABLE, keep="${lead}"),
         tx.is_likely_pyspark_table,
@@ -204,25 +195,22 @@ def pyspark_table_refs(text: Column) -> Column:
     )
 
 
-def table_refs(text: Column, mode: Column) -> Column:
-    return F.when(mode == "pyspark", pyspark_table_refs(text)).otherwise(sql_table_refs(text))
+def table_refs(text: str, mode: str) -> str:
+    return when(f"{mode} = 'pyspark'", pyspark_table_refs(text), sql_table_refs(text))
 
 
-def _plain_refs(parts: Column, accepts, canon) -> Column:
-    hits = F.transform(
-        F.filter(matches(parts), lambda ref: ref != ""),
-        lambda ref: F.struct(ref.alias("ref"), F.lit(True).alias("accepted")),
+def _plain_refs(parts: str, accepts: Expression, canon: Expression) -> str:
+    hits = transform(
+        keep_if(matches(parts), lambda ref: f"{ref} <> ''"), lambda ref: struct(ref=ref)
     )
-    return _numbered_refs(hits, lambda hit: accepts(hit.ref), canon)
+    return _numbered_refs(hits, lambda hit: accepts(f"{hit}.ref"), canon)
 
 
-def _numbered_refs(hits: Column, accepts, canon) -> Column:
-    return F.transform(
+def _numbered_refs(hits: str, accepts: Expression, canon: Expression) -> str:
+    refs = transform(
         hits,
-        lambda hit, i: F.struct(
-            (i + 1).alias("pos"),
-            hit.ref.alias("ref"),
-            canon(hit.ref).alias("canon"),
-            accepts(hit).alias("accepted"),
+        lambda hit, i: struct(
+            pos=f"{i} + 1", ref=f"{hit}.ref", canon=canon(f"{hit}.ref"), accepted=accepts(hit)
         ),
-    ).cast(REFS_TYPE)
+    )
+    return f"CAST({refs} AS {REFS_TYPE})"

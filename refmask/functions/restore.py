@@ -2,48 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from refmask.functions import lexicon as lx
 from refmask.functions import text as tx
-from refmask.functions.arrays import let, lookup
+from refmask.functions.arrays import lookup
 from refmask.functions.marking import cut, join, matches
+from refmask.functions.sqltext import let, struct, transform, when
 
 
-def restore(text: Column, entries: Column) -> Column:
+def restore(text: str, entries: str) -> str:
     """Replace whole-word placeholders by the originals of ``entries``, all in one pass.
 
     Case-sensitive, also inside strings and comments. Unknown placeholders stay, originals are
     taken literally and never searched again.
     """
 
-    def from_parts(parts: Column) -> Column:
-        originals = lookup(matches(parts), entries["placeholder"], entries["original"])
+    def from_parts(parts: str) -> str:
+        originals = lookup(matches(parts), f"{entries}.placeholder", f"{entries}.original")
         return let(originals, lambda new: join(parts, new))
 
     return let(cut(text, lx.PLACEHOLDER_WORD), from_parts)
 
 
-def placeholder_tokens(text: Column, entries: Column) -> Column:
+def placeholder_tokens(text: str, entries: str) -> str:
     """``array<struct<pos, token, original>>`` of all placeholders in ``text``, in any case."""
 
-    def annotated(tokens: Column) -> Column:
-        names, originals = entries["placeholder"], entries["original"]
-        found = F.struct(
-            lookup(tokens, names, originals).alias("exact"),
-            lookup(F.transform(tokens, F.lower), names, originals).alias("lowered"),
+    def annotated(tokens: str) -> str:
+        names, originals = f"{entries}.placeholder", f"{entries}.original"
+        lowered = transform(tokens, lambda token: f"lower({token})")
+        found = struct(
+            exact=lookup(tokens, names, originals), lowered=lookup(lowered, names, originals)
         )
         return let(
             found,
-            lambda f: F.transform(
+            lambda f: transform(
                 tokens,
-                lambda token, i: F.struct(
-                    (i + 1).alias("pos"),
-                    token.alias("token"),
-                    F.coalesce(
-                        F.get(f.exact, i), F.get(f.lowered, i), F.lit(lx.NO_MAPPING_FOUND)
-                    ).alias("original"),
+                lambda token, i: struct(
+                    pos=f"{i} + 1",
+                    token=token,
+                    original=f"coalesce(get({f}.exact, {i}), get({f}.lowered, {i}), '{lx.NO_MAPPING_FOUND}')",
                 ),
             ),
         )
@@ -51,6 +47,8 @@ def placeholder_tokens(text: Column, entries: Column) -> Column:
     return let(matches(cut(text, lx.PLACEHOLDER)), annotated)
 
 
-def mapping_summary(entries: Column) -> Column:
-    lines = F.transform(entries, lambda e: tx.mapping_line(e.placeholder, e.original))
-    return F.when(F.size(entries) == 0, lx.NO_MAPPING_YET).otherwise(F.array_join(lines, "\n"))
+def mapping_summary(entries: str) -> str:
+    lines = transform(entries, lambda e: tx.mapping_line(f"{e}.placeholder", f"{e}.original"))
+    return when(
+        f"size({entries}) = 0", f"'{lx.NO_MAPPING_YET}'", f"array_join({lines}, chr(10))"
+    )

@@ -1,97 +1,89 @@
-"""Scalar functions on references and script texts (all built-in expressions)."""
+"""Scalar functions on references and script texts."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from refmask.functions import lexicon as lx
+from refmask.functions.sqltext import literal, pattern, when
+
+
+def _matches(text: str, regex: str) -> str:
+    return f"({text} RLIKE {pattern(regex)})"
 
 
-def strip_space(value: Column) -> Column:
+def strip_space(value: str) -> str:
     """Drop white space (all kinds in ``lexicon.SPACE``) at both ends."""
-    return F.regexp_replace(value, lx.OUTER_SPACE, "")
+    return f"regexp_replace({value}, {pattern(lx.OUTER_SPACE)}, '')"
 
 
-def is_blank(text: Column) -> Column:
-    return text.isNull() | ~text.rlike(f"(?!{lx.SPACE})(?s:.)")
+def is_blank(text: str) -> str:
+    return f"({text} IS NULL OR NOT {_matches(text, lx.NOT_SPACE)})"
 
 
-def normalise_newlines(text: Column) -> Column:
-    return F.when(text.contains("\r"), F.regexp_replace(text, "\r\n?", "\n")).otherwise(text)
+def normalise_newlines(text: str) -> str:
+    return when(
+        f"contains({text}, chr(13))", f"regexp_replace({text}, {pattern(lx.NEWLINE)}, chr(10))", text
+    )
 
 
-def canonical_ref(ref: Column) -> Column:
+def canonical_ref(ref: str) -> str:
     """Key under which spellings of one name meet: lower case, no white space outside quotes."""
-    compact = F.when(
-        ref.rlike(lx.SPACE), F.regexp_replace(ref, lx.SPACE_OUTSIDE_QUOTES, "$1")
-    ).otherwise(ref)
-    return F.lower(compact)
+    compact = f"regexp_replace({ref}, {pattern(lx.SPACE_OUTSIDE_QUOTES)}, {literal('$1')})"
+    return f"lower({when(_matches(ref, lx.SPACE), compact, ref)})"
 
 
-def column_ref(pair: Column) -> Column:
+def column_ref(pair: str) -> str:
     """``left.right`` without the white space around the dot."""
-    return F.when(
-        pair.rlike(lx.SPACE), F.regexp_replace(pair, lx.COLUMN_HEAD, "$1.")
-    ).otherwise(pair)
+    compact = f"regexp_replace({pair}, {pattern(lx.COLUMN_HEAD)}, {literal('$1.')})"
+    return when(_matches(pair, lx.SPACE), compact, pair)
 
 
-def strip_identifier_quotes(identifier: Column) -> Column:
+def strip_identifier_quotes(identifier: str) -> str:
     """Drop one pair of matching identifier quotes."""
-    bare = strip_space(identifier)
-    quoted = (
-        (bare.startswith('"') & bare.endswith('"'))
-        | (bare.startswith("`") & bare.endswith("`"))
-        | (bare.startswith("[") & bare.endswith("]"))
-    )
-    return F.when(quoted, F.substring(bare, F.lit(2), F.length(bare) - 2)).otherwise(bare)
+    regex = pattern(lx.IDENTIFIER_QUOTES)
+    return f"regexp_replace({strip_space(identifier)}, {regex}, {literal('$1$2$3')})"
 
 
-def is_qualified_or_quoted(ref: Column) -> Column:
-    return ref.contains(".") | F.substring(ref, 1, 1).isin('"', "`", "[")
+def is_qualified_or_quoted(ref: str) -> str:
+    return f"(contains({ref}, '.') OR left({ref}, 1) IN ('\"', '`', '['))"
 
 
-def is_table_placeholder(ref: Column) -> Column:
-    return ref.rlike(lx.IS_TABLE_PLACEHOLDER)
+def is_table_placeholder(ref: str) -> str:
+    return _matches(ref, lx.IS_TABLE_PLACEHOLDER)
 
 
-def is_likely_table(ref: Column) -> Column:
-    return (ref != "") & ~ref.startswith("(") & ~is_table_placeholder(ref)
+def is_likely_table(ref: str) -> str:
+    return f"({ref} <> '' AND NOT startswith({ref}, '(') AND NOT {is_table_placeholder(ref)})"
 
 
-def is_likely_pyspark_table(ref: Column) -> Column:
-    name = strip_space(ref)
-    return name.contains(".") & ~name.rlike(lx.SPACE) & ~is_table_placeholder(name)
+def is_likely_pyspark_table(ref: str) -> str:
+    return f"({_matches(ref, lx.PYSPARK_NAME)} AND NOT {is_table_placeholder(strip_space(ref))})"
 
 
-def is_likely_column(pair: Column) -> Column:
+def is_likely_column(pair: str) -> str:
     """False for pairs that already are placeholders or live in their name space."""
-    ref = column_ref(pair)
-    left = F.lower(F.substring_index(ref, ".", 1))
-    right = F.substring(ref, F.length(left) + 2, F.length(ref))
-    return (left != "redacted") & ~strip_identifier_quotes(right).rlike(lx.IS_PLACEHOLDER_PART)
+    return f"({pair} <> '' AND NOT {_matches(pair, lx.RESERVED_PAIR)})"
 
 
-def is_mapping_entry(key: Column, original: Column) -> Column:
-    return key.rlike(lx.PLACEHOLDER_KEY) & ~is_blank(original)
+def is_mapping_entry(key: str, original: str) -> str:
+    return f"({_matches(key, lx.PLACEHOLDER_KEY)} AND NOT {is_blank(original)})"
 
 
-def detect_mode(text: Column) -> Column:
-    return F.when(text.rlike(lx.PYSPARK_HINT), "pyspark").otherwise("sql")
+def detect_mode(text: str) -> str:
+    return when(_matches(text, lx.PYSPARK_HINT), "'pyspark'", "'sql'")
 
 
-def effective_mode(requested: Column, text: Column) -> Column:
+def effective_mode(requested: str, text: str) -> str:
     """``pyspark`` stays as requested; anything else is SQL unless the text looks like PySpark."""
-    return F.when(requested == "pyspark", "pyspark").otherwise(detect_mode(text))
+    return when(f"{requested} = 'pyspark'", "'pyspark'", detect_mode(text))
 
 
-def line_count(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1
+def line_count(text: str) -> str:
+    return f"(length({text}) - length(replace({text}, chr(10), '')) + 1)"
 
 
-def mapping_line(placeholder: Column, original: Column) -> Column:
-    return F.concat(placeholder, F.lit(" -> "), original)
+def mapping_line(placeholder: str, original: str) -> str:
+    return f"({placeholder} || ' -> ' || {original})"
 
 
-def finding_line(line: Column, found: Column, fix: Column) -> Column:
-    return F.format_string("line %d: %s -> %s", line, found, fix)
+def finding_line(line: str, found: str, fix: str) -> str:
+    return f"('line ' || {line} || ': ' || {found} || ' -> ' || {fix})"

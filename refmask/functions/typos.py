@@ -2,100 +2,90 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from refmask.functions import lexicon as lx
 from refmask.functions import text as tx
-from refmask.functions.arrays import let
 from refmask.functions.marking import cut, join, matches, with_marks
+from refmask.functions.sqltext import empty, let, literal, pattern, struct, transform, when
 
 FINDINGS_TYPE = "array<struct<rule:int,line:int,found:string,fix:string>>"
+_HITS_TYPE = "array<struct<rule:int,pos:int,line:int,found:string>>"
 
-_MISSPELLINGS = [bad for bad, _ in lx.TYPO_RULES]
-_CORRECTIONS = [fix for _, fix in lx.TYPO_RULES]
+_MISSPELLINGS = "array(" + ", ".join(f"'{bad}'" for bad, _ in lx.TYPO_RULES) + ")"
+_CORRECTIONS = "array(" + ", ".join(f"'{fix}'" for _, fix in lx.TYPO_RULES) + ")"
 
 
-def _rule_number(found: Column) -> Column:
-    spelled = F.upper(F.regexp_replace(found, f"{lx.SPACE}++", " "))
-    return F.array_position(F.lit(_MISSPELLINGS), spelled).cast("int")
+def _rule_number(found: str) -> str:
+    spelled = f"upper(regexp_replace({found}, {pattern(lx.SPACE + '++')}, ' '))"
+    return f"int(array_position({_MISSPELLINGS}, {spelled}))"
 
 
-def _correction(rule: Column) -> Column:
-    return F.get(F.lit(_CORRECTIONS), rule - 1)
+def _correction(rule: str) -> str:
+    return f"get({_CORRECTIONS}, {rule} - 1)"
 
 
-def _scan(text: Column, rules) -> Column:
+def _scan(text: str, rules) -> str:
     """Hits of rules that cannot overlap, with the line each starts in."""
 
-    def marked_text(open_mark: Column, close_mark: Column) -> Column:
-        marked = F.regexp_replace(
-            text,
-            F.lit(lx.typo_pattern(rules)),
-            F.concat(open_mark, F.lit("${ref}"), close_mark),
-        )
+    def marked_text(open_mark: str, close_mark: str) -> str:
+        template = f"{open_mark} || {literal('${ref}')} || {close_mark}"
+        marked = f"regexp_replace({text}, {pattern(lx.typo_pattern(rules))}, {template})"
         return let(marked, lambda m: hits(m, open_mark, close_mark))
 
-    def hits(marked: Column, open_mark: Column, close_mark: Column) -> Column:
-        found = matches(F.split(marked, F.concat(open_mark, F.lit("|"), close_mark)))
+    def hits(marked: str, open_mark: str, close_mark: str) -> str:
+        found = matches(f"split({marked}, {open_mark} || '|' || {close_mark})")
         # One line number per opening mark, in the order of the hits.
-        lines = F.flatten(
-            F.transform(
-                F.split(marked, "\n"),
-                lambda line, i: F.array_repeat(i + 1, F.size(F.split(line, open_mark)) - 1),
-            )
+        lines = transform(
+            f"split({marked}, chr(10))",
+            lambda line, i: f"array_repeat({i} + 1, size(split({line}, {open_mark})) - 1)",
         )
-        return F.zip_with(
-            found,
-            lines,
-            lambda f, line: F.struct(f.alias("found"), line.alias("line")),
+        return let(
+            f"flatten({lines})",
+            lambda lines: transform(
+                found,
+                lambda f, i: struct(
+                    rule=_rule_number(f), pos=i, line=f"get({lines}, {i})", found=f
+                ),
+            ),
         )
 
-    return F.transform(
-        with_marks(text, marked_text),
-        lambda hit, i: F.struct(
-            _rule_number(hit.found).alias("rule"),
-            i.alias("pos"),
-            hit.line.alias("line"),
-            hit.found.alias("found"),
-        ),
-    )
+    return with_marks(text, marked_text)
 
 
-def find_typos(text: Column, max_findings: int | None = lx.MAX_FINDINGS) -> Column:
+def find_typos(text: str, max_findings: int | None = lx.MAX_FINDINGS) -> str:
     """Findings in order of rule, then position; the first ``max_findings`` of them."""
-    nested = F.when(
-        text.rlike(lx.typo_pattern(lx.NESTED_RULES)), _scan(text, lx.NESTED_RULES)
-    ).otherwise(F.array().cast("array<struct<rule:int,pos:int,line:int,found:string>>"))
-    ordered = F.sort_array(F.concat(_scan(text, lx.FLAT_RULES), nested))
+    nested = when(
+        f"{text} RLIKE {pattern(lx.typo_pattern(lx.NESTED_RULES))}",
+        _scan(text, lx.NESTED_RULES),
+        empty(_HITS_TYPE),
+    )
+    ordered = f"sort_array(concat({_scan(text, lx.FLAT_RULES)}, {nested}))"
     if max_findings is not None:
-        ordered = F.slice(ordered, 1, max_findings)
-    findings = F.transform(
+        ordered = f"slice({ordered}, 1, {max_findings})"
+    findings = transform(
         ordered,
-        lambda f: F.struct(
-            f.rule.alias("rule"),
-            f.line.alias("line"),
-            f.found.alias("found"),
-            _correction(f.rule).alias("fix"),
+        lambda f: struct(
+            rule=f"{f}.rule", line=f"{f}.line", found=f"{f}.found", fix=_correction(f"{f}.rule")
         ),
     )
-    none = F.array().cast(FINDINGS_TYPE)
-    return F.when(text.rlike(lx.ANY_TYPO), findings.cast(FINDINGS_TYPE)).otherwise(none)
+    return when(
+        f"{text} RLIKE {pattern(lx.ANY_TYPO)}",
+        f"CAST({findings} AS {FINDINGS_TYPE})",
+        empty(FINDINGS_TYPE),
+    )
 
 
-def fix_typos(text: Column) -> Column:
+def fix_typos(text: str) -> str:
     """``struct<text, replacements>`` after applying all rules in order.
 
     Equal to one pass per rule: the rules' hits are disjoint except that a nested rule's inner
     misspelling is repaired first, and only the fed rules can gain hits from earlier repairs.
     """
 
-    def one_pass(text: Column, rules) -> Column:
-        def replaced(parts: Column, found: Column) -> Column:
-            fixes = F.transform(found, lambda f: _correction(_rule_number(f)))
-            return F.struct(
-                let(fixes, lambda new: join(parts, new)).alias("text"),
-                F.size(found).alias("replacements"),
+    def one_pass(text: str, rules) -> str:
+        def replaced(parts: str, found: str) -> str:
+            fixes = transform(found, lambda f: _correction(_rule_number(f)))
+            return struct(
+                text=let(fixes, lambda new: join(parts, new)), replacements=f"size({found})"
             )
 
         return let(
@@ -103,25 +93,28 @@ def fix_typos(text: Column) -> Column:
             lambda parts: let(matches(parts), lambda found: replaced(parts, found)),
         )
 
-    def second(first: Column) -> Column:
+    def second(first: str) -> str:
         return let(
-            one_pass(first["text"], lx.FED_RULES),
-            lambda again: F.struct(
-                again["text"].alias("text"),
-                (first["replacements"] + again["replacements"]).cast("int").alias("replacements"),
+            one_pass(f"{first}.text", lx.FED_RULES),
+            lambda again: struct(
+                text=f"{again}.text", replacements=f"{first}.replacements + {again}.replacements"
             ),
         )
 
-    unchanged = F.struct(text.alias("text"), F.lit(0).alias("replacements"))
-    return F.when(text.rlike(lx.ANY_TYPO), let(one_pass(text, lx.FLAT_RULES), second)).otherwise(
-        unchanged
+    return when(
+        f"{text} RLIKE {pattern(lx.ANY_TYPO)}",
+        let(one_pass(text, lx.FLAT_RULES), second),
+        struct(text=text, replacements="0"),
     )
 
 
-def typo_summary(findings: Column) -> Column:
-    lines = F.transform(
-        findings, lambda f: F.concat(F.lit("\n- "), tx.finding_line(f.line, f.found, f.fix))
+def typo_summary(findings: str) -> str:
+    lines = transform(
+        findings,
+        lambda f: f"chr(10) || '- ' || {tx.finding_line(f'{f}.line', f'{f}.found', f'{f}.fix')}",
     )
-    return F.when(F.size(findings) == 0, lx.NO_TYPOS).otherwise(
-        F.concat(F.lit(lx.TYPOS_HEADING), F.array_join(lines, ""))
+    return when(
+        f"size({findings}) = 0",
+        f"'{lx.NO_TYPOS}'",
+        f"'{lx.TYPOS_HEADING}' || array_join({lines}, '')",
     )

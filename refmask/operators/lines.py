@@ -7,23 +7,33 @@ from pyspark.sql import functions as F
 
 from refmask.functions import text as tx
 from refmask.functions.arrays import lookup
+from refmask.functions.sqltext import let, struct, transform
+from refmask.operators.rows import explode_rows
 from refmask.schema import KEYS
 
 
 def line_counts(scripts: DataFrame, keys=KEYS) -> DataFrame:
-    return scripts.select(*keys, tx.line_count(F.col("text")).alias("lines"))
+    return scripts.select(*keys, F.expr(tx.line_count("text")).alias("lines"))
 
 
 def numbered_lines(annotated: DataFrame, keys=KEYS) -> DataFrame:
     """``keys…, line, text, has_typo`` for rows with ``text`` and ``findings``."""
-    lines = F.split("text", "\n")
-    numbers = F.transform(lines, lambda _, i: i + 1)
-    typo_lines = F.array_distinct("findings.line")
-    flags = lookup(numbers, typo_lines, F.transform(typo_lines, lambda _: F.lit(True)))
-    numbered = F.arrays_zip(lines.alias("text"), flags.alias("typo"))
-    return annotated.select(*keys, F.posexplode(numbered).alias("i", "l")).select(
-        *keys,
-        (F.col("i") + 1).alias("line"),
-        F.col("l.text").alias("text"),
-        F.coalesce("l.typo", F.lit(False)).alias("has_typo"),
+    lines = "split(text, chr(10))"
+    typo_lines = "array_distinct(findings.line)"
+    flags = lookup(
+        transform(lines, lambda _, i: f"{i} + 1"),
+        typo_lines,
+        transform(typo_lines, lambda _: "true"),
+    )
+    numbered = let(
+        flags,
+        lambda flags: transform(
+            lines,
+            lambda line, i: struct(
+                line=f"{i} + 1", text=line, has_typo=f"coalesce(get({flags}, {i}), false)"
+            ),
+        ),
+    )
+    return explode_rows(annotated, keys, numbered).select(
+        *keys, "row.line", "row.text", "row.has_typo"
     )

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from refmask.functions.redact import ENTRIES_TYPE
 from refmask.functions.restore import mapping_summary
+from refmask.operators.rows import explode_rows
 from refmask.schema import KEYS
 
 
 def mapping_table(annotated: DataFrame, keys=KEYS) -> DataFrame:
     """``keys…, placeholder, kind, n, original, canon``: one row per placeholder."""
-    return annotated.select(*keys, F.explode("entries").alias("e")).select(
-        *keys, "e.placeholder", "e.kind", "e.n", "e.original", "e.canon"
+    return explode_rows(annotated, keys, "entries").select(
+        *keys, "row.placeholder", "row.kind", "row.n", "row.original", "row.canon"
     )
 
 
@@ -38,4 +39,4 @@ def mapping_union(tables: DataFrame, columns: DataFrame, keys=KEYS) -> DataFrame
 
 def mapping_summaries(packed: DataFrame, keys=KEYS) -> DataFrame:
     """``keys…, summary``: the mapping of each script as readable lines."""
-    return packed.select(*keys, mapping_summary(F.col("entries")).alias("summary"))
+    return packed.select(*keys, F.expr(mapping_summary("entries")).alias("summary"))

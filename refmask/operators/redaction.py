@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from refmask.functions import lexicon as lx
 from refmask.functions import text as tx
 from refmask.functions.redact import ENTRIES_TYPE, redact
+from refmask.functions.sqltext import empty, when
 from refmask.functions.typos import FINDINGS_TYPE, find_typos
 from refmask.schema import KEYS
 
@@ -26,29 +27,27 @@ def redact_scripts(
     """
     if on_typos not in ("continue", "skip"):
         raise ValueError("on_typos must be 'continue' or 'skip'")
-    text = F.col("text")
-    requested = F.col("mode") if "mode" in scripts.columns else F.lit("sql")
-    blank = tx.is_blank(text)
-    findings = F.when(
-        (F.col("mode") == "sql") & ~blank, find_typos(text, max_findings)
-    ).otherwise(F.array().cast(FINDINGS_TYPE))
-    status = F.when(blank, "blank")
-    if on_typos == "skip":
-        status = status.when(F.size("findings") > 0, "typos")
-    result = F.when(
-        F.col("status") == "ok", redact(text, F.col("mode"), redact_columns)
+    mode = tx.effective_mode("mode" if "mode" in scripts.columns else "'sql'", "text")
+    blank = tx.is_blank("text")
+    findings = when(
+        f"mode = 'sql' AND NOT {blank}", find_typos("text", max_findings), empty(FINDINGS_TYPE)
     )
+    status = "'ok'"
+    if on_typos == "skip":
+        status = when("size(findings) > 0", "'typos'", status)
     return (
-        scripts.select(*keys, "text", tx.effective_mode(requested, text).alias("mode"))
-        .withColumn("findings", findings)
-        .withColumn("status", status.otherwise("ok"))
-        .withColumn("result", result)
+        scripts.select(*keys, "text", F.expr(mode).alias("mode"))
+        .withColumn("findings", F.expr(findings))
+        .withColumn("status", F.expr(when(blank, "'blank'", status)))
+        .withColumn(
+            "result", F.expr(when("status = 'ok'", redact("text", "mode", redact_columns)))
+        )
         .select(
             *keys,
             "mode",
             "status",
             F.col("result.text").alias("text"),
-            F.coalesce("result.entries", F.array().cast(ENTRIES_TYPE)).alias("entries"),
+            F.expr(f"coalesce(result.entries, {empty(ENTRIES_TYPE)})").alias("entries"),
             "findings",
         )
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from refmask.functions import redact as rd
+from refmask.operators.rows import explode_rows
 from refmask.schema import KEYS
 
 
@@ -14,16 +15,16 @@ def table_references(scripts: DataFrame, keys=KEYS) -> DataFrame:
 
     Scripts without a ``mode`` column are taken as SQL.
     """
-    mode = F.col("mode") if "mode" in scripts.columns else F.lit("sql")
-    return _exploded(scripts, keys, "table", rd.table_refs(F.col("text"), mode))
+    mode = "mode" if "mode" in scripts.columns else "'sql'"
+    return _exploded(scripts, keys, "table", rd.table_refs("text", mode))
 
 
 def column_references(redacted: DataFrame, keys=KEYS) -> DataFrame:
     """The same for qualified columns; expects texts whose tables are already redacted."""
-    return _exploded(redacted, keys, "column", rd.column_refs(F.col("text")))
+    return _exploded(redacted, keys, "column", rd.column_refs("text"))
 
 
-def _exploded(scripts: DataFrame, keys, kind: str, refs) -> DataFrame:
-    return scripts.select(*keys, F.explode(refs).alias("r")).select(
-        *keys, "r.pos", F.lit(kind).alias("kind"), "r.ref", "r.canon", "r.accepted"
+def _exploded(scripts: DataFrame, keys, kind: str, refs: str) -> DataFrame:
+    return explode_rows(scripts, keys, refs).select(
+        *keys, "row.pos", F.lit(kind).alias("kind"), "row.ref", "row.canon", "row.accepted"
     )

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from refmask.functions import text as tx
 from refmask.functions.redact import ENTRIES_TYPE
 from refmask.functions.restore import placeholder_tokens, restore
+from refmask.functions.sqltext import empty, when
+from refmask.operators.rows import explode_rows
 from refmask.schema import KEYS
 
 
@@ -23,9 +25,7 @@ def with_entries(texts: DataFrame, packed: DataFrame, keys=KEYS) -> DataFrame:
     left = texts.withColumn("_spread", spread)
     right = packed.select(*keys, "entries", spread.alias("_spread"))
     joined = left.join(right, [*keys, "_spread"], "left").drop("_spread")
-    return joined.withColumn(
-        "entries", F.coalesce("entries", F.array().cast(ENTRIES_TYPE))
-    )
+    return joined.withColumn("entries", F.expr(f"coalesce(entries, {empty(ENTRIES_TYPE)})"))
 
 
 def restore_scripts(edited: DataFrame, packed: DataFrame, keys=KEYS) -> DataFrame:
@@ -40,22 +40,18 @@ def restore_scripts(edited: DataFrame, packed: DataFrame, keys=KEYS) -> DataFram
 
 def restore_with_entries(edited: DataFrame, keys=KEYS) -> DataFrame:
     """The same for edits that carry the ``entries`` of their script: no join."""
-    text, entries = F.col("text"), F.col("entries")
-    status = (
-        F.when(tx.is_blank(text), "blank")
-        .when(F.coalesce(F.size(entries), F.lit(0)) <= 0, "no_mapping")
-        .otherwise("ok")
-    )
-    return edited.withColumn("status", status).select(
-        *keys, "status", F.when(F.col("status") == "ok", restore(text, entries)).alias("text")
+    mapped = when("coalesce(size(entries), 0) > 0", "'ok'", "'no_mapping'")
+    status = when(tx.is_blank("text"), "'blank'", mapped)
+    restored = when("status = 'ok'", restore("text", "entries"))
+    return edited.withColumn("status", F.expr(status)).select(
+        *keys, "status", F.expr(restored).alias("text")
     )
 
 
 def token_table(texts: DataFrame, keys=KEYS) -> DataFrame:
     """``keys…, pos, token, original`` for every placeholder in texts that carry ``entries``."""
-    tokens = placeholder_tokens(F.col("text"), F.col("entries"))
-    return texts.select(*keys, F.explode(tokens).alias("t")).select(
-        *keys, "t.pos", "t.token", "t.original"
+    return explode_rows(texts, keys, placeholder_tokens("text", "entries")).select(
+        *keys, "row.pos", "row.token", "row.original"
     )
 
 

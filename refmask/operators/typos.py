@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from refmask.functions import lexicon as lx
+from refmask.functions.sqltext import empty, struct, when
 from refmask.functions.typos import FINDINGS_TYPE, find_typos, fix_typos, typo_summary
+from refmask.operators.rows import explode_rows
 from refmask.schema import KEYS
 
 
@@ -14,18 +16,16 @@ def with_findings(
     scripts: DataFrame, max_findings: int | None = lx.MAX_FINDINGS
 ) -> DataFrame:
     """``scripts`` with a ``findings`` array; PySpark scripts are not checked."""
-    findings = find_typos(F.col("text"), max_findings)
+    findings = find_typos("text", max_findings)
     if "mode" in scripts.columns:
-        findings = F.when(F.col("mode") == "pyspark", F.array().cast(FINDINGS_TYPE)).otherwise(
-            findings
-        )
-    return scripts.withColumn("findings", findings)
+        findings = when("mode = 'pyspark'", empty(FINDINGS_TYPE), findings)
+    return scripts.withColumn("findings", F.expr(findings))
 
 
 def findings_table(annotated: DataFrame, keys=KEYS) -> DataFrame:
     """``keys…, rule, line, found, fix`` from rows with a ``findings`` array."""
-    return annotated.select(*keys, F.explode("findings").alias("f")).select(
-        *keys, "f.rule", "f.line", "f.found", "f.fix"
+    return explode_rows(annotated, keys, "findings").select(
+        *keys, "row.rule", "row.line", "row.found", "row.fix"
     )
 
 
@@ -37,11 +37,13 @@ def typo_findings(
 
 def typo_lines(annotated: DataFrame, keys=KEYS) -> DataFrame:
     """``keys…, line``: the distinct lines with findings, without a shuffle."""
-    return annotated.select(*keys, F.explode(F.array_distinct("findings.line")).alias("line"))
+    return explode_rows(annotated, keys, "array_distinct(findings.line)").withColumnRenamed(
+        "row", "line"
+    )
 
 
 def typo_summaries(annotated: DataFrame, keys=KEYS) -> DataFrame:
-    return annotated.select(*keys, typo_summary(F.col("findings")).alias("summary"))
+    return annotated.select(*keys, F.expr(typo_summary("findings")).alias("summary"))
 
 
 def fix_scripts(scripts: DataFrame, keys=KEYS) -> DataFrame:
@@ -49,15 +51,11 @@ def fix_scripts(scripts: DataFrame, keys=KEYS) -> DataFrame:
 
     ``status`` is ``fixed``, ``no_typos``, or ``not_sql`` for PySpark scripts, which stay as they are.
     """
-    text = F.col("text")
-    fixed = fix_typos(text)
-    status = F.when(F.col("fixed.replacements") > 0, "fixed").otherwise("no_typos")
+    fixed = fix_typos("text")
+    status = when("fixed.replacements > 0", "'fixed'", "'no_typos'")
     if "mode" in scripts.columns:
-        pyspark = F.col("mode") == "pyspark"
-        fixed = F.when(
-            pyspark, F.struct(text.alias("text"), F.lit(0).alias("replacements"))
-        ).otherwise(fixed)
-        status = F.when(pyspark, "not_sql").otherwise(status)
-    return scripts.withColumn("fixed", fixed).select(
-        *keys, status.alias("status"), "fixed.text", "fixed.replacements"
+        fixed = when("mode = 'pyspark'", struct(text="text", replacements="0"), fixed)
+        status = when("mode = 'pyspark'", "'not_sql'", status)
+    return scripts.withColumn("fixed", F.expr(fixed)).select(
+        *keys, F.expr(status).alias("status"), "fixed.text", "fixed.replacements"
     )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refmask.functions import lexicon as lx
+from refmask.functions.sqltext import empty, when
 from refmask.functions.typos import FINDINGS_TYPE
 from refmask.operators import mapping as mp
 from refmask.operators import typos as ty
@@ -87,9 +88,7 @@ def fix_corpus(scripts: DataFrame, options: Options = Options(), keys=KEYS) -> D
     fixed = ty.fix_scripts(with_mode(scripts, options.mode), keys)
     rechecked = ty.with_findings(fixed, options.max_findings)
     return rechecked.withColumn(
-        "findings", F.when(F.col("status") != "not_sql", F.col("findings")).otherwise(
-            F.array().cast(FINDINGS_TYPE)
-        ),
+        "findings", F.expr(when("status = 'not_sql'", empty(FINDINGS_TYPE), "findings"))
     )
 
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refmask.functions import lexicon as lx
 from refmask.functions import text as tx
-from refmask.functions.arrays import first_seen, let
+from refmask.functions.arrays import first_seen
 from refmask.functions.redact import ENTRIES_TYPE
+from refmask.functions.sqltext import empty, keep_if, let, struct, transform, when
 from refmask.schema import KEYS
 
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
@@ -46,39 +46,41 @@ def import_mapping(files: DataFrame, keys=KEYS) -> DataFrame:
     return (
         files.select(*keys, wrapped.alias("wrapped"), parsed.alias("parsed"))
         .withColumn("object", F.when(F.size("parsed") == 1, F.get("parsed", F.lit(0))))
-        .withColumn("valid", _valid_entries(F.map_entries("object")))
-        .select(*keys, status.alias("status"), F.coalesce("valid", F.array().cast(ENTRIES_TYPE)).alias("entries"))
+        .withColumn("valid", F.expr(_valid_entries("map_entries(object)")))
+        .select(*keys, status.alias("status"), F.expr(f"coalesce(valid, {empty(ENTRIES_TYPE)})").alias("entries"))
     )
 
 
-def _valid_entries(pairs: Column) -> Column:
-    def last_of_each(reverse: Column) -> Column:
-        return F.transform(first_seen(reverse["key"]), lambda s: F.get(reverse, s.pos))
+def _valid_entries(pairs: str) -> str:
+    def last_of_each(reverse: str) -> str:
+        return transform(first_seen(f"{reverse}.key"), lambda s: f"get({reverse}, {s}.pos)")
 
-    strings = F.filter(
-        let(F.reverse(pairs), last_of_each),
-        lambda p: F.schema_of_variant(p.value) == "STRING",
+    strings = keep_if(
+        let(f"reverse({pairs})", last_of_each),
+        lambda p: f"schema_of_variant({p}.value) = 'STRING'",
     )
-    texts = F.transform(
-        strings, lambda p: F.struct(p.key.alias("key"), p.value.cast("string").alias("original"))
+    texts = transform(
+        strings, lambda p: struct(key=f"{p}.key", original=f"CAST({p}.value AS STRING)")
     )
-    valid = F.filter(texts, lambda p: tx.is_mapping_entry(p.key, p.original))
-    is_column = lambda key: F.lower(key).startswith("redacted.col")
-    ranked = F.transform(
-        valid,
-        lambda p: F.struct(
-            is_column(p.key).alias("rank"),
-            F.substring_index(p.key, "_", -1).try_cast("int").alias("n"),
-            p.key.alias("placeholder"),
-            F.when(is_column(p.key), "column").otherwise("table").alias("kind"),
-            p.original.alias("original"),
-            tx.canonical_ref(p.original).alias("canon"),
-        ),
+    valid = keep_if(texts, lambda p: tx.is_mapping_entry(f"{p}.key", f"{p}.original"))
+
+    def ranked(p: str) -> str:
+        is_column = f"startswith(lower({p}.key), 'redacted.col')"
+        return struct(
+            rank=is_column,
+            n=f"try_cast(substring_index({p}.key, '_', -1) AS INT)",
+            placeholder=f"{p}.key",
+            kind=when(is_column, "'column'", "'table'"),
+            original=f"{p}.original",
+            canon=tx.canonical_ref(f"{p}.original"),
+        )
+
+    fields = "n placeholder kind original canon".split()
+    entries = transform(
+        f"sort_array({transform(valid, ranked)})",
+        lambda e: struct(**{field: f"{e}.{field}" for field in fields}),
     )
-    return F.transform(
-        F.sort_array(ranked),
-        lambda e: F.struct(e.n, e.placeholder, e.kind, e.original, e.canon),
-    ).cast(ENTRIES_TYPE)
+    return f"CAST({entries} AS {ENTRIES_TYPE})"
 
 
 def export_mapping(packed: DataFrame, keys=KEYS, pretty: bool = False) -> DataFrame:

@@ -21,7 +21,7 @@ def scripts_from(table: DataFrame, text="text", keys=KEYS) -> DataFrame:
     mode = [F.col("mode")] if "mode" in table.columns else []
     return table.select(
         *(F.col(source).alias(name) for name, source in named.items()),
-        normalise_newlines(F.col(text)).alias("text"),
+        F.expr(normalise_newlines(text)).alias("text"),
         *mode,
     )
 
