@@ -138,9 +138,8 @@ MISSPELT_PROSE = (
 )
 
 
-def frame(spark: SparkSession, sf_dir: str, corpus: str, deal_out: bool = True) -> DataFrame:
+def frame(spark: SparkSession, sf_dir: str, corpus: str) -> DataFrame:
     """``corpus`` as a DataFrame over the Parquet files in ``sf_dir``."""
     tables = "|".join(TABLES)
     query = re.sub(rf"\bFROM ({tables})\b", rf"FROM parquet.`{sf_dir}/\1.parquet`", corpus)
-    scripts = spark.sql(query)
-    return spread(scripts) if deal_out else scripts
+    return spread(spark.sql(query))

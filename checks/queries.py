@@ -50,7 +50,7 @@ def _sql(spark, sf_dir, options=Options()):
 
 
 def _batches(spark, sf_dir):
-    return redact_corpus(co.frame(spark, sf_dir, co.BATCH_SCRIPTS_SPARK, deal_out=False))
+    return redact_corpus(co.frame(spark, sf_dir, co.BATCH_SCRIPTS_SPARK))
 
 
 # -- sources -------------------------------------------------------------------------------------
@@ -210,7 +210,7 @@ _BATCH_REFS = f"""WITH {oc.BATCH_NUMBERS}
 
 @query(_BATCH_REFS)
 def d1_refs(spark, sf_dir):
-    scripts = co.frame(spark, sf_dir, co.BATCH_SCRIPTS_SPARK, deal_out=False)
+    scripts = co.frame(spark, sf_dir, co.BATCH_SCRIPTS_SPARK)
     return _wide(rf.table_references(scripts))
 
 

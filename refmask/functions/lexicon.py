@@ -98,6 +98,11 @@ def _any_of(phrases) -> str:
     return "(?i:" + "|".join(_phrase(p) for p in phrases) + ")"
 
 
+def _first_letters(words) -> str:
+    letters = "".join(sorted({word[0] for word in words}))
+    return f"[{letters}{letters.lower()}]"
+
+
 # -- identifiers -------------------------------------------------------------------------------
 # A doubled quote belongs to the name; the second form of each covers a name whose closing quote
 # only exists if the doubled one is read as two.
@@ -135,10 +140,10 @@ _ACCEPTED_NAME = (
     f"|{_BARE}(?={_TAIL}))"
 )
 _NOT_IMPORT = f"(?!{SPACE}*+(?i:import){WORD_END})"
-# First characters of the keywords and of protected text: most positions fail on this one test.
-_TABLE_GUARD = "(?=[-/'\"`\\[" + "".join(
-    sorted({c for k in TABLE_KEYWORDS for c in (k[0], k[0].lower())})
-) + "])"
+# Most positions of a text fail on this one test: they start neither protected text nor a word with
+# the first letter of a keyword.
+_PROTECTED_START = "[-/'\"`\\[]"
+_TABLE_GUARD = f"(?={_PROTECTED_START}|{WORD_START}{_first_letters(TABLE_KEYWORDS)})"
 
 # Groups shared by the reference patterns: ``keep`` is copied as it is, ``ref`` is a reference
 # that may be replaced, ``lead`` is the text between them that belongs to the match.
@@ -155,12 +160,15 @@ SQL_TABLE_ALL = (
 
 # -- SQL columns -------------------------------------------------------------------------------
 _PAIR = f"{_BARE}{_DOT}{_IDENTIFIER}"
-_TABLE_CONTEXT = "|".join(
+_TABLE_CONTEXT = f"(?={_first_letters(TABLE_CONTEXT_WORDS)})(?:" + "|".join(
     f"(?i:{w}){SPACE}{{1,{TABLE_CONTEXT_WINDOW - len(w)}}}+" for w in TABLE_CONTEXT_WORDS
-)
+) + ")"
+_NAME_START = "(?<![A-Za-z0-9_$#])"
 SQL_COLUMN = (
-    f"(?<keep>{_QUOTED}{_DOT}{_IDENTIFIER}|{_PROTECTED}|{WORD_START}(?:{_TABLE_CONTEXT}){_PAIR})"
-    f"|(?<lead>(?<![A-Za-z0-9_$#])[0-9$#]*+)(?<ref>{_PAIR})"
+    f"(?={_PROTECTED_START}|{_NAME_START}[A-Za-z0-9_$#])"
+    f"(?:(?<keep>{_QUOTED}{_DOT}{_IDENTIFIER}|{_PROTECTED}"
+    f"|[0-9$#]*+{WORD_START}{_TABLE_CONTEXT}{_PAIR})"
+    f"|(?<lead>[0-9$#]*+)(?<ref>{_PAIR}))"
 )
 # The left identifier of a matched pair and the dot after it.
 COLUMN_HEAD = rf"\A({_BARE}){_DOT}"
@@ -207,9 +215,8 @@ SPACE_OUTSIDE_QUOTES = rf'("[^"]*+(?:""[^"]*+)*+"|`[^`]*+`|\[[^\]]*+\])|{SPACE}+
 # -- misspellings ------------------------------------------------------------------------------
 def typo_pattern(rules) -> str:
     """Any of the misspellings of ``rules``, each as whole words."""
-    first_letters = "".join(sorted({bad[0] for bad, _ in rules}))
-    words = "|".join(_phrase(bad) for bad, _ in rules)
-    return f"(?i)(?=[{first_letters}]){WORD_START}(?<ref>{words}){WORD_END}"
+    words = [bad for bad, _ in rules]
+    return f"(?={_first_letters(words)}){WORD_START}(?<ref>{_any_of(words)}){WORD_END}"
 
 
 ANY_TYPO = typo_pattern(TYPO_RULES)
