@@ -1,0 +1,35 @@
+import os
+import sys
+
+import pytest
+from pyspark.sql import SparkSession
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+@pytest.fixture(scope="session")
+def spark():
+    session = (
+        SparkSession.builder.master("local[4]")
+        .appName("refmask-tests")
+        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.driver.memory", "4g")
+        .getOrCreate()
+    )
+    session.sparkContext.setLogLevel("ERROR")
+    yield session
+    session.stop()
+
+
+@pytest.fixture(scope="session")
+def scripts(spark):
+    """``scripts("a", "b")``: a DataFrame of texts with keys 0, 1, …"""
+
+    def frame(*texts, mode=None):
+        rows = [(i, text, mode) for i, text in enumerate(texts)]
+        table = spark.createDataFrame(rows, "script_id BIGINT, text STRING, mode STRING")
+        return table if mode else table.drop("mode")
+
+    return frame
