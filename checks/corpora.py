@@ -36,25 +36,25 @@ SQL_SCRIPTS = (
 
 # One script per order with one statement per line item: one to many references, the same table
 # spelled in different ways, decoys in comments and strings.
-LINE_SOURCE = "'wh_' || CAST(l_suppkey % 3 AS STRING) || '.Stage.part_' || CAST(l_partkey % 4 AS STRING)"
-LINE_SPELLED = f"CASE WHEN l_linenumber % 2 = 0 THEN upper({LINE_SOURCE}) ELSE replace({LINE_SOURCE}, '.', ' . ') END"
-LINE_TARGET = "'mart_' || CAST(l_suppkey % 5 AS STRING)"
-LINES = (
-    "SELECT l_orderkey AS script_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS stmt, "
-    f"{LINE_SPELLED} AS source, {LINE_TARGET} AS target, l_partkey AS part FROM lineitem"
-)
+def line_tables(row: str) -> tuple[str, str]:
+    """Source and target table of the line item ``row``."""
+    name = f"'wh_' || CAST({row}.l_suppkey % 3 AS STRING) || '.Stage.part_' || CAST({row}.l_partkey % 4 AS STRING)"
+    spelled = f"CASE WHEN {row}.l_linenumber % 2 = 0 THEN upper({name}) ELSE replace({name}, '.', ' . ') END"
+    return spelled, f"'mart_' || CAST({row}.l_suppkey % 5 AS STRING)"
 
 
-def line_statement(source: str, target: str) -> str:
+def line_statement(source: str, target: str, part: str) -> str:
     return (
         f"'INSERT INTO ' || {target} || ' SET q = ''from x.y'' -- was from old.t' || chr(10) "
-        f"|| 'SELECT p.q FROM ' || {source} || ' p WHERE p.k = ' || CAST(part AS STRING) || ';'"
+        f"|| 'SELECT p.q FROM ' || {source} || ' p WHERE p.k = ' || CAST({part} AS STRING) || ';'"
     )
 
 
 BATCH_SCRIPTS_SPARK = (
-    f"SELECT script_id, listagg({line_statement('source', 'target')}, chr(10)) WITHIN GROUP (ORDER BY stmt) AS text "
-    f"FROM ({LINES}) GROUP BY script_id"
+    "SELECT l_orderkey AS script_id, array_join(transform("
+    "sort_array(collect_list(struct(l_linenumber, l_partkey, l_suppkey))), "
+    f"s -> {line_statement(*line_tables('s'), 's.l_partkey')}), chr(10)) AS text "
+    "FROM lineitem GROUP BY l_orderkey"
 )
 
 PYSPARK_NAMES = (

@@ -179,12 +179,10 @@ def fixed(corpus: str) -> str:
 
 # -- batches: expected values from the parameters of each statement ------------------------------
 
-BATCH_SCRIPTS = (
-    f"SELECT script_id, string_agg({co.line_statement('source', 'target')}, chr(10) ORDER BY stmt) AS text "
-    f"FROM ({co.LINES}) GROUP BY script_id"
-)
+_SOURCE, _TARGET = co.line_tables("lineitem")
 BATCH_NUMBERS = f"""
-    lines AS ({co.LINES}),
+    lines AS (SELECT l_orderkey AS script_id, {_SOURCE} AS source, {_TARGET} AS target, l_partkey AS part,
+                row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS stmt FROM lineitem),
     refs AS (SELECT script_id, 2 * stmt - 1 AS pos, target AS ref, target AS canon FROM lines
              UNION ALL SELECT script_id, 2 * stmt, source, lower(replace(source, ' ', '')) FROM lines),
     numbers AS (SELECT script_id, canon, min(pos) AS first, arg_min(ref, pos) AS original,
@@ -197,5 +195,5 @@ def batch_texts(new: str) -> str:
     renamed AS (SELECT l.script_id, stmt, part, {new.format("s")} AS source, {new.format("t")} AS target FROM lines l
                 JOIN numbers s ON s.script_id = l.script_id AND s.canon = lower(replace(l.source, ' ', ''))
                 JOIN numbers t ON t.script_id = l.script_id AND t.canon = l.target)
-    SELECT script_id, string_agg({co.line_statement("source", "target")}, chr(10) ORDER BY stmt) AS text
+    SELECT script_id, string_agg({co.line_statement("source", "target", "part")}, chr(10) ORDER BY stmt) AS text
     FROM renamed GROUP BY script_id"""

@@ -80,13 +80,18 @@ NO_TYPOS = "No SQL typo warnings."
 TYPOS_HEADING = "Potential SQL typos:"
 # ---------------------------------------------------------------------------------------------
 
-# White space as the web platform defines it; Java's \s and \b differ, so neither is used.
-SPACE = "[\\t\\n\\x0B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]"
-_NOT_SPACE = "[^" + SPACE[1:]
-NOT_SPACE = _NOT_SPACE
+# White space as the web platform defines it; Java's \s is its ASCII part. The intersection spares
+# ordinary characters the test against every rare kind.
+_RARE_SPACE = (
+    r"\x{A0}[\x{1680}-\x{FEFF}&&"
+    r"[\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]]"
+)
+SPACE = rf"[\s{_RARE_SPACE}]"
+NOT_SPACE = rf"(?!{SPACE})(?s:.)"
 NEWLINE = r"\r\n?"
-WORD_START = "(?<![A-Za-z0-9_])"
-WORD_END = "(?![A-Za-z0-9_])"
+# Java's \b knows letters beyond ASCII; \w does not.
+WORD_START = r"(?<!\w)"
+WORD_END = r"(?!\w)"
 
 
 def _phrase(text: str) -> str:
@@ -100,7 +105,7 @@ def _any_of(phrases) -> str:
 
 def _first_letters(words) -> str:
     letters = "".join(sorted({word[0] for word in words}))
-    return f"[{letters}{letters.lower()}]"
+    return letters + letters.lower()
 
 
 # -- identifiers -------------------------------------------------------------------------------
@@ -111,7 +116,7 @@ _QUOTED = (
     r'|"(?:[^"]++|"")++"|"[^"]++"'
     r"|`(?:[^`]++|``)++`|`[^`]++`)"
 )
-_BARE = r"[A-Za-z_][A-Za-z0-9_$#]*+"
+_BARE = r"[\p{Alpha}_][\w$#]*+"
 _IDENTIFIER = f"(?>{_QUOTED}|{_BARE})"
 _DOT = rf"{SPACE}*+\.{SPACE}*+"
 _MORE_PARTS = f"(?:{_DOT}{_IDENTIFIER})"
@@ -128,7 +133,7 @@ _PROTECTED = (
 
 # -- SQL tables --------------------------------------------------------------------------------
 _CLAUSE = f"(?:[{''.join(CLAUSE_PUNCTUATION)}]|{_any_of(CLAUSE_WORDS)}{WORD_END})"
-_ALIAS = rf"(?>(?i:AS{SPACE}++)?[A-Za-z_][A-Za-z0-9_$#]*(?<=[A-Za-z0-9_]){WORD_END})"
+_ALIAS = rf"(?>(?i:AS{SPACE}++)?[\p{{Alpha}}_][\w$#]*(?<=\w){WORD_END})"
 _TAIL = rf"{SPACE}*+(?:\z|{_CLAUSE}|{_ALIAS}{SPACE}*+(?:\z|{_CLAUSE}))"
 _TABLE_PREFIX = (
     f"{WORD_START}{_any_of(TABLE_KEYWORDS)}{SPACE}++(?:(?i:ONLY){SPACE}++(?={_IDENTIFIER}))?+"
@@ -142,11 +147,15 @@ _ACCEPTED_NAME = (
 _NOT_IMPORT = f"(?!{SPACE}*+(?i:import){WORD_END})"
 # Most positions of a text fail on this one test: they start neither protected text nor a word with
 # the first letter of a keyword.
-_PROTECTED_START = "[-/'\"`\\[]"
-_TABLE_GUARD = f"(?={_PROTECTED_START}|{WORD_START}{_first_letters(TABLE_KEYWORDS)})"
+_PROTECTED_START = "-/'\"`\\["
+_TABLE_GUARD = (
+    rf"(?=[{_PROTECTED_START}{_first_letters(TABLE_KEYWORDS)}])(?:(?!\p{{Alpha}})|{WORD_START})"
+)
 
-# Groups shared by the reference patterns: ``keep`` is copied as it is, ``ref`` is a reference
-# that may be replaced, ``lead`` is the text between them that belongs to the match.
+# Groups of the reference patterns: ``ref`` is a reference that may be replaced, ``lead`` the text
+# before it that belongs to the match, ``keep`` (or ``context``) text that is copied as it is.
+# KEEP_… is the replacement text for everything but the reference.
+KEEP_TABLE = "${keep}${lead}"
 SQL_TABLE = (
     f"{_TABLE_GUARD}(?:(?<lead>{_TABLE_PREFIX})(?<ref>{_ACCEPTED_NAME}){_NOT_IMPORT}"
     f"|(?<keep>{_TABLE_PREFIX}{_TABLE_NAME}|{_PROTECTED}))"
@@ -160,22 +169,23 @@ SQL_TABLE_ALL = (
 
 # -- SQL columns -------------------------------------------------------------------------------
 _PAIR = f"{_BARE}{_DOT}{_IDENTIFIER}"
-_TABLE_CONTEXT = f"(?={_first_letters(TABLE_CONTEXT_WORDS)})(?:" + "|".join(
+_TABLE_CONTEXT = f"(?=[{_first_letters(TABLE_CONTEXT_WORDS)}])(?:" + "|".join(
     f"(?i:{w}){SPACE}{{1,{TABLE_CONTEXT_WINDOW - len(w)}}}+" for w in TABLE_CONTEXT_WORDS
 ) + ")"
-_NAME_START = "(?<![A-Za-z0-9_$#])"
+KEEP_COLUMN = "${keep}${context}${lead}"
+_NAME_START = r"(?<![\w$#])"
 SQL_COLUMN = (
-    f"(?={_PROTECTED_START}|{_NAME_START}[A-Za-z0-9_$#])"
-    f"(?:(?<keep>{_QUOTED}{_DOT}{_IDENTIFIER}|{_PROTECTED}"
-    f"|[0-9$#]*+{WORD_START}{_TABLE_CONTEXT}{_PAIR})"
-    f"|(?<lead>[0-9$#]*+)(?<ref>{_PAIR}))"
+    rf"(?=[{_PROTECTED_START}\w$#])"
+    rf"(?:(?=[{_PROTECTED_START}])(?<keep>{_QUOTED}{_DOT}{_IDENTIFIER}|{_PROTECTED})"
+    rf"|{_NAME_START}(?:(?<context>[0-9$#]*+{WORD_START}{_TABLE_CONTEXT}{_PAIR})"
+    rf"|(?<lead>[0-9$#]*+)(?<ref>{_PAIR})))"
 )
 # The left identifier of a matched pair and the dot after it.
 COLUMN_HEAD = rf"\A({_BARE}){_DOT}"
 # Pairs that are placeholders, or could be taken for one.
 _NUMBERED = "(?i:Table|Col)_[0-9]++"
 RESERVED_PAIR = (
-    rf"\A(?:(?i:redacted)(?![A-Za-z0-9_$#])"
+    rf"\A(?:(?i:redacted)(?![\w$#])"
     rf"|{_BARE}{_DOT}(?:{_NUMBERED}|\"{_NUMBERED}\"|`{_NUMBERED}`|\[{_NUMBERED}\])\z)"
 )
 
@@ -187,9 +197,10 @@ PYSPARK_TABLE = (
     rf"(?i)(?=[s.])(?<lead>{_CALL}{SPACE}*+\({SPACE}*+(?<quote>[\"']))"
     r"(?<ref>[^\"'\\\r\n]++)(?=\k<quote>)"
 )
+KEEP_PYSPARK = "${lead}"
 # A name with a dot and, padding aside, no white space.
 PYSPARK_NAME = (
-    rf"\A{SPACE}*+{_NOT_SPACE[:-1]}.]*+\.{_NOT_SPACE}*+{SPACE}*+\z"
+    rf"\A{SPACE}*+(?:(?!{SPACE})[^.])*+\.(?:{NOT_SPACE})*+{SPACE}*+\z"
 )
 _PYSPARK_HINT_CALLS = (
     f"{WORD_START}spark{_DOT}(?:read{_DOT})?table|\\.{SPACE}*+write{_DOT}(?:saveAsTable|insertInto)"
@@ -216,7 +227,7 @@ SPACE_OUTSIDE_QUOTES = rf'("[^"]*+(?:""[^"]*+)*+"|`[^`]*+`|\[[^\]]*+\])|{SPACE}+
 def typo_pattern(rules) -> str:
     """Any of the misspellings of ``rules``, each as whole words."""
     words = [bad for bad, _ in rules]
-    return f"(?={_first_letters(words)}){WORD_START}(?<ref>{_any_of(words)}){WORD_END}"
+    return f"(?=[{_first_letters(words)}]){WORD_START}(?<ref>{_any_of(words)}){WORD_END}"
 
 
 ANY_TYPO = typo_pattern(TYPO_RULES)

@@ -13,8 +13,8 @@ from refmask.functions.sqltext import keep_if, let, literal, pattern, transform,
 
 # Unicode non-characters: reserved for internal use, never in exchanged text. A text that has them
 # nevertheless gets marks extended by its own hash, which it cannot contain.
-OPEN = literal("﷐")
-CLOSE = literal("﷑")
+OPEN = literal(chr(0xFDD0))
+CLOSE = literal(chr(0xFDD1))
 
 
 def with_marks(text: str, body: Callable[[str, str], str]) -> str:

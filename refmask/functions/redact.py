@@ -39,7 +39,7 @@ def pyspark_table_key(ref: str) -> str:
 def redact_sql_tables(text: str) -> str:
     return _redact(
         text,
-        parts=cut(text, lx.SQL_TABLE, keep="${keep}${lead}"),
+        parts=cut(text, lx.SQL_TABLE, lx.KEEP_TABLE),
         key_of=sql_table_key,
         original_of=lambda ref: ref,
         kind="table",
@@ -52,7 +52,7 @@ def redact_sql_columns(text: str) -> str:
     """Qualified columns; expects a text whose tables are already redacted."""
     return _redact(
         text,
-        parts=cut(text, lx.SQL_COLUMN, keep="${keep}${lead}"),
+        parts=cut(text, lx.SQL_COLUMN, lx.KEEP_COLUMN),
         key_of=column_key,
         original_of=tx.column_ref,
         kind="column",
@@ -79,7 +79,7 @@ def redact_sql(text: str, redact_columns: bool = False) -> str:
 def redact_pyspark(text: str) -> str:
     return _redact(
         text,
-        parts=cut(text, lx.PYSPARK_TABLE, keep="${lead}"),
+        parts=cut(text, lx.PYSPARK_TABLE, lx.KEEP_PYSPARK),
         key_of=pyspark_table_key,
         original_of=tx.strip_space,
         kind="table",
@@ -181,7 +181,7 @@ def sql_table_refs(text: str) -> str:
 
 def column_refs(text: str) -> str:
     return _plain_refs(
-        cut(text, lx.SQL_COLUMN, keep="${keep}${lead}"),
+        cut(text, lx.SQL_COLUMN, lx.KEEP_COLUMN),
         tx.is_likely_column,
         lambda ref: tx.canonical_ref(tx.column_ref(ref)),
     )
@@ -189,7 +189,7 @@ def column_refs(text: str) -> str:
 
 def pyspark_table_refs(text: str) -> str:
     return _plain_refs(
-        cut(text, lx.PYSPARK_TABLE, keep="${lead}"),
+        cut(text, lx.PYSPARK_TABLE, lx.KEEP_PYSPARK),
         tx.is_likely_pyspark_table,
         lambda ref: tx.canonical_ref(tx.strip_space(ref)),
     )

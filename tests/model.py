@@ -4,7 +4,7 @@ It shares neither patterns nor code with the library: keywords are recognised by
 names by walking over characters.
 """
 
-SPACES = set("\t\n\x0b\f\r       　﻿") | {
+SPACES = set("\t\n\x0b\f\r \u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff") | {
     chr(c) for c in range(0x2000, 0x200B)
 }
 LETTERS = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ_")

@@ -14,7 +14,7 @@ PIECES = (
     "FROM from Join UPDATE into MERGE DELETE TRUNCATE TABLE ONLY only AS as import where SET GROUP BY "
     "ORDER on a b T1 x$ $y #z a.b c . d . .e f.g.h.i.j [my_t] [a]b] \"q\" \"q\"\"r\" \"\" `k` `k``l` [ ] ' '' "
     "-- /* */ * / - , ; ) ( ' \" ` redacted.Table_1 REDACTED.table_2 redacted.Col_1 redacted . x t.Table_3 "
-    "2a.b éa.b 1.5 é ﷐ FROMM"
+    "2a.b éa.b 1.5 é \ufdd0 FROMM"
 ).split(" ")
 PIECES += "FROM JOIN update into a.b c.D x y t where ; [my_t] \"q\" f . g".split(" ") * 4
 GAPS = ["", " ", " ", " ", "\n", "\t ", "\u00a0", "\u3000 ", "  \n"]

@@ -40,7 +40,7 @@ SQL_CASES = {
     "xfrom a.b": "xfrom a.b",
     "from_ a.b": "from_ a.b",
     "éfrom a.b": f"éfrom {T}1",
-    "from a.b": f"from {T}1",
+    "from\u00a0a.b": f"from\u00a0{T}1",
     # bare names need a clause, an alias with a clause, or the end of the text behind them
     "from t": f"from {T}1",
     "from t  \n": f"from {T}1  \n",
@@ -114,7 +114,7 @@ SQL_CASES = {
     'from "a"""': f"from {T}1",
     'from ""': 'from ""',
     # marks used inside the library are ordinary characters
-    "from a.b ﷐ ﷑ join c.d": f"from {T}1 ﷐ ﷑ join {T}2",
+    "from a.b \ufdd0 \ufdd1 join c.d": f"from {T}1 \ufdd0 \ufdd1 join {T}2",
     "from a.b \\ $1 ${ref} join c.d": f"from {T}1 \\ $1 ${{ref}} join {T}2",
 }
 
@@ -209,7 +209,7 @@ def test_mode_is_detected_unless_pyspark_was_requested(scripts):
 
 
 def test_gates(scripts):
-    table = scripts(" \n ", None, "FROMM a.b", "from a.b")
+    table = scripts(" \n\u00a0", None, "FROMM a.b", "from a.b")
     skipping = redacted(table, on_typos="skip")
     assert [skipping[i].status for i in range(4)] == ["blank", "blank", "typos", "ok"]
     assert [skipping[i].text for i in range(4)] == [None, None, None, f"from {T}1"]

@@ -36,7 +36,7 @@ CASES = {
     "redacted.Col_1 + Redacted.Col_1": "x.y + Redacted.Col_1",
     "REDACTED.TABLE_7 redacted.Table_7 redacted.table_8": "loud redacted.Table_7 quiet",
     "nothing": "nothing",
-    f"﷐{T}1﷑": "﷐cat.s.T﷑",
+    f"\ufdd0{T}1\ufdd1": "\ufdd0cat.s.T\ufdd1",
 }
 
 

@@ -17,7 +17,7 @@ T = "redacted.Table_"
 
 IMPORTS = {
     '{"redacted.Table_1":"a.b"}': "ok",
-    '﻿ {"redacted.Table_1":"a.b"} ': "ok",
+    '\ufeff {"redacted.Table_1":"a.b"} ': "ok",
     '{"redacted.Table_1":"a","other":"x","redacted.Col_2":7,"redacted.Table_x":"y"}': "ok",
     '{"redacted.Table_1":"  "}': "no_valid_entries",
     '{"redacted.Table_1":null}': "no_valid_entries",

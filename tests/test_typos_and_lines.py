@@ -95,12 +95,12 @@ def test_text_functions(spark):
     canonical = lambda ref: value(spark, tx.canonical_ref("x"), x=ref)
     assert canonical("dbo . T") == canonical("DBO.t") == "dbo.t"
     assert canonical("[dbo].[T]") == "[dbo].[t]"
-    assert canonical('A . "B  c""\td"') == 'a."b  c""\td"'
+    assert canonical('A\u00a0. "B  c""\td"') == 'a."b  c""\td"'
     strip = lambda name: value(spark, tx.strip_identifier_quotes("x"), x=name)
     assert [strip(n) for n in (' "a" ', "`a`", "[a]", "[a`", "a", '"a\nb"')] == ["a", "a", "a", "[a`", "a", "a\nb"]
     assert [value(spark, tx.is_qualified_or_quoted("x"), x=n) for n in ("a", "a.b", "`a`", "[a]", '"a"')] == [
         False, True, True, True, True,
     ]
-    assert [value(spark, tx.is_blank("x"), x=n) for n in ("", " \n　﻿", " x")] == [True, True, False]
+    assert [value(spark, tx.is_blank("x"), x=n) for n in ("", " \n\u3000\ufeff", " x")] == [True, True, False]
     assert value(spark, tx.normalise_newlines("x"), x="a\r\nb\rc\n\r") == "a\nb\nc\n\n"
     assert value(spark, tx.mapping_line("x", "y"), x="p", y="o") == "p -> o"
