@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from refmask.sources.scripts import spread
 
+VIEW_PREFIX = "refmask_checks_"
 TABLES = "orders lineitem customer supplier documents pages conversations benchmark".split()
 
 # One script per order. The names of its two tables are the parameters of the template.
@@ -50,13 +51,18 @@ def line_statement(source: str, target: str, part: str) -> str:
     )
 
 
-BATCH_SCRIPTS_SPARK = (
-    "SELECT l_orderkey AS script_id, array_join(transform("
-    "sort_array(collect_list(struct(l_linenumber, l_partkey, l_suppkey))), "
-    f"s -> {line_statement(*line_tables('s'), 's.l_partkey')}), chr(10)) AS text "
+LINE_ITEMS = (
+    "SELECT l_orderkey AS script_id, sort_array(collect_list(struct(l_linenumber, l_partkey, l_suppkey))) AS items "
     "FROM lineitem GROUP BY l_orderkey"
 )
 
+
+def batch_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    statements = f"transform(items, s -> {line_statement(*line_tables('s'), 's.l_partkey')})"
+    orders = spread(frame(spark, sf_dir, LINE_ITEMS))
+    return orders.selectExpr("script_id", f"array_join({statements}, chr(10)) AS text")
+
+
 PYSPARK_NAMES = (
     "'cat_' || CAST(c_nationkey AS STRING) || '.silver.cust'",
     "'ref.seg_' || lower(c_mktsegment)",
@@ -140,6 +146,12 @@ MISSPELT_PROSE = (
 
 def frame(spark: SparkSession, sf_dir: str, corpus: str) -> DataFrame:
     """``corpus`` as a DataFrame over the Parquet files in ``sf_dir``."""
-    tables = "|".join(TABLES)
-    query = re.sub(rf"\bFROM ({tables})\b", rf"FROM parquet.`{sf_dir}/\1.parquet`", corpus)
-    return spread(spark.sql(query))
+    used = set(re.findall(rf"\bFROM ({'|'.join(TABLES)})\b", corpus))
+    for name in used:
+        table = spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        table.createOrReplaceTempView(f"{VIEW_PREFIX}{name}")
+    query = re.sub(rf"\bFROM ({'|'.join(used)})\b", rf"FROM {VIEW_PREFIX}\1", corpus)
+    scripts = spark.sql(query)
+    for name in used:
+        spark.catalog.dropTempView(f"{VIEW_PREFIX}{name}")
+    return scripts

@@ -50,7 +50,7 @@ def _sql(spark, sf_dir, options=Options()):
 
 
 def _batches(spark, sf_dir):
-    return redact_corpus(co.frame(spark, sf_dir, co.BATCH_SCRIPTS_SPARK))
+    return redact_corpus(co.batch_scripts(spark, sf_dir))
 
 
 # -- sources -------------------------------------------------------------------------------------
@@ -210,7 +210,7 @@ _BATCH_REFS = f"""WITH {oc.BATCH_NUMBERS}
 
 @query(_BATCH_REFS)
 def d1_refs(spark, sf_dir):
-    scripts = co.frame(spark, sf_dir, co.BATCH_SCRIPTS_SPARK)
+    scripts = co.batch_scripts(spark, sf_dir)
     return _wide(rf.table_references(scripts))
 
 
@@ -509,7 +509,7 @@ def p2_restore_status(spark, sf_dir):
         spark,
         sf_dir,
         "SELECT l_suppkey AS file_id, l_orderkey AS script_id, CASE WHEN l_linenumber % 3 = 0 THEN chr(9) "
-        "ELSE 'DELETE FROM redacted.Table_1' END AS text FROM parquet.`{0}/lineitem.parquet`".format(sf_dir),
+        "ELSE 'DELETE FROM redacted.Table_1' END AS text FROM lineitem",
     )
     files = co.frame(spark, sf_dir, co.MAPPING_FILES).withColumnRenamed("script_id", "file_id")
     packed = import_mapping(files, ("file_id",))

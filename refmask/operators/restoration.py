@@ -21,9 +21,11 @@ def with_entries(texts: DataFrame, packed: DataFrame, keys=KEYS) -> DataFrame:
     extra key keeps it so when ``packed`` comes out of an aggregation on the same keys, whose
     partitioning the join would otherwise take over and could no longer split.
     """
-    spread = F.xxhash64(*keys)
-    left = texts.withColumn("_spread", spread)
-    right = packed.select(*keys, "entries", spread.alias("_spread"))
+    # Hashes of different types differ: hash both sides in the type the mapping has.
+    types = [packed.schema[key].dataType for key in keys]
+    typed = (F.col(key).try_cast(type_) for key, type_ in zip(keys, types))
+    left = texts.withColumn("_spread", F.xxhash64(*typed))
+    right = packed.select(*keys, "entries", F.xxhash64(*keys).alias("_spread"))
     joined = left.join(right, [*keys, "_spread"], "left").drop("_spread")
     return joined.withColumn("entries", F.expr(f"coalesce(entries, {empty(ENTRIES_TYPE)})"))
 

@@ -46,6 +46,16 @@ def test_restore(scripts, mapping):
     assert got == sorted(CASES.values())
 
 
+def test_keys_of_other_types_meet(scripts, mapping):
+    for key in ("INT", "STRING", "DECIMAL(20,0)"):
+        edited = scripts(f"{T}1").selectExpr(f"CAST(0 AS {key}) AS script_id", "text")
+        assert [r.text for r in restore_corpus(edited, mapping).collect()] == ["cat.s.T"]
+    narrow = mapping.selectExpr("INT(script_id) AS script_id", "* EXCEPT (script_id)")
+    edited = scripts(f"{T}1").selectExpr("explode(array(0L, 9999999999L)) AS script_id", "text")
+    got = sorted((r.script_id, r.status) for r in restore_corpus(edited, narrow).collect())
+    assert got == [(0, "ok"), (9999999999, "no_mapping")]
+
+
 def test_status(scripts, mapping):
     edited = scripts(f"{T}1", f"{T}1").unionByName(scripts(" \n", "x").selectExpr("script_id", "text"))
     got = sorted((r.script_id, r.status, r.text or "") for r in restore_corpus(edited, mapping).collect())
