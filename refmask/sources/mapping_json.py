@@ -27,7 +27,7 @@ def import_mapping(files: DataFrame, keys=KEYS) -> DataFrame:
 
     ``status`` is ``bad_json``, ``not_object``, ``no_valid_entries`` or ``ok``. Entries need a
     placeholder as key and a non-blank string as value; others are dropped. A repeated key has its
-    last value.
+    last value. (A key repeated deeper inside, in a value that would be dropped, counts as bad JSON.)
     """
     # In an array of its own, anything after the object makes the document invalid.
     wrapped = F.concat(F.lit("["), F.regexp_replace("json", "\\A\uFEFF", ""), F.lit("]"))
@@ -47,7 +47,11 @@ def import_mapping(files: DataFrame, keys=KEYS) -> DataFrame:
         files.select(*keys, wrapped.alias("wrapped"), parsed.alias("parsed"))
         .withColumn("object", F.when(F.size("parsed") == 1, F.get("parsed", F.lit(0))))
         .withColumn("valid", F.expr(_valid_entries("map_entries(object)")))
-        .select(*keys, status.alias("status"), F.expr(f"coalesce(valid, {empty(ENTRIES_TYPE)})").alias("entries"))
+        .select(
+            *keys,
+            status.alias("status"),
+            F.expr(f"coalesce(valid, {empty(ENTRIES_TYPE)})").alias("entries"),
+        )
     )
 
 

@@ -126,6 +126,13 @@ def test_runs(spark, scripts, tmp_path):
     assert runs.load_table(spark, path, "r1", "scripts").count() == 2
 
 
+def test_scripts_without_a_mode_use_the_saved_one(spark, scripts, tmp_path):
+    for mode, findings in (("sql", 1), ("pyspark", 0)):
+        options = spark.createDataFrame([(mode, False)], "mode STRING, redact_columns BOOLEAN")
+        runs.save_run(str(tmp_path), mode, options, scripts=scripts("FROMM"))
+        assert reload_run(spark, str(tmp_path), mode)["findings"].count() == findings
+
+
 def test_only_needed_columns_of_a_run_are_read(spark, scripts, tmp_path):
     saved = redact_corpus(scripts("from a.b")).save(str(tmp_path), "r")
     plan = saved.mapping.select("original")._jdf.queryExecution().executedPlan().toString()
