@@ -50,3 +50,90 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, test = table(spark, sf_dir, "documents"), held_out("doc_id", 5, 0)
     scored = score_texts(docs, fit(docs, table(spark, sf_dir, "labels"), ~test), "doc_id", test.alias("held_out"))
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+
+
+@query
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .source_mixing import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each removed line, with its place in the original text and where the text stays."""
+    from .line_dedup import dedup_lines
+
+    spans = dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", F.explode("removed").alias("r"))
+    return spans.select("doc_id", "r.start", "r.length", "r.kept_doc_id", "r.kept_line")
+
+
+@query
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import Rule, filter_urls, labelled_urls
+
+    rules = [Rule("net", "/", "block"), Rule("example.net", "/en/", "allow"), Rule("example.com", "/de/", "block"), Rule("org", "/fr/", "allow")]
+    labelled = spark.createDataFrame(labelled_urls(), "url string, label int")
+    return filter_urls(table(spark, sf_dir, "pages"), rules, labelled)
+
+
+def _mix_oracle() -> str:
+    from .source_mixing import BUCKET_ROWS, FILLS
+
+    fills, last = "", "f0"
+    for i in range(FILLS):
+        fills += f"""
+, c{i} AS (SELECT *, NOT extra AND size <= gap AS fits,
+    SUM(CASE WHEN NOT extra AND size <= gap THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY rank, size, doc_id NULLS FIRST, u ROWS UNBOUNDED PRECEDING) AS run FROM {last})
+, n{i} AS (SELECT * EXCLUDE (fits, run), fits AND run <= gap AS new FROM c{i})
+, f{i + 1} AS (SELECT * EXCLUDE (gap, extra, new), gap - SUM(CASE WHEN new THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap, extra OR new AS extra FROM n{i})"""
+        last = f"f{i + 1}"
+    return f"""
+WITH sized AS (
+  SELECT doc_id, source, COALESCE(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+    (('0x' || substr(md5('mix|' || COALESCE(doc_id::VARCHAR, '') || '|' || COALESCE(md5(text), '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
+  FROM documents)
+, per AS (SELECT source, SUM(size)::BIGINT AS source_size, COUNT(*) AS source_rows FROM sized GROUP BY source)
+, w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, 3 * source_size AS room FROM per)
+, l AS (SELECT *, (SUM(source_size) OVER () - COALESCE(SUM(room) OVER before, 0))::DOUBLE / (SUM(weight) OVER () - COALESCE(SUM(weight) OVER before, 0))::DOUBLE AS level
+  FROM w WINDOW before AS (ORDER BY room / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+, h AS (SELECT COALESCE(MAX(level) FILTER (level <= room / weight), 0.0) AS top FROM l)
+, t AS (SELECT source, source_size, source_rows, LEAST(weight * top, room::DOUBLE) AS target, CEIL(source_rows / {BUCKET_ROWS}.0) AS buckets FROM l, h)
+, t2 AS (SELECT *, CASE WHEN source_size > 0 THEN FLOOR(target / source_size)::BIGINT ELSE 0 END AS whole FROM t)
+, t3 AS (SELECT *, target - whole * source_size AS need FROM t2)
+, p AS (SELECT s.doc_id, s.source, s.size, s.u, t3.source_size, t3.target, t3.whole, t3.need, t3.buckets,
+    LEAST(0.999::DOUBLE, GREATEST(1e-6::DOUBLE, need / source_size * 2 * (source_size / source_rows) / ((source_size / source_rows) + size))) AS pi
+  FROM sized s JOIN t3 ON s.source IS NOT DISTINCT FROM t3.source)
+, r AS (SELECT *, u / (1 - u) / (pi / (1 - pi)) AS rank FROM (SELECT * REPLACE (COALESCE(pi, 0.5) AS pi) FROM p))
+, b AS (SELECT *, FLOOR(rank / (1 + rank) * buckets)::BIGINT AS bucket FROM r)
+, g AS (SELECT source, bucket, SUM(size) AS words, MAX(need) AS need FROM b GROUP BY source, bucket)
+, o AS (SELECT *, SUM(words) OVER (PARTITION BY source ORDER BY bucket) AS upto FROM g)
+, e AS (SELECT source, MIN(bucket) AS edge, ARG_MIN(need - upto + words, bucket) AS gap FROM o WHERE upto > need GROUP BY source)
+, pl AS (SELECT b.*, e.edge, e.gap FROM b LEFT JOIN e ON b.source IS NOT DISTINCT FROM e.source)
+, f0 AS (SELECT *, false AS extra FROM pl WHERE bucket = edge){fills}
+, z AS (SELECT *, NOT extra AND ABS(size - gap) < gap AS nearer FROM {last})
+, done AS (SELECT doc_id, size, source_size, target, whole, extra OR (nearer AND row_number() OVER (PARTITION BY source ORDER BY CASE WHEN nearer THEN ABS(size - gap) END NULLS LAST, rank, size, doc_id NULLS FIRST, u) = 1) AS extra FROM z
+  UNION ALL SELECT doc_id, size, source_size, target, whole, COALESCE(bucket < edge, true) FROM pl WHERE edge IS NULL OR bucket <> edge)
+SELECT doc_id, size, source_size, target, (size * (whole + extra::BIGINT))::BIGINT AS taken FROM done"""
+
+
+ORACLES["op3_source_mixing"] = _mix_oracle()
+
+
+@query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item that it holds."""
+    from .decontamination import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
+
+
+ORACLES["op9_line_dedup"] = """
+WITH n AS (SELECT row_number() OVER () AS r, doc_id, str_split(text, chr(10)) AS parts FROM documents)
+, l AS (SELECT r, doc_id, len(parts) AS n, unnest(parts) AS u, unnest(range(len(parts))) AS line FROM n)
+, p AS (SELECT *, COALESCE(SUM(length(u) + 1) OVER (PARTITION BY r ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+    trim(regexp_replace(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') AS norm FROM l)
+, q AS (SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value(line) OVER w AS kept_line, row_number() OVER w AS k FROM p
+  WHERE norm <> '' AND len(str_split(norm, ' ')) >= 20 WINDOW w AS (PARTITION BY norm ORDER BY doc_id NULLS FIRST, line))
+SELECT doc_id, start::BIGINT AS start, (length(u) + CASE WHEN line + 1 < n THEN 1 ELSE 0 END)::BIGINT AS length, kept_doc_id, kept_line::INT AS kept_line
+FROM q WHERE k > 1"""
