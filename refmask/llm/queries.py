@@ -137,3 +137,25 @@ WITH n AS (SELECT row_number() OVER () AS r, doc_id, str_split(text, chr(10)) AS
   WHERE norm <> '' AND len(str_split(norm, ' ')) >= 20 WINDOW w AS (PARTITION BY norm ORDER BY doc_id NULLS FIRST, line))
 SELECT doc_id, start::BIGINT AS start, (length(u) + CASE WHEN line + 1 < n THEN 1 ELSE 0 END)::BIGINT AS length, kept_doc_id, kept_line::INT AS kept_line
 FROM q WHERE k > 1"""
+
+
+@query
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_jaccard import similar_documents
+
+    return similar_documents(table(spark, sf_dir, "documents")).drop("key")
+
+
+ORACLES["op4_ngram_jaccard"] = """
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents)
+, s AS (SELECT DISTINCT r, CASE WHEN len(w) >= 5 THEN array_to_string(w[i:i + 4], ' ') ELSE array_to_string(w, ' ') END AS g
+  FROM (SELECT r, w, unnest(CASE WHEN len(w) >= 5 THEN range(1, len(w) - 3) WHEN len(w) > 0 THEN [1] ELSE [] END) AS i FROM w))
+, n AS (SELECT r, COUNT(*) AS n FROM s GROUP BY r)
+, p AS (SELECT a.r AS a, b.r AS b, COUNT(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r)
+, l AS (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * c >= 80 * (x.n + y.n - c))
+, e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l)
+, reach AS (SELECT r AS a, r AS b FROM n UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a)
+, m AS (SELECT reach.a AS r, MIN(d.doc_id) AS m FROM reach JOIN w d ON d.r = reach.b GROUP BY reach.a)
+SELECT w.doc_id, COALESCE(n.n, 0)::BIGINT AS n_shingles, CASE WHEN n.n IS NULL THEN w.doc_id ELSE m.m END AS component_id
+FROM w LEFT JOIN n USING (r) LEFT JOIN m USING (r)"""
