@@ -159,3 +159,22 @@ WITH RECURSIVE w AS (
 , m AS (SELECT reach.a AS r, MIN(d.doc_id) AS m FROM reach JOIN w d ON d.r = reach.b GROUP BY reach.a)
 SELECT w.doc_id, COALESCE(n.n, 0)::BIGINT AS n_shingles, CASE WHEN n.n IS NULL THEN w.doc_id ELSE m.m END AS component_id
 FROM w LEFT JOIN n USING (r) LEFT JOIN m USING (r)"""
+
+
+@query
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document before and after three edits, whose places and texts follow from the document itself."""
+    from .token_counts import apply_edits, token_trees
+
+    def number(k: int, what: str, below: str) -> str:
+        return f"pmod(xxhash64(doc_id, {k}, '{what}'), {below})"
+
+    edits = ", ".join(
+        f"named_struct('start', {number(k, 'start', 'length(text) + 1')}, 'length', {number(k, 'length', '40L')},"
+        f" 'insert', substr(text, cast({number(k, 'from', 'length(text) + 1')} as int), cast({number(k, 'insert', '60')} as int)))"
+        for k in range(3)
+    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.expr(f"array({edits})").alias("edits"))
+    trees = token_trees(docs, "doc_id", "edits").withColumnRenamed("n_tokens", "n_tokens_before")
+    edited = apply_edits(trees, "doc_id", "n_tokens_before")
+    return edited.select("doc_id", "n_tokens_before", F.col("n_tokens").alias("n_tokens_after"), F.length("text").cast("bigint").alias("n_chars_after"), "encoded")
