@@ -207,6 +207,7 @@ def apply_edits(trees: DataFrame, *keep: str, vocabulary: str = VOCABULARY) -> D
         counter = _counter(f.read())
     plain = trees.select(*keep, "edits", "chars", "tokens", "pieces", "text")
     kept = plain.select(*keep)
+    names = [*kept.columns, "text", "chars", "tokens", "pieces", "n_tokens", "encoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -226,6 +227,6 @@ def apply_edits(trees: DataFrame, *keep: str, vocabulary: str = VOCABULARY) -> D
                 heaps = [_lists([getattr(t, k) for _, t, _ in out]) for k in ("chars", "tokens", "pieces")]
                 ends = [pa.array([int(t.tokens[1]) for _, t, _ in out], pa.int64()), pa.array([n for _, _, n in out], pa.int64())]
                 columns = [*batch.columns[: len(keep)], pa.array([t for t, _, _ in out], pa.string()), *heaps, *ends]
-                yield pa.RecordBatch.from_arrays(columns, names=[*kept.columns, "text", "chars", "tokens", "pieces", "n_tokens", "encoded"])
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return plain.mapInArrow(run, f"{_types(kept)}text string, {TREE}, n_tokens bigint, encoded bigint")
