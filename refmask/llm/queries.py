@@ -102,9 +102,9 @@ WITH sized AS (
 , t2 AS (SELECT *, CASE WHEN source_size > 0 THEN FLOOR(target / source_size)::BIGINT ELSE 0 END AS whole FROM t)
 , t3 AS (SELECT *, target - whole * source_size AS need FROM t2)
 , p AS (SELECT s.doc_id, s.source, s.size, s.u, t3.source_size, t3.target, t3.whole, t3.need, t3.buckets,
-    LEAST(0.999::DOUBLE, GREATEST(1e-6::DOUBLE, need / source_size * 2 * (source_size / source_rows) / ((source_size / source_rows) + size))) AS pi
+    LEAST(0.999::DOUBLE, GREATEST(1e-6::DOUBLE, need / NULLIF(source_size, 0) * 2 * (source_size / source_rows) / NULLIF((source_size / source_rows) + size, 0))) AS pi
   FROM sized s JOIN t3 ON s.source IS NOT DISTINCT FROM t3.source)
-, r AS (SELECT *, u / (1 - u) / (pi / (1 - pi)) AS rank FROM (SELECT * REPLACE (COALESCE(pi, 0.5) AS pi) FROM p))
+, r AS (SELECT *, u / (1 - u) / (pi / (1 - pi)) AS rank FROM p)
 , b AS (SELECT *, FLOOR(rank / (1 + rank) * buckets)::BIGINT AS bucket FROM r)
 , g AS (SELECT source, bucket, SUM(size) AS words, MAX(need) AS need FROM b GROUP BY source, bucket)
 , o AS (SELECT *, SUM(words) OVER (PARTITION BY source ORDER BY bucket) AS upto FROM g)

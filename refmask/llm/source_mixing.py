@@ -80,12 +80,13 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats
         }
     )
     targets = targets.withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
-    share, mean = F.col("need") / F.col("source_size"), F.col("source_size") / F.col("source_rows")
-    inclusion = F.least(F.lit(0.999), F.greatest(F.lit(1e-6), share * 2 * mean / (mean + F.col("size"))))
+    # A source without words has no share; its inclusion odds are the least.
+    share, mean = F.try_divide("need", "source_size"), F.col("source_size") / F.col("source_rows")
+    inclusion = F.least(F.lit(0.999), F.greatest(F.lit(1e-6), F.try_divide(share * 2 * mean, mean + F.col("size"))))
     targets = targets.withColumnRenamed("source", "s")
     ranked = (
         sized.join(targets, F.col("source").eqNullSafe(F.col("s")))
-        .withColumn("pi", F.coalesce(inclusion, F.lit(0.5)))
+        .withColumn("pi", inclusion)
         .withColumn("rank", F.col("u") / (1 - F.col("u")) / (F.col("pi") / (1 - F.col("pi"))))
         .withColumn("bucket", F.floor(F.col("rank") / (1 + F.col("rank")) * F.col("buckets")))
         .select("doc_id", "source", "size", "source_size", "target", "whole", "need", "rank", "bucket", "u")

@@ -21,7 +21,9 @@ from .common import labelled_sample
 BITS = 20
 #: Bound of the labelled sample that a model is fitted on.
 SAMPLE_ROWS = 8000
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.0
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 8.0, 0.0
+#: A toxic example counts so many times; there are fewer of them.
+TOXIC_WEIGHT = 2.0
 #: Longer words also count by their first so many bytes, since endings vary.
 STEMS = (4, 5, 6)
 PASSES = 4
@@ -81,7 +83,7 @@ def train(sample: list[tuple[str, int]]) -> Model:
         for bucket, label in rows:
             i = np.append(bucket, 1 << BITS)
             w = weights(i)
-            g = 1 / (1 + np.exp(-np.clip(w.sum(), -30, 30))) - label
+            g = (1 / (1 + np.exp(-np.clip(w.sum(), -30, 30))) - label) * (TOXIC_WEIGHT if label else 1.0)
             z[i] += g - (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / ALPHA * w
             n[i] += g * g
     w = weights(np.arange(len(z)))

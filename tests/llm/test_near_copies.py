@@ -1,0 +1,106 @@
+import random
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from refmask.llm.graph import components
+from refmask.llm.ngram_jaccard import keep_one, least_overlap, similar_documents
+
+
+def brute(rows):
+    """doc_id by row to (n, component)."""
+    sets = []
+    for _, text in rows:
+        words = (text or "").encode().lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set())
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (doc_id, _) in enumerate(rows):
+        if doc_id is not None:
+            least[find(i)] = min(least.get(find(i), doc_id), doc_id)
+    return sorted((str(d), len(s), str(least.get(find(i)) if s else d)) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True)))
+
+
+def plain(df):
+    return sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in df.collect())
+
+
+def corpus(seed, n=160):
+    random.seed(seed)
+    word = lambda: f"w{random.randrange(4000)}"
+    passage = [word() for _ in range(40)]
+    bases = [[word() for _ in range(random.choice([3, 5, 9, 40, 120, 300]))] for _ in range(12)]
+    rows = []
+    for i in range(n):
+        kind = random.random()
+        words = list(random.choice(bases))
+        if kind < 0.5:  # near copies: some words changed, some ends cut
+            for _ in range(random.choice([0, 0, 1, 1, 2, 4])):
+                words[random.randrange(len(words))] = word()
+            words = words[: len(words) - random.choice([0, 0, 1, len(words) // 8])]
+        elif kind < 0.75:  # a passage that many share, and little else
+            words = [word() for _ in range(random.randrange(25))] + passage + [word() for _ in range(random.randrange(25))]
+        else:
+            words = [word() for _ in range(random.randrange(60))]
+        rows.append((random.choice([i, i, i, i // 2, None]), random.choice(["  ".join, "\n".join, " ".join])(words)))
+    return [*rows, (700, None), (701, ""), (702, " \t"), (703, "One"), (704, "one"), (705, "a b c d"), (706, "A B c d"), (None, "one"), (703, "One")]
+
+
+def test_components_equal_all_pairs(documents):
+    for seed in range(3):
+        rows = corpus(seed)
+        assert plain(similar_documents(documents(*rows))) == brute(rows)
+
+
+def test_a_group_around_its_base_and_one_without(documents):
+    """Copies of one base that are too far from each other, linked through the base only; and chains."""
+    random.seed(4)
+    base = [f"b{i}" for i in range(200)]
+    rows = []
+    for i in range(40):
+        words = list(base)
+        for k in range(3):
+            words[(i * 5 + k * 67) % 200] = f"x{i}-{k}"
+        rows.append((100 + i, " ".join(words)))
+    chain = [(300 + i, " ".join(f"c{j}" for j in range(i * 4, i * 4 + 60))) for i in range(20)]
+    for some in (rows, [*rows, (999, " ".join(base))], chain, [*rows, *chain]):
+        assert plain(similar_documents(documents(*some))) == brute(some)
+
+
+def test_least_overlap_is_the_ceiling():
+    n = np.arange(1, 500)
+    assert (least_overlap(n) * 5 >= n * 4).all() and ((least_overlap(n) - 1) * 5 < n * 4).all()
+
+
+def test_components_of_links(spark):
+    random.seed(9)
+    links = [(random.randrange(60), random.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(50)] + [(200, i) for i in range(201, 260)]
+    group = {x: x for pair in links for x in pair}
+    for _ in group:
+        for a, b in links:
+            group[a] = group[b] = min(group[a], group[b])
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a bigint, b bigint"), "test").collect()}
+    linked = {x for a, b in links if a != b for x in (a, b)}
+    assert got == {x: g for x, g in group.items() if x in linked}
+    assert components(spark.createDataFrame([], "a bigint, b bigint"), "test").count() == 0
+
+
+def test_one_row_of_each_group_stays(documents):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(5, text), (3, text + " more"), (3, text + " more"), (None, text), (8, None), (8, None), (9, ""), (7, "all else"), (None, "lonely words that nobody has")]
+    docs = documents(*rows).withColumn("n_shingles", F.lit("x")).withColumn("key", F.lit(1))
+    kept = keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["3", "7", "8", "8", "9", "None"])
+    assert keep_one(docs.limit(0)).count() == 0 and similar_documents(docs.limit(0)).count() == 0
