@@ -14,6 +14,7 @@ is DataFrame operations. A shingle is a BIGINT with its weight in the low bits,
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -47,6 +48,15 @@ def shingles(words: str) -> str:
     return f"CASE WHEN size({words}) >= {SHINGLE} THEN {many} WHEN size({words}) > 0 THEN {one} ELSE array() END"
 
 
+def grams(words: str, k: int) -> str:
+    """SQL for all runs of k words as shingles, in order: what an item of k words (five: or more) can have in a text."""
+    if k == SHINGLE:
+        return f"CASE WHEN size({words}) >= {SHINGLE} THEN {shingles(words)} ELSE array() END"
+    run = f"slice({words}, i + 1, {k})"
+    code = f"shiftleft(xxhash64({run}), {WEIGHT_BITS}) | least({(1 << WEIGHT_BITS) - 1}, length(array_join({run}, '')))"
+    return f"CASE WHEN size({words}) >= {k} THEN transform(sequence(0, size({words}) - {k}), i -> {code}) ELSE array() END"
+
+
 def weight_of(codes: str) -> str:
     return f"aggregate({codes}, 0L, (a, c) -> a + (c & {(1 << WEIGHT_BITS) - 1}))"
 
@@ -79,8 +89,10 @@ def windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     wanted = items.select("n_words", F.posexplode("codes").alias("at", "code")).distinct()
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    found = docs.select("key", F.posexplode(F.expr(shingles("w"))).alias("pos", "code"))
-    seeds = found.join(wanted, "code").select("key", F.greatest(F.col("pos") - F.col("at"), F.lit(0)).alias("start"), "n_words").distinct()
+    # Items of fewer than five words are looked for as runs of as many words; without such items this adds nothing.
+    sizes = [r[0] for r in items.select(F.least("n_words", F.lit(SHINGLE))).distinct().collect()]  # five values at most
+    parts = [docs.select("key", F.posexplode(F.expr(grams("w", k))).alias("pos", "code")) for k in sorted(sizes) or [SHINGLE]]
+    seeds = reduce(DataFrame.unionAll, parts).join(wanted, "code").select("key", F.greatest(F.col("pos") - F.col("at"), F.lit(0)).alias("start"), "n_words").distinct()
     seeds = seeds.groupBy("key").agg(F.collect_set(F.struct("start", "n_words")).alias("places"))
     cut = docs.select("key", "doc_id", "w").join(seeds, "key").select("key", "doc_id", F.explode("places").alias("p"), "w")
     cut = cut.select("key", "doc_id", F.col("p.start").alias("start"), F.expr("slice(w, p.start + 1, p.n_words)").alias("w"))
