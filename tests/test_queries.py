@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from checks.queries import ORACLES, QUERIES
 
 SF_DIR = entry.SMOKE_DIR
 
@@ -21,11 +22,11 @@ def comparable(rows, columns, names):
     return sorted(tuple(str(row[i]) for i in order) for row in rows)
 
 
-@pytest.mark.parametrize("name", entry.queries())
+@pytest.mark.parametrize("name", QUERIES)
 def test_query(spark, duck, name):
-    result = entry.queries()[name](spark, SF_DIR)
+    result = QUERIES[name](spark, SF_DIR)
     got = result.collect()
-    relation = duck.sql(entry.oracle_sql()[name])
+    relation = duck.sql(ORACLES[name])
     assert sorted(relation.columns) == sorted(result.columns)
     names = sorted(result.columns)
     expected = comparable(relation.fetchall(), relation.columns, names)
