@@ -59,7 +59,8 @@ LINE_ITEMS = (
 
 def batch_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     statements = f"transform(items, s -> {line_statement(*line_tables('s'), 's.l_partkey')})"
-    orders = spread(frame(spark, sf_dir, LINE_ITEMS))
+    # Grouping deals the rows out; the input needs no exchange of its own.
+    orders = frame(spark, sf_dir, LINE_ITEMS, deal_out=False)
     return orders.selectExpr("script_id", f"array_join({statements}, chr(10)) AS text")
 
 
@@ -115,7 +116,7 @@ SAVED_OPTIONS = (
     "WHEN s_suppkey % 4 = 2 THEN '{}' ELSE '{bad' END AS value FROM supplier"
 )
 
-# The texts as they are: prose and web pages full of quotes, dashes and brackets.
+# The texts as they are: prose, and web pages full of double quotes.
 DOCUMENTS = "SELECT doc_id AS script_id, text FROM documents"
 PAGES = "SELECT page_id AS script_id, html AS text FROM pages"
 CONVERSATIONS = "SELECT conv_id * 100000 + turn AS script_id, text FROM conversations"
@@ -131,8 +132,7 @@ ALL_TEXTS = " UNION ALL ".join(
         ("pyspark", PYSPARK_SCRIPTS),
     )
 )
-# Every sentence end of the documents becomes a table reference: up to thousands per script, some of
-# them inside the quotes and comments the prose happens to contain.
+# Every sentence end of the documents becomes a table reference: up to thousands per script.
 PROSE_SCRIPTS = (
     "SELECT doc_id AS script_id, replace(text, '. ', ' FROM Lake.' || lang || '.T_' || CAST(n_chars % 7 AS STRING) "
     "|| ' x JOIN \"' || source || ' d\" ON x.' || lang || ' = y . k WHERE ') AS text FROM documents"
@@ -144,11 +144,13 @@ MISSPELT_PROSE = (
 )
 
 
-def frame(spark: SparkSession, sf_dir: str, corpus: str) -> DataFrame:
-    """``corpus`` as a DataFrame over the Parquet files in ``sf_dir``."""
+def frame(spark: SparkSession, sf_dir: str, corpus: str, deal_out: bool = True) -> DataFrame:
+    """``corpus`` as a DataFrame over the Parquet files in ``sf_dir``, which have one row group each."""
     used = set(re.findall(rf"\bFROM ({'|'.join(TABLES)})\b", corpus))
     for name in used:
-        table = spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        if deal_out:
+            table = spread(table, spark.sparkContext.defaultParallelism)
         table.createOrReplaceTempView(f"{VIEW_PREFIX}{name}")
     query = re.sub(rf"\bFROM ({'|'.join(used)})\b", rf"FROM {VIEW_PREFIX}\1", corpus)
     scripts = spark.sql(query)

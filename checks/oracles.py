@@ -14,7 +14,7 @@ _W = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x
 _IDENT = r'(?:\[[^\]]+\]|"(?:[^"]|"")+"|`(?:[^`]|``)+`|[A-Za-z_][A-Za-z0-9_$#]*)'
 _QUOTED = r'(?:\[[^\]]+\]|"(?:[^"]|"")+"|`(?:[^`]|``)+`)'
 _BARE = r"[A-Za-z_][A-Za-z0-9_$#]*"
-_NAME = rf"{_IDENT}(?:{_W}*\.{_W}*{_IDENT}){{0,3}}"
+_NAME = rf"{_IDENT}(?:{_W}*\.{_W}*{_IDENT})*"
 _PROTECTED = (
     r"--[^\n]*|(?s:/\*.*?(?:\*/|\z))|'[^']*(?:''[^']*)*(?:'|\z)"
     r'|"[^"]*(?:""[^"]*)*(?:"|\z)|`[^`]*(?:`|\z)|\[[^\]]*(?:\]|\z)'
@@ -118,7 +118,7 @@ def prose_columns(corpus: str) -> str:
     """``script_id, text``: tables and columns of ``corpus`` redacted."""
     pair = rf"{_BARE}{_W}*\.{_W}*{_IDENT}"
     context = "|".join(
-        rf"\b(?i:{w}){_W}{{1,{lx.TABLE_CONTEXT_WINDOW - len(w)}}}{pair}" for w in lx.TABLE_CONTEXT_WORDS
+        rf"\b(?i:{w}){_W}+{pair}" for w in lx.TABLE_CONTEXT_WORDS
     )
     token = _q(rf"{_QUOTED}{_W}*\.{_W}*{_IDENT}|{_PROTECTED}|{context}|{pair}")
     split = _q(rf"(?s)^({_BARE}){_W}*\.{_W}*({_IDENT})$")

@@ -11,6 +11,9 @@ from checks import corpora as co
 from checks import oracles as oc
 from refmask.functions import lexicon as lx
 from refmask.functions import text as tx
+from refmask.operators import audit as au
+from refmask.operators import corpus as cp
+from refmask.operators import incremental as inc
 from refmask.operators import lines as ln
 from refmask.operators import mapping as mp
 from refmask.operators import references as rf
@@ -268,7 +271,7 @@ def d4_findings(spark, sf_dir):
 
 @query(oc.findings(co.MISSPELT_PROSE))
 def d4_findings_in_prose(spark, sf_dir):
-    return _wide(ty.typo_findings(co.frame(spark, sf_dir, co.MISSPELT_PROSE), max_findings=None))
+    return _wide(ty.typo_findings(co.frame(spark, sf_dir, co.MISSPELT_PROSE)))
 
 
 _TOKENS = """WITH edits AS ({edited}),
@@ -293,7 +296,7 @@ def d6_lines(spark, sf_dir):
 
 
 @query(
-    f"WITH found AS (SELECT DISTINCT script_id, line FROM ({oc.findings(co.MISSPELT_PROSE, lx.MAX_FINDINGS)})), "
+    f"WITH found AS (SELECT DISTINCT script_id, line FROM ({oc.findings(co.MISSPELT_PROSE)})), "
     "l AS (SELECT script_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line, "
     f"unnest(string_split(text, chr(10))) AS text FROM ({co.MISSPELT_PROSE})) "
     "SELECT l.script_id, l.line, text, found.line IS NOT NULL AS has_typo FROM l LEFT JOIN found USING (script_id, line)"
@@ -332,15 +335,17 @@ _ORDER_ENTRIES = (
     )
 )
 def e4_mapping_union(spark, sf_dir):
-    mapping = _sql(spark, sf_dir, COLUMNS_ON).mapping
-    tables = mapping.filter(F.col("kind") == "table")
-    columns = mapping.filter(F.col("kind") == "column")
-    return _wide(mp.mapping_table(mp.pack_mapping(mp.mapping_union(tables, columns))))
+    """Tables of a run, columns of imported mappings."""
+    pairs = " || ',' || ".join(f"'\"redacted.Col_{i}\":\"' || {ref} || '\"'" for i, ref in enumerate(_COLUMN_REFS, 1))
+    files = co.frame(spark, sf_dir, f"SELECT o_orderkey AS script_id, '{{' || {pairs} || '}}' AS json FROM orders")
+    union = mp.mapping_union(_sql(spark, sf_dir).mapping, mp.mapping_table(import_mapping(files)))
+    return _wide(mp.mapping_table(mp.pack_mapping(union)))
 
 
-@query(oc.findings(co.MISSPELT_PROSE, lx.MAX_FINDINGS))
+@query(oc.findings(co.MISSPELT_PROSE, lx.PANEL_FINDINGS))
 def e5_findings_capped(spark, sf_dir):
-    return _wide(ty.typo_findings(co.frame(spark, sf_dir, co.MISSPELT_PROSE)))
+    scripts = co.frame(spark, sf_dir, co.MISSPELT_PROSE)
+    return _wide(ty.typo_findings(scripts, max_findings=lx.PANEL_FINDINGS))
 
 
 @query(
@@ -360,7 +365,7 @@ def e8_typo_summary(spark, sf_dir):
     return ty.typo_summaries(_sql(spark, sf_dir).annotated)
 
 
-@query(f"SELECT DISTINCT script_id, line FROM ({oc.findings(co.MISSPELT_PROSE, lx.MAX_FINDINGS)})")
+@query(f"SELECT DISTINCT script_id, line FROM ({oc.findings(co.MISSPELT_PROSE)})")
 def e9_typo_lines(spark, sf_dir):
     scripts = ty.with_findings(co.frame(spark, sf_dir, co.MISSPELT_PROSE))
     return _wide(ty.typo_lines(scripts))
@@ -444,14 +449,12 @@ def f5_fix_prose(spark, sf_dir):
 
 @query(oc.batch_texts("{0}.original"))
 def f6_restore_batches(spark, sf_dir):
-    job = _batches(spark, sf_dir)
-    return restore_corpus(job.redacted, job.mapping).select("script_id", "text")
+    return rs.restore_with_entries(_batches(spark, sf_dir).annotated).select("script_id", "text")
 
 
 @query(co.SQL_SCRIPTS)
 def f6_restore_roundtrip(spark, sf_dir):
-    job = _sql(spark, sf_dir, COLUMNS_ON)
-    return restore_corpus(job.redacted, job.mapping).select("script_id", "text")
+    return rs.restore_with_entries(_sql(spark, sf_dir, COLUMNS_ON).annotated).select("script_id", "text")
 
 
 @query(oc.prose_restored(co.PROSE_SCRIPTS))
@@ -528,3 +531,148 @@ def p3_fix_job(spark, sf_dir):
             "script_id", "status", "replacements", F.size("findings").alias("findings_after")
         )
     )
+
+
+# -- views of a corpus ---------------------------------------------------------------------------
+
+
+@query(
+    "SELECT name AS canon, count(DISTINCT o_orderkey) AS scripts, count(*) AS refs FROM ("
+    f"SELECT o_orderkey, {co.ORDER_TABLE} AS name FROM orders UNION ALL SELECT o_orderkey, {co.PRIORITY_TABLE} FROM orders) GROUP BY name"
+)
+def x1_table_usage(spark, sf_dir):
+    return au.table_usage(co.frame(spark, sf_dir, co.SQL_SCRIPTS))
+
+
+@query(
+    f"SELECT rule, fix, count(DISTINCT script_id) AS scripts, count(*) AS findings FROM ({oc.findings(co.MISSPELT_PROSE)}) GROUP BY rule, fix"
+)
+def x2_typo_rollup(spark, sf_dir):
+    return _wide(au.typo_rollup(ty.typo_findings(co.frame(spark, sf_dir, co.MISSPELT_PROSE))))
+
+
+# What the rules leave: the second table of a list, USING, CREATE TABLE, strings; and a table named in full nowhere else.
+_LEAKY = (
+    f"SELECT o_orderkey AS script_id, 'SELECT 1 FROM ' || {co.ORDER_TABLE} || ' x, ' || upper({co.ORDER_TABLE}) || ' y;' || chr(10) "
+    f"|| 'MERGE INTO ' || {co.PRIORITY_TABLE} || ' t USING ' || {co.ORDER_TABLE} || ' s ON 1 = 1;' || chr(10) "
+    f"|| CASE WHEN o_orderkey % 3 = 0 THEN 'CREATE TABLE ' || {co.PRIORITY_TABLE} || ' (k INT);' "
+    f"WHEN o_orderkey % 3 = 1 THEN 'spark.sql(\"SELECT 1 AS ' || {co.PRIORITY_TABLE} || '\")' ELSE 'SELECT other.name' END AS text FROM orders"
+)
+
+
+@query(
+    f"SELECT o_orderkey AS script_id, 'table' AS kind, {co.ORDER_TABLE} AS canon, CAST(2 AS BIGINT) AS times FROM orders "
+    f"UNION ALL SELECT o_orderkey, 'table', {co.PRIORITY_TABLE}, 1 FROM orders WHERE o_orderkey % 3 < 2"
+)
+def x3_leak_audit(spark, sf_dir):
+    annotated = redact_corpus(co.frame(spark, sf_dir, _LEAKY)).annotated
+    return au.leak_audit(annotated, mp.mapping_table(annotated))
+
+
+@query(
+    "SELECT o_orderkey AS script_id, CAST(2 AS BIGINT) AS expected, "
+    "CAST(CASE o_orderkey % 10 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 0 WHEN 3 THEN 0 ELSE 2 END AS BIGINT) AS found, "
+    "CAST(CASE o_orderkey % 10 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 2 ELSE 0 END AS BIGINT) AS missing, "
+    "CAST(CASE WHEN o_orderkey % 10 IN (1, 2) THEN 1 ELSE 0 END AS BIGINT) AS unknown FROM orders"
+)
+def x4_restore_coverage(spark, sf_dir):
+    return au.restore_coverage(co.frame(spark, sf_dir, co.EDITED_SCRIPTS), _sql(spark, sf_dir).annotated)
+
+
+_NAMES = (
+    f"SELECT canon, row_number() OVER (ORDER BY substr(md5(canon), 1, 2), canon) AS n FROM "
+    f"(SELECT {co.ORDER_TABLE} AS canon FROM orders UNION SELECT {co.PRIORITY_TABLE} FROM orders)"
+)
+
+
+@query(
+    f"WITH names AS ({_NAMES}) SELECT o_orderkey AS script_id, "
+    + co.order_script("'redacted.Table_' || a.n", "'redacted.Table_' || b.n")
+    + f" AS text FROM orders JOIN names a ON a.canon = {co.ORDER_TABLE} JOIN names b ON b.canon = {co.PRIORITY_TABLE}"
+)
+def x5_corpus_redact(spark, sf_dir):
+    job = _sql(spark, sf_dir)
+    return cp.redact_with_dictionary(job.redacted, job.mapping, cp.corpus_dictionary(job.mapping))
+
+
+@query(f"SELECT 'table' AS kind, canon, canon AS original, n, 'redacted.Table_' || n AS placeholder FROM ({_NAMES})")
+def x5_corpus_dictionary(spark, sf_dir):
+    return cp.corpus_dictionary(_sql(spark, sf_dir).mapping)
+
+
+@query(f"SELECT script_id, text FROM ({co.SQL_SCRIPTS}) WHERE script_id % 3 = 0 OR script_id % 7 = 1")
+def x6_incremental(spark, sf_dir):
+    scripts = co.frame(spark, sf_dir, co.SQL_SCRIPTS)
+    before = scripts.filter("script_id % 7 <> 1").withColumn(
+        "text", F.when(F.expr("script_id % 3 = 0"), F.concat("text", F.lit(" -- old"))).otherwise(F.col("text"))
+    )
+    return inc.changed_scripts(scripts, inc.script_hashes(before))
+
+
+# -- names the rules must not cut or overlook ----------------------------------------------------
+
+_DEEP = "'srv_' || CAST(o_custkey % 5 AS STRING) || '.db.cat.sch.t_' || CAST(o_orderkey % 9 AS STRING)"
+
+
+@query(
+    "SELECT o_orderkey AS script_id, 'SELECT 1 FROM redacted.Table_1 x JOIN redacted.Table_1 y ON 1 = 1' AS text FROM orders"
+)
+def f1_redact_deep_names(spark, sf_dir):
+    """Names of five parts, spelled in two ways."""
+    deep = f"SELECT o_orderkey AS script_id, 'SELECT 1 FROM ' || {_DEEP} || ' x JOIN ' || upper(replace({_DEEP}, '.', ' . ')) || ' y ON 1 = 1' AS text FROM orders"
+    return redact_corpus(co.frame(spark, sf_dir, deep)).redacted.select("script_id", "text")
+
+
+_GAP = "SELECT o_orderkey AS script_id, 'CREATE TABLE' || repeat(' ', CAST(o_orderkey % 90 + 1 AS INT)) || 'q.r AS SELECT f.id FROM a.b f' AS text FROM orders"
+
+
+@query(
+    "SELECT o_orderkey AS script_id, 'CREATE TABLE' || repeat(' ', CAST(o_orderkey % 90 + 1 AS INT)) || 'q.r AS SELECT redacted.Col_1 FROM redacted.Table_1 f' AS text FROM orders"
+)
+def f2_redact_wide_gaps(spark, sf_dir):
+    """A table keyword protects the pair after it however much white space is between."""
+    return redact_corpus(co.frame(spark, sf_dir, _GAP), COLUMNS_ON).redacted.select("script_id", "text")
+
+
+_IMPORTS = "SELECT c_custkey AS script_id, 'from pkg_' || CAST(c_nationkey AS STRING) || '.mod import x' || chr(10) || 'FROM lib.t' || CAST(c_custkey % 5 AS STRING) AS text FROM customer"
+
+
+@query(
+    "SELECT c_custkey AS script_id, 'from pkg_' || CAST(c_nationkey AS STRING) || '.mod import x' || chr(10) || 'FROM redacted.Table_1' AS text FROM customer"
+)
+def b9_import_guard(spark, sf_dir):
+    return redact_corpus(co.frame(spark, sf_dir, _IMPORTS)).redacted.select("script_id", "text")
+
+
+_GUARDED = (
+    "'/* FROM a.b' || chr(10) || ' JOIN c.d */ SELECT `FROM x.y`, [JOIN p.q], ''FROM in k.l'', \"UPDATE z.z\" -- FROM e.f' || chr(10) "
+    "|| 'FROM ' || {name} || ' x /* FROM never.closed'"
+)
+
+
+@query(
+    f"SELECT c_custkey AS script_id, {_GUARDED.format(name=chr(39) + 'redacted.Table_1' + chr(39))} AS text FROM customer"
+)
+def b10_protected(spark, sf_dir):
+    name = "'cat.seg_' || lower(c_mktsegment)"
+    scripts = co.frame(spark, sf_dir, f"SELECT c_custkey AS script_id, {_GUARDED.format(name=name)} AS text FROM customer")
+    return redact_corpus(scripts).redacted.select("script_id", "text")
+
+
+@query(
+    "WITH r AS (SELECT l_suppkey AS script_id, l_partkey, l_orderkey, l_linenumber FROM lineitem), "
+    "o AS (SELECT script_id, 'wh.p' || l_partkey AS canon, row_number() OVER (PARTITION BY script_id ORDER BY l_orderkey, l_linenumber, l_partkey) AS i FROM r), "
+    "f AS (SELECT script_id, canon, min(i) AS first FROM o GROUP BY ALL) "
+    "SELECT script_id, 'redacted.Table_' || n AS placeholder, 'table' AS kind, n, canon AS original, canon FROM "
+    "(SELECT script_id, canon, row_number() OVER (PARTITION BY script_id ORDER BY first) AS n FROM f)"
+)
+def e1_many_names(spark, sf_dir):
+    """One script per supplier with all parts it delivers: hundreds of names each, more than linear search takes."""
+    items = (
+        "SELECT l_suppkey AS script_id, sort_array(collect_list(struct(l_orderkey, l_linenumber, l_partkey))) AS items "
+        "FROM lineitem GROUP BY l_suppkey"
+    )
+    scripts = co.frame(spark, sf_dir, items, deal_out=False).selectExpr(
+        "script_id", "array_join(transform(items, i -> 'SELECT 1 FROM wh.p' || i.l_partkey || ';'), chr(10)) AS text"
+    )
+    return _wide(redact_corpus(scripts).mapping)

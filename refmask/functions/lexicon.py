@@ -19,7 +19,7 @@ TABLE_KEYWORDS = (
     "TRUNCATE TABLE",
 )
 # A bare table name counts only if one of these (or the end of the script) follows it.
-CLAUSE_PUNCTUATION = ", ) ;".split()
+CLAUSE_PUNCTUATION = (",", ")", ";")
 CLAUSE_WORDS = (
     "WHERE",
     "GROUP BY",
@@ -44,11 +44,10 @@ CLAUSE_WORDS = (
     "SET",
     "VALUES",
 )
-# A column pair right after one of these is a table name; the look-behind covers this many characters.
+# A column pair right after one of these is a table name.
 TABLE_CONTEXT_WORDS = ("FROM", "JOIN", "UPDATE", "INTO", "TABLE", "ONLY")
-TABLE_CONTEXT_WINDOW = 48
-MAX_NAME_PARTS = 4
-MAX_FINDINGS = 8
+# How many findings a small panel shows; nothing is limited to this unless asked for.
+PANEL_FINDINGS = 8
 # (misspelling, correction), numbered from 1; the order is the order in which repairs are applied.
 TYPO_RULES = (
     ("FROMM", "FROM"),
@@ -138,10 +137,10 @@ _TAIL = rf"{SPACE}*+(?:\z|{_CLAUSE}|{_ALIAS}{SPACE}*+(?:\z|{_CLAUSE}))"
 _TABLE_PREFIX = (
     f"{WORD_START}{_any_of(TABLE_KEYWORDS)}{SPACE}++(?:(?i:ONLY){SPACE}++(?={_IDENTIFIER}))?+"
 )
-_TABLE_NAME = f"{_IDENTIFIER}{_MORE_PARTS}{{0,{MAX_NAME_PARTS - 1}}}+"
+_TABLE_NAME = f"{_IDENTIFIER}{_MORE_PARTS}*+"
 _ACCEPTED_NAME = (
-    f"(?>{_QUOTED}{_MORE_PARTS}{{0,{MAX_NAME_PARTS - 1}}}+"
-    f"|{_BARE}{_MORE_PARTS}{{1,{MAX_NAME_PARTS - 1}}}+"
+    f"(?>{_QUOTED}{_MORE_PARTS}*+"
+    f"|{_BARE}{_MORE_PARTS}++"
     f"|{_BARE}(?={_TAIL}))"
 )
 _NOT_IMPORT = f"(?!{SPACE}*+(?i:import){WORD_END})"
@@ -170,7 +169,7 @@ SQL_TABLE_ALL = (
 # -- SQL columns -------------------------------------------------------------------------------
 _PAIR = f"{_BARE}{_DOT}{_IDENTIFIER}"
 _TABLE_CONTEXT = f"(?=[{_first_letters(TABLE_CONTEXT_WORDS)}])(?:" + "|".join(
-    f"(?i:{w}){SPACE}{{1,{TABLE_CONTEXT_WINDOW - len(w)}}}+" for w in TABLE_CONTEXT_WORDS
+    f"(?i:{w}){SPACE}++" for w in TABLE_CONTEXT_WORDS
 ) + ")"
 KEEP_COLUMN = "${keep}${context}${lead}"
 _NAME_START = r"(?<![\w$#])"
@@ -217,6 +216,11 @@ IS_TABLE_PLACEHOLDER = r"(?i)\Aredacted\.Table_[0-9]+\z"
 TABLE_NUMBERS = rf"{WORD_START}redacted\.Table_([0-9]+){WORD_END}"
 COLUMN_NUMBERS = rf"{WORD_START}redacted\.Col_([0-9]+){WORD_END}"
 
+# -- names anywhere in a text ------------------------------------------------------------------
+# A dotted path of bare or back-ticked or bracketed parts, wherever it stands: in code, comments or strings.
+_AUDIT_PART = r"(?>\[[^\]\n]++\]|`[^`\n]++`|" + _BARE + ")"
+AUDIT_PATH = rf"(?<![\w$#]){_AUDIT_PART}(?:{_DOT}{_AUDIT_PART})*+"
+
 # -- quotes and white space -------------------------------------------------------------------------------
 IDENTIFIER_QUOTES = r'(?s)\A(?:"(.*)"|`(.*)`|\[(.*)\])\z'
 OUTER_SPACE = rf"\A{SPACE}++|{SPACE}++\z"

@@ -51,8 +51,8 @@ def _scan(text: str, rules) -> str:
     return with_marks(text, marked_text)
 
 
-def find_typos(text: str, max_findings: int | None = lx.MAX_FINDINGS) -> str:
-    """Findings in order of rule, then position; the first ``max_findings`` of them."""
+def find_typos(text: str, max_findings: int | None = None) -> str:
+    """Findings in order of rule, then position; all, or the first ``max_findings`` of them."""
     nested = when(
         f"{text} RLIKE {pattern(lx.typo_pattern(lx.NESTED_RULES))}",
         _scan(text, lx.NESTED_RULES),

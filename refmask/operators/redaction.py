@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refmask.functions import lexicon as lx
 from refmask.functions import text as tx
 from refmask.functions.redact import ENTRIES_TYPE, redact
 from refmask.functions.sqltext import empty, when
@@ -18,7 +17,7 @@ def redact_scripts(
     keys=KEYS,
     redact_columns: bool = False,
     on_typos: str = "continue",
-    max_findings: int | None = lx.MAX_FINDINGS,
+    max_findings: int | None = None,
 ) -> DataFrame:
     """``keys…, mode, status, text, entries, findings`` for ``keys…, text[, mode]``.
 

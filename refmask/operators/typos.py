@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refmask.functions import lexicon as lx
 from refmask.functions.sqltext import empty, struct, when
 from refmask.functions.typos import FINDINGS_TYPE, find_typos, fix_typos, typo_summary
 from refmask.operators.rows import explode_rows
@@ -13,7 +12,7 @@ from refmask.schema import KEYS
 
 
 def with_findings(
-    scripts: DataFrame, max_findings: int | None = lx.MAX_FINDINGS
+    scripts: DataFrame, max_findings: int | None = None
 ) -> DataFrame:
     """``scripts`` with a ``findings`` array; PySpark scripts are not checked."""
     findings = find_typos("text", max_findings)
@@ -30,7 +29,7 @@ def findings_table(annotated: DataFrame, keys=KEYS) -> DataFrame:
 
 
 def typo_findings(
-    scripts: DataFrame, keys=KEYS, max_findings: int | None = lx.MAX_FINDINGS
+    scripts: DataFrame, keys=KEYS, max_findings: int | None = None
 ) -> DataFrame:
     return findings_table(with_findings(scripts, max_findings), keys)
 

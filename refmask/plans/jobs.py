@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refmask.functions import lexicon as lx
 from refmask.functions.sqltext import empty, when
 from refmask.functions.typos import FINDINGS_TYPE
 from refmask.operators import mapping as mp
@@ -25,7 +24,7 @@ class Options:
     mode: str = "sql"
     redact_columns: bool = False
     on_typos: str = "continue"
-    max_findings: int | None = lx.MAX_FINDINGS
+    max_findings: int | None = None
 
 
 @dataclass(frozen=True)

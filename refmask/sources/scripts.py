@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from refmask.functions.text import normalise_newlines
 from refmask.schema import KEYS
 
-# Inputs below this are cheap to shuffle once; above it they have enough splits of their own.
-SPREAD_MAX_BYTES = 256 << 20
-
 
 def scripts_from(table: DataFrame, text="text", keys=KEYS) -> DataFrame:
     """``keys…, text[, mode]`` of any table, with newlines as every operator expects them.
@@ -34,15 +31,10 @@ def read_scripts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
-def spread(scripts: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Rows of a small input dealt out to all cores.
+def spread(scripts: DataFrame, partitions: int) -> DataFrame:
+    """Rows dealt out to so many partitions.
 
-    Redaction is bound by CPU, and a single Parquet row group is read by a single task. Only inputs
-    whose size Spark knows to be small are shuffled; a large one is left alone.
+    Redaction is bound by CPU, and a single Parquet row group is read by a single task. Whoever knows
+    that an input is stored in fewer row groups than there are cores asks for this; it shuffles.
     """
-    stats = scripts._jdf.queryExecution().optimizedPlan().stats()
-    if int(str(stats.sizeInBytes())) > SPREAD_MAX_BYTES:
-        return scripts
-    return scripts.repartition(
-        partitions or scripts.sparkSession.sparkContext.defaultParallelism
-    )
+    return scripts.repartition(partitions)

@@ -12,12 +12,34 @@ DIGITS = set("0123456789")
 WORD = LETTERS | DIGITS
 NAME = WORD | set("$#")
 CLOSING = {'"': '"', "`": "`", "[": "]"}
-KEYWORDS = [["FROM"], ["JOIN"], ["UPDATE"], ["INTO"], ["MERGE", "INTO"], ["DELETE", "FROM"], ["TRUNCATE", "TABLE"]]
-CLAUSES = [
-    w.split()
-    for w in "WHERE;GROUP BY;ORDER BY;HAVING;JOIN;LEFT;RIGHT;INNER;FULL;CROSS;UNION;INTERSECT;EXCEPT;"
-    "LIMIT;QUALIFY;WINDOW;SAMPLE;LATERAL;ON;USING;SET;VALUES".split(";")
-]
+# The keywords and clauses of the rules.
+KEYWORD_PHRASES = ("FROM", "JOIN", "UPDATE", "INTO", "MERGE INTO", "DELETE FROM", "TRUNCATE TABLE")
+CLAUSE_PHRASES = (
+    "WHERE",
+    "GROUP BY",
+    "ORDER BY",
+    "HAVING",
+    "JOIN",
+    "LEFT",
+    "RIGHT",
+    "INNER",
+    "FULL",
+    "CROSS",
+    "UNION",
+    "INTERSECT",
+    "EXCEPT",
+    "LIMIT",
+    "QUALIFY",
+    "WINDOW",
+    "SAMPLE",
+    "LATERAL",
+    "ON",
+    "USING",
+    "SET",
+    "VALUES",
+)
+KEYWORDS = [phrase.split() for phrase in KEYWORD_PHRASES]
+CLAUSES = [phrase.split() for phrase in CLAUSE_PHRASES]
 
 
 def spaces(text, i):
@@ -76,10 +98,10 @@ def identifier(text, i):
     return quoted(text, i) or bare(text, i)
 
 
-def dotted(text, i, limit):
-    """End of up to ``limit`` further parts, and how many there are."""
+def dotted(text, i):
+    """End of all further parts, and how many there are."""
     count = 0
-    while count < limit:
+    while True:
         dot = spaces(text, i)
         if text[dot : dot + 1] != ".":
             break
@@ -150,7 +172,7 @@ def table_at(text, i):
         first = identifier(text, start)
         if first is None:
             continue
-        end, more = dotted(text, first, 3)
+        end, more = dotted(text, first)
         name = text[start:end]
         if is_word_at(text, spaces(text, end), "IMPORT"):
             accepted = False
@@ -225,7 +247,7 @@ def column_refs(text):
                 if (e := i + len(w))
                 and text[i:e].upper() == w
                 and not (i and text[i - 1] in WORD)
-                and 0 < spaces(text, e) - e <= 48 - len(w)
+                and spaces(text, e) > e
                 and pair_at(text, spaces(text, e))
             ),
             None,

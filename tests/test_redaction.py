@@ -33,7 +33,7 @@ SQL_CASES = {
     "from only where x": f"from only {T}1 x",
     # names
     "from a . b\n. c": f"from {T}1",
-    "from a.b.c.d.e": f"from {T}1.e",
+    "from a.b.c.d.e": f"from {T}1",
     "from [my t].[x y]": f"from {T}1",
     'from "a".`b`.[c].d e': f"from {T}1 e",
     "from t$1#.x_2": f"from {T}1",
@@ -226,9 +226,7 @@ def test_typos_are_looked_for_in_sql_only(scripts):
 
 
 def test_redacting_twice_changes_nothing(spark, scripts):
-    # The fifth part of a name stays behind its placeholder, which is then a three-part name.
-    cases = set(SQL_CASES) - {"from a.b.c.d.e"}
-    table = scripts(*[c for c in cases if "redacted" not in c.lower()])
+    table = scripts(*[c for c in SQL_CASES if "redacted" not in c.lower()])
     once = redact_corpus(table, Options(redact_columns=True)).redacted
     twice = redact_corpus(once, Options(redact_columns=True))
     assert twice.mapping.count() == 0
