@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import written
+from .common import release, written
 from .graph import components
 
 SHINGLE = 5
@@ -36,6 +36,8 @@ SHINGLE = 5
 OVER, UNDER = 4, 5
 #: In the first filter l is 1 + set size / FIRST_PART.
 FIRST_PART = 20
+#: Keys of the documents whose whole sets are wanted are broadcast up to this many (8 bytes each), beyond it joined by shuffling.
+BROADCAST_ROWS = 1_000_000
 #: Cost of verifying one candidate shingle by shingle, in entries of posting lists for each shingle of the set.
 VERIFY_COST = 0.05
 
@@ -97,13 +99,35 @@ def sketches(docs: DataFrame, whole: bool) -> DataFrame:
 
 
 def promising(low: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Nodes (node, n, doc_id of one document) that pass the first filter. ``low``: (node, shingles) of all documents."""
+    """The rows of ``nodes`` that pass the first filter. ``low``: (node, shingles) of all documents."""
     entries = low.select("node", F.explode("shingles").alias("shingle"))
     shared = entries.groupBy("shingle").agg(F.min("node").alias("one"), F.max("node").alias("other")).where("one <> other").select("shingle")
     hits = entries.join(shared, "shingle").groupBy("node").agg(F.count("*").alias("hits"))
     # Every copy of a node has brought the same shingles. A partner may be smaller and so have a smaller l.
     least = F.lit(1) + F.floor(F.ceil(F.col("n") * OVER / UNDER) / FIRST_PART)
-    return nodes.join(hits, "node").where(F.col("hits") >= least * F.col("copies")).select("node", "n", "doc_id")
+    return nodes.join(hits, "node").where(F.col("hits") >= least * F.col("copies")).select(*nodes.columns)
+
+
+def whole_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(node, n, shingles) of one document of each chosen node."""
+    size, repeated = chosen.agg(F.count("*"), F.max("same")).first()
+    keys = chosen.select(F.col("key").alias("__key"))
+    texts = docs.join(F.broadcast(keys) if size <= BROADCAST_ROWS else keys, F.col("key") == F.col("__key"), "left_semi")
+    sets = sketches(texts, whole=True).select("node", "n", "shingles")
+    # Only rows that are equal in id and text can still be of one node.
+    return sets.dropDuplicates(["node"]) if (repeated or 0) > 1 else sets
+
+
+def shared_shingles(full: DataFrame) -> DataFrame:
+    """(node, n, own, shared) of the nodes with so few shingles of their own that they may have partners.
+
+    ``shared`` are the shingles that other nodes have too, with their document frequencies, rarest first.
+    """
+    entries = full.select("node", F.explode("shingles").alias("shingle"))
+    frequent = entries.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    shared = entries.join(frequent, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("shared"))
+    shared = shared.join(full.select("node", "n"), "node").select("node", "n", (F.col("n") - F.size("shared")).alias("own"), "shared")
+    return shared.where(F.col("n") - F.ceil(F.col("n") * OVER / UNDER) >= F.col("own"))
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,16 +175,13 @@ def _close(a: str, b: str) -> str:
 
 def node_components(docs: DataFrame, nodes: DataFrame, low: DataFrame) -> DataFrame:
     """(node, root) of the nodes that link with another node."""
+    spark = docs.sparkSession
     chosen = written(promising(low, nodes), "jaccard-promising")
-    texts = docs.join(chosen.select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    full = sketches(texts, whole=True).join(chosen.select("node"), "node", "left_semi").dropDuplicates(["node"]).select("node", "n", "shingles")
-    full = written(full, "jaccard-sets")
-
-    entries = full.select("node", F.explode("shingles").alias("shingle"))
-    frequent = entries.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
-    shared = entries.join(frequent, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("shared"))
-    shared = shared.join(full.select("node", "n"), "node").select("node", "n", (F.col("n") - F.size("shared")).alias("own"), "shared")
-    shared = written(shared.where(F.col("n") - F.ceil(F.col("n") * OVER / UNDER) >= F.col("own")), "jaccard-shared")
+    release(spark)
+    full = written(whole_sets(docs, chosen), "jaccard-sets")
+    release(spark)
+    shared = written(shared_shingles(full), "jaccard-shared")
+    release(spark)
     sets = shared.select("node", "n", F.col("shared.shingle").alias("shared"))
     prefixes = shared.mapInArrow(_prefixes, "node bigint, n bigint, own bigint, matches bigint, prefix array<bigint>")
     postings = written(prefixes.select("node", "n", "own", "matches", F.explode("prefix").alias("shingle")), "jaccard-postings")
@@ -209,7 +230,11 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("key"))
     rows = written(sketches(docs, whole=False), "jaccard-sketches")
     members = rows.select("doc_id", "key", "n", "node")
-    nodes = members.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    by_key = members.where("n > 0").groupBy("node", "key").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"), F.count("*").alias("same"))
+    nodes = by_key.groupBy("node").agg(
+        F.max("n").alias("n"), F.min("doc_id").alias("doc_id"), F.sum("same").alias("copies"), F.min_by(F.struct("key", "same"), "key").alias("one")
+    )
+    nodes = written(nodes.select("node", "n", "doc_id", "copies", "one.key", "one.same"), "jaccard-nodes")
     roots = node_components(docs, nodes, rows.where("n > 0").select("node", "shingles"))
     placed = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
