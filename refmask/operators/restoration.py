@@ -50,6 +50,15 @@ def restore_with_entries(edited: DataFrame, keys=KEYS) -> DataFrame:
     )
 
 
+def restore_all_with(edited: DataFrame, mapping: DataFrame, keys=KEYS) -> DataFrame:
+    """One mapping, say an imported file, for all edits: ``keys…, status, text``.
+
+    ``mapping`` has one row with ``entries``; more are an error, none means no mapping.
+    """
+    entries = mapping.select("entries").scalar()
+    return restore_with_entries(edited.select(*keys, "text").withColumn("entries", entries), keys)
+
+
 def token_table(texts: DataFrame, keys=KEYS) -> DataFrame:
     """``keys…, pos, token, original`` for every placeholder in texts that carry ``entries``."""
     return explode_rows(texts, keys, placeholder_tokens("text", "entries")).select(

@@ -49,11 +49,20 @@ class Redaction:
     def findings(self) -> DataFrame:
         return ty.findings_table(self.annotated, self.keys)
 
-    def save(self, path: str, run_id: str) -> Redaction:
-        """Write the annotated rows once and go on from the written table."""
-        runs.save_run(path, run_id, annotated=self.annotated)
+    def save(
+        self, path: str, run_id: str, scripts: DataFrame, options: Options = Options()
+    ) -> Redaction:
+        """Write originals, options and the annotated rows, and go on from the written table."""
         spark = self.annotated.sparkSession
-        return Redaction(runs.load_table(spark, path, run_id, "annotated"), self.keys)
+        originals = with_mode(scripts, options.mode).select(*self.keys, "text", "mode")
+        settings = spark.createDataFrame([(options.mode, options.redact_columns)], "mode STRING, redact_columns BOOLEAN")
+        runs.save_run(path, run_id, settings, scripts=originals, annotated=self.annotated)
+        return Redaction(runs.load_table(spark, path, run_id, "annotated", key_types(scripts, self.keys)), self.keys)
+
+
+def key_types(table: DataFrame, keys=KEYS) -> str:
+    """The key columns of a table with their types, as DDL."""
+    return ", ".join(f"{key} {table.schema[key].dataType.simpleString()}" for key in keys)
 
 
 def with_mode(scripts: DataFrame, mode: str) -> DataFrame:
@@ -77,7 +86,10 @@ def redact_corpus(scripts: DataFrame, options: Options = Options(), keys=KEYS) -
 
 
 def restore_corpus(edited: DataFrame, mapping: DataFrame, keys=KEYS) -> DataFrame:
-    """``keys…, status, text`` for edited scripts and a mapping in long or packed form."""
+    """``keys…, status, text`` for edited scripts and a mapping in long or packed form.
+
+    A packed mapping has one row a script; several long ones are joined by ``merge_mappings`` first.
+    """
     packed = mapping if "entries" in mapping.columns else mp.pack_mapping(mapping, keys)
     return restore_scripts(edited, packed, keys)
 
@@ -91,10 +103,17 @@ def fix_corpus(scripts: DataFrame, options: Options = Options(), keys=KEYS) -> D
     )
 
 
-def reload_run(spark: SparkSession, path: str, run_id: str) -> dict[str, DataFrame]:
-    """A saved run with the findings of its original scripts derived anew as ``findings``."""
-    tables = runs.load_run(spark, path, run_id)
-    scripts = tables["scripts"]
-    if "mode" not in scripts.columns:
-        scripts = scripts.withColumn("mode", tables["options"].select("mode").scalar())
-    return {**tables, "findings": ty.typo_findings(scripts)}
+def reload_run(
+    spark: SparkSession, path: str, run_id: str, keys: str = "script_id BIGINT"
+) -> dict[str, DataFrame]:
+    """A saved run with the findings of its original scripts derived anew as ``findings``.
+
+    A run without its originals is an error rather than one without findings.
+    """
+    if not runs.has_table(spark, path, run_id, "scripts"):
+        raise ValueError(f"run {run_id!r} was saved without its scripts")
+    tables = runs.load_run(spark, path, run_id, keys)
+    names = tuple(part.split()[0] for part in keys.split(","))
+    mode = F.coalesce("mode", tables["options"].select("mode").scalar())
+    scripts = tables["scripts"].withColumn("mode", mode)
+    return {**tables, "findings": ty.typo_findings(scripts, names)}

@@ -15,3 +15,8 @@ ANNOTATED = (
 RESTORED = "script_id BIGINT, status STRING, text STRING"
 
 KEYS = ("script_id",)
+
+
+def with_keys(table: str, keys: str) -> str:
+    """The schema of a table with other key columns (DDL) than ``script_id BIGINT``."""
+    return table.replace("script_id BIGINT", keys, 1)

@@ -10,16 +10,33 @@ from refmask.functions.arrays import first_seen
 from refmask.functions.redact import ENTRIES_TYPE
 from refmask.functions.sqltext import empty, keep_if, let, struct, transform, when
 from refmask.schema import KEYS
+from refmask.sources.scripts import path_below
 
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
-def read_mapping_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``script_id, json``: one mapping per file, keyed by the file's location."""
-    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
-    return files.select(
-        F.col("_metadata.file_path").alias("script_id"), F.col("value").alias("json")
-    )
+def read_mapping_files(spark: SparkSession, root: str) -> DataFrame:
+    """``script_id, json``: one mapping per file below ``root``.
+
+    The key is the value of the file's ``script_id=`` folder, as ``write_mapping_files`` lays them out,
+    else the file's path below ``root`` without a final ``.json``.
+    """
+    files = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True)
+    path = path_below(root, F.col("_metadata.file_path"))
+    folder = F.regexp_extract(path, r"(?:\A|/)script_id=([^/]*)/[^/]*\z", 1)
+    unescaped = F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))
+    key = F.when(folder != "", unescaped).otherwise(F.regexp_replace(path, r"\.json\z", ""))
+    return files.select(key.alias("script_id"), F.col("value").alias("json"))
+
+
+def write_mappings(packed: DataFrame, path: str, keys=KEYS) -> None:
+    """The mappings of a corpus as JSON Lines: the keys, and the mapping's JSON as a string."""
+    export_mapping(packed, keys).write.json(path)
+
+
+def read_mappings(spark: SparkSession, path: str, keys: str = "script_id BIGINT") -> DataFrame:
+    """``keys…, json`` as ``write_mappings`` wrote them; ``keys`` are the key columns with their types."""
+    return spark.read.schema(f"{keys}, json STRING").json(path)
 
 
 def import_mapping(files: DataFrame, keys=KEYS) -> DataFrame:
@@ -94,10 +111,10 @@ def export_mapping(packed: DataFrame, keys=KEYS, pretty: bool = False) -> DataFr
     return packed.filter(F.size("entries") > 0).select(*keys, document.alias("json"))
 
 
-def write_mapping_files(packed: DataFrame, path: str, key: str = KEYS[0]) -> None:
-    """One folder ``key=…`` with one pretty JSON document per script.
+def write_mapping_files(packed: DataFrame, path: str, ids: list, key: str = KEYS[0]) -> None:
+    """One folder ``key=…`` with one pretty JSON document for each of the scripts in ``ids``.
 
-    For handing mappings to people. Keep mappings of a whole corpus as a table instead.
+    For handing single mappings to people; ``write_mappings`` is for those of a corpus.
     """
-    documents = export_mapping(packed, (key,), pretty=True)
+    documents = export_mapping(packed.filter(F.col(key).isin(ids)), (key,), pretty=True)
     documents.repartition(key).write.partitionBy(key).text(path)

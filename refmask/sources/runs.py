@@ -31,19 +31,31 @@ def save_run(path: str, run_id: str, options: DataFrame | None = None, **tables:
             raise ValueError(f"unknown table {name!r}")
         table.write.parquet(_location(path, name, run_id))
     if options is not None:
+        if options.count() != 1:
+            raise ValueError("a run has one row of options")
         json = options.select(F.to_json(F.struct("mode", "redact_columns")).alias("value"))
         json.write.text(_location(path, "options", run_id))
 
 
-def load_table(spark: SparkSession, path: str, run_id: str, name: str) -> DataFrame:
-    """One table of a run, empty if it was never saved."""
-    saved = _if_exists(spark.read.parquet, _location(path, name, run_id))
-    return spark.createDataFrame([], TABLES[name]) if saved is None else saved
+def load_table(
+    spark: SparkSession, path: str, run_id: str, name: str, keys: str = "script_id BIGINT"
+) -> DataFrame:
+    """One table of a run, empty if it was never saved; ``keys`` are its key columns with their types."""
+    typed = schema.with_keys(TABLES[name], keys)
+    saved = _if_exists(spark.read.schema(typed).parquet, _location(path, name, run_id))
+    return spark.createDataFrame([], typed) if saved is None else saved
 
 
-def load_run(spark: SparkSession, path: str, run_id: str) -> dict[str, DataFrame]:
+def has_table(spark: SparkSession, path: str, run_id: str, name: str) -> bool:
+    """Whether the table was saved, with or without rows."""
+    return _if_exists(spark.read.schema(TABLES[name]).parquet, _location(path, name, run_id)) is not None
+
+
+def load_run(
+    spark: SparkSession, path: str, run_id: str, keys: str = "script_id BIGINT"
+) -> dict[str, DataFrame]:
     """All tables of a run and its ``options``; missing or unusable parts have defaults."""
-    tables = {name: load_table(spark, path, run_id, name) for name in TABLES}
+    tables = {name: load_table(spark, path, run_id, name, keys) for name in TABLES}
     tables["options"] = load_options(spark, path, run_id)
     return tables
 
@@ -63,31 +75,39 @@ def sanitise_options(states: DataFrame, column: str, keys=()) -> DataFrame:
     return states.select(
         *keys,
         mode.alias("mode"),
-        F.coalesce(state["redact_columns"] == "true", F.lit(False)).alias("redact_columns"),
+        # Whatever counts as true where it was saved: not false, 0, null or nothing.
+        F.coalesce(~state["redact_columns"].isin("false", "0", ""), F.lit(False)).alias("redact_columns"),
     )
 
 
 def purge(path: str, target: str, spark: SparkSession, ids: DataFrame, keys=KEYS) -> None:
-    """Copy all runs to ``target`` without any text, mapping or finding of the scripts in ``ids``.
+    """Copy the runs that hold any of the scripts in ``ids`` to ``target``, without those scripts.
 
-    Data is never changed in place: check the copy, then drop the old folder.
+    Which runs those are is found from the keys alone; other runs are not copied and need no change.
+    Data is never changed in place: check the copy, then put its folders in the place of the old ones.
     """
     wanted = ids.select(*keys).distinct()
-    for name in TABLES:
-        table = _if_exists(spark.read.parquet, f"{path}/{name}")
-        if table is not None:
-            kept = table.join(wanted, list(keys), "left_anti")
-            kept.write.partitionBy("run_id").parquet(f"{target}/{name}")
+    saved = {name: _if_exists(spark.read.parquet, f"{path}/{name}") for name in TABLES}
+    tables = {name: table for name, table in saved.items() if table is not None}
+    touched = {r.run_id for table in tables.values() for r in touched_runs(table, wanted, keys).collect()}
+    for name, table in tables.items():
+        kept = table.filter(F.col("run_id").isin(*touched)).join(wanted, list(keys), "left_anti")
+        kept.write.partitionBy("run_id").parquet(f"{target}/{name}")
     options = _if_exists(spark.read.text, f"{path}/options")
     if options is not None:
-        options.write.partitionBy("run_id").text(f"{target}/options")
+        options.filter(F.col("run_id").isin(*touched)).write.partitionBy("run_id").text(f"{target}/options")
+
+
+def touched_runs(table: DataFrame, wanted: DataFrame, keys=KEYS) -> DataFrame:
+    """``run_id`` of the runs that hold any of the keys in ``wanted``; reads the keys only."""
+    return table.select("run_id", *keys).join(wanted, list(keys), "left_semi").select("run_id").distinct()
 
 
 def _if_exists(read, location: str) -> DataFrame | None:
     try:
         return read(location)
     except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return None
 

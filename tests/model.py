@@ -98,10 +98,10 @@ def identifier(text, i):
     return quoted(text, i) or bare(text, i)
 
 
-def dotted(text, i):
-    """End of all further parts, and how many there are."""
+def dotted(text, i, limit=None):
+    """End of all further parts, or of up to ``limit``, and how many there are."""
     count = 0
-    while True:
+    while limit is None or count < limit:
         dot = spaces(text, i)
         if text[dot : dot + 1] != ".":
             break

@@ -101,8 +101,8 @@ def test_findings_and_repairs_equal_one_pass_per_rule(scripts):
     got = rows(
         table.select(
             "script_id",
-            F.expr(find_typos("text", None)).alias("all"),
-            F.expr(find_typos("text")).alias("capped"),
+            F.expr(find_typos("text")).alias("all"),
+            F.expr(find_typos("text", 8)).alias("capped"),
             F.expr(fix_typos("text")).alias("fixed"),
         )
     )

@@ -139,7 +139,7 @@ COLUMN_CASES = {
     + " " * 43
     + "a.b, table"
     + " " * 44
-    + f"{C}1",
+    + "a.b",
     "-- from\na.b": f"-- from\n{C}1",
 }
 

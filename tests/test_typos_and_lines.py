@@ -26,9 +26,10 @@ def test_findings_are_in_order_of_rule_then_position(scripts):
 
 def test_cap_counts_findings_per_script(scripts):
     table = scripts("UPATE\n" + "FROMM\n" * 9, "FROMM " * 7)
-    assert ty.typo_findings(table).groupBy("script_id").count().orderBy("script_id").collect() == [(0, 8), (1, 7)]
-    assert ty.typo_findings(table, max_findings=None).count() == 17
-    lines = ty.typo_lines(ty.with_findings(table)).collect()
+    capped = ty.typo_findings(table, max_findings=8)
+    assert capped.groupBy("script_id").count().orderBy("script_id").collect() == [(0, 8), (1, 7)]
+    assert ty.typo_findings(table).count() == 17
+    lines = ty.typo_lines(ty.with_findings(table, max_findings=8)).collect()
     assert sorted(tuple(r) for r in lines) == [(0, i) for i in range(2, 10)] + [(1, 1)]
 
 
@@ -81,7 +82,7 @@ def test_numbered_lines(scripts):
 
 
 def test_many_typo_lines_without_cap(scripts):
-    table = ty.with_findings(scripts("FROMM x\n\n" * 1000), max_findings=None)
+    table = ty.with_findings(scripts("FROMM x\n\n" * 1000))
     rows = ln.numbered_lines(table).collect()
     assert sorted(r.line for r in rows if r.has_typo) == list(range(1, 2001, 2)) and len(rows) == 2001
 
