@@ -21,8 +21,8 @@ from refmask.operators import restoration as rs
 from refmask.operators import typos as ty
 from refmask.plans.jobs import Options, fix_corpus, redact_corpus, restore_corpus
 from refmask.sources.mapping_json import export_mapping, import_mapping
-from refmask.sources.runs import sanitise_options
-from refmask.sources.scripts import scripts_from
+from refmask.sources.runs import sanitise_options, touched_runs
+from refmask.sources.scripts import path_below, scripts_from
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -116,6 +116,31 @@ def a6_saved_options(spark, sf_dir):
     return sanitise_options(states, "value", ("script_id",))
 
 
+# One file per order, below a folder of originals and one of edits; locations are URIs.
+@query(
+    "SELECT o_orderkey AS script_id, 'd ' || o_custkey % 7 || '/s+' || o_orderkey || '.sql' AS original, "
+    "'d ' || o_custkey % 7 || '/s+' || o_orderkey || '.sql' AS edited FROM orders"
+)
+def a2_edited_keys(spark, sf_dir):
+    files = co.frame(
+        spark,
+        sf_dir,
+        "SELECT o_orderkey AS script_id, '/d%20' || CAST(o_custkey % 7 AS STRING) || '/s+' || CAST(o_orderkey AS STRING) || '.sql' AS path FROM orders",
+    )
+    original, edited = (
+        path_below(root, F.concat(F.lit(uri), "path")).alias(name)
+        for name, root, uri in (("original", "/data/originals", "file:///data/originals"), ("edited", "hdfs://host:1/e/", "hdfs://host:1/e"))
+    )
+    return files.select("script_id", original, edited)
+
+
+@query("SELECT DISTINCT CAST(l_orderkey % 50 AS BIGINT) AS run_id FROM lineitem WHERE l_suppkey % 29 = 3 AND l_orderkey % 50 < 30")
+def a7_touched_runs(spark, sf_dir):
+    """Which runs a purge has to rewrite: runs of scripts named by supplier and order."""
+    rows = co.frame(spark, sf_dir, "SELECT l_orderkey AS script_id, l_suppkey, l_orderkey % 50 AS run_id FROM lineitem")
+    return touched_runs(rows, rows.filter("l_suppkey % 29 = 3 AND run_id < 30").select("script_id"))
+
+
 # -- predicates and modes ------------------------------------------------------------------------
 
 _HINT = oc._q(
@@ -479,6 +504,17 @@ def f6_restore_edited(spark, sf_dir):
     return restore_corpus(co.frame(spark, sf_dir, co.EDITED_SCRIPTS), job.annotated)
 
 
+@query(
+    "SELECT script_id, CASE WHEN script_id % 10 = 3 THEN 'blank' ELSE 'ok' END AS status, CASE WHEN script_id % 10 <> 3 THEN "
+    "replace(replace(replace(text, 'redacted.Table_10', '?'), 'redacted.Table_1', (SELECT 'cat.s_' || s_nationkey FROM supplier WHERE s_suppkey = 1)), "
+    f"'?', 'redacted.Table_10') END AS text FROM ({co.EDITED_SCRIPTS})"
+)
+def p4_one_mapping_for_all(spark, sf_dir):
+    """An imported mapping applied to all edits."""
+    imported = import_mapping(co.frame(spark, sf_dir, co.MAPPING_FILES).filter("script_id = 1"))
+    return rs.restore_all_with(co.frame(spark, sf_dir, co.EDITED_SCRIPTS), imported)
+
+
 # -- jobs ----------------------------------------------------------------------------------------
 
 

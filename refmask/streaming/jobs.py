@@ -1,15 +1,17 @@
 """The same jobs on streams.
 
 Redaction looks at one row at a time, so it is stateless and appends. Restoring joins the stream with
-a saved mapping, which is read anew for every batch; it keeps no state either.
+a saved mapping, which is read anew for every batch and keeps no state, or with a stream of mappings,
+where watermarks bound the state.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from refmask.operators.restoration import restore_scripts
+from refmask.operators.restoration import restore_scripts, restore_with_entries
 from refmask.plans.jobs import Options, Redaction, redact_corpus
 from refmask.schema import KEYS
 
@@ -31,3 +33,21 @@ def append_to(stream: DataFrame, path: str, checkpoint: str, **trigger) -> Strea
     if trigger:
         writer = writer.trigger(**trigger)
     return writer.option("checkpointLocation", checkpoint).start(path)
+
+
+def restore_streams(edited: DataFrame, packed: DataFrame, within: str = "1 hour", keys=KEYS) -> DataFrame:
+    """Edits and packed mappings both as streams: ``keys…, at, status, text``.
+
+    Both carry an event time ``at``. An edit may come up to ``within`` (an interval) before or after the
+    mapping of its script. Watermarks of that length bound the state: rows later than that are dropped,
+    and an edit whose mapping has not come by then is given out as ``no_mapping``. A mapping is one row a
+    script, so the join needs no aggregate before it. All edits of a script within the window are in the
+    state of one task; a script with very many of them needs shorter windows.
+    """
+    left = edited.select(*keys, "at", "text").withWatermark("at", within)
+    right = packed.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("at").alias("_at"), "entries")
+    right = right.withWatermark("_at", within)
+    same = F.expr(f"_at BETWEEN at - INTERVAL {within} AND at + INTERVAL {within}")
+    for key in keys:
+        same = same & (F.col(key) == F.col(f"_{key}"))
+    return restore_with_entries(left.join(right, same, "left"), (*keys, "at"))

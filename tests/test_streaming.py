@@ -1,7 +1,12 @@
+import time
+
 import pytest
 
+from pyspark.sql import functions as F
+
 from refmask import Options, redact_corpus, restore_corpus
-from refmask.streaming.jobs import append_to, redact_stream, restore_stream
+from refmask.functions.redact import ENTRIES_TYPE
+from refmask.streaming.jobs import append_to, redact_stream, restore_stream, restore_streams
 
 
 @pytest.fixture(scope="module")
@@ -56,3 +61,26 @@ def test_the_mapping_must_be_static(spark, source):
     stream = stream_of(spark, source, "script_id BIGINT, text STRING")
     with pytest.raises(ValueError):
         restore_stream(stream, redact_stream(stream).annotated)
+
+
+def test_two_streams_equal_batch(spark, source, tmp_path):
+    """Edits meet their mapping before or after it; those without one come out once the watermark has passed."""
+    packed = redact_corpus(spark.read.parquet(source)).annotated.withColumn("at", F.expr("timestamp_seconds(86400 + script_id * 60)"))
+    packed.repartition(3).write.parquet(str(tmp_path / "mapping"))
+    edits = packed.selectExpr("script_id", "text", "at + make_interval(0, 0, 0, 0, 0, script_id % 40 - 20) AS at")
+    edits = edits.unionByName(edits.filter("script_id < 5").withColumn("script_id", F.expr("script_id + 1000")))
+    late = spark.sql("SELECT 5000L AS script_id, 'end' AS text, TIMESTAMP '1970-01-05' AS at")
+    edits.coalesce(1).write.parquet(str(tmp_path / "edits"))
+    time.sleep(1.1)  # files are taken in the order of their times
+    late.write.mode("append").parquet(str(tmp_path / "edits"))
+    last = late.selectExpr("script_id", "at", "CAST(array() AS %s) AS entries" % ENTRIES_TYPE)
+    packed.select("script_id", "at", "entries").unionByName(last).coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "mapping"))
+    stream = restore_streams(
+        stream_of(spark, str(tmp_path / "edits"), "script_id BIGINT, text STRING, at TIMESTAMP"),
+        stream_of(spark, str(tmp_path / "mapping"), f"script_id BIGINT, at TIMESTAMP, entries {ENTRIES_TYPE}"),
+        "2 hours",
+    )
+    got = finish(stream, str(tmp_path / "restored")).drop("at").filter("script_id < 5000")
+    expected = restore_corpus(edits, packed)
+    assert got.exceptAll(expected).isEmpty() and expected.exceptAll(got).isEmpty()
+    assert got.filter("status = 'no_mapping'").count() == 5
