@@ -8,7 +8,8 @@ leaves fewer candidates. Two such filters follow each other:
    have l shingles in common with others at all. Documents with the same set are one node from here on.
 2. Those left are ordered by document frequency, rare first. Each picks the l for which the estimated cost is least: the
    length of the posting lists of its prefix, plus the verification of at most (sum of those lengths) / l candidates,
-   since each must use up l entries. A pair is verified if it shares as many prefix shingles as the smaller l of the two.
+   since each must use up l entries. For a pair, its two sizes tell how much it must share and so how far its prefixes reach:
+   least far for sets of about the same size. It is verified if it has the smaller l of the two in common there.
 
 Only components are asked for, so a group of near copies need not be compared all with all. Each node is first verified
 against the most central node among those that share a prefix shingle (the one with the smallest part of shingles of its
@@ -39,7 +40,7 @@ FIRST_PART = 20
 #: Keys of the documents whose whole sets are wanted are broadcast up to this many (8 bytes each), beyond it joined by shuffling.
 BROADCAST_ROWS = 1_000_000
 #: Cost of verifying one candidate shingle by shingle, in entries of posting lists for each shingle of the set.
-VERIFY_COST = 0.05
+VERIFY_COST = 0.01
 
 
 def least_overlap(n: np.ndarray | int) -> np.ndarray | int:
@@ -47,6 +48,11 @@ def least_overlap(n: np.ndarray | int) -> np.ndarray | int:
     return -(-n * OVER // UNDER)
 
 
+def least_overlap_of_smaller(n: np.ndarray | int) -> np.ndarray | int:
+    """Shingles that a set of n must share with any similar set that is not smaller."""
+    return -(-2 * n * OVER // (OVER + UNDER))
+
+
 def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
     """(first row, sorted distinct shingle hashes of each row) of runs of rows."""
     for lo, hi, data, at in K.pieces(texts):
@@ -131,7 +137,7 @@ def shared_shingles(full: DataFrame) -> DataFrame:
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, n, own, shared: list of (df, shingle), sorted) to (…, matches, prefix) with the cheapest l; none: empty."""
+    """(node, n, own, shared: list of (df, shingle), sorted) to (…, l, prefix) with the cheapest l; none: empty."""
     for batch in batches:
         n, own = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
         shared = batch.column(3)
@@ -145,14 +151,16 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if first <= 0:  # even the shortest prefix holds nothing that others have
                 prefixes.append(shingle[a:a])
                 continue
-            length = np.cumsum(df[a:b] - 1)
+            # Estimated for partners of the same size, which need a shorter prefix.
+            length = np.concatenate([[0], np.cumsum(df[a:b] - 1)])
             k = np.arange(first, b - a + 1)
             level = k - first + 1
-            cost = length[k - 1] * (1 + VERIFY_COST * n[i] / level)
+            same = np.clip(n[i] - least_overlap_of_smaller(n[i]) + level - own[i], 0, b - a)
+            cost = length[same] * (1 + VERIFY_COST * n[i] / level)
             best = int(np.argmin(cost))
             matches[i] = level[best]
             prefixes.append(shingle[a : a + k[best]])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(matches), _lists(prefixes)], names=["node", "n", "own", "matches", "prefix"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(matches), _lists(prefixes)], names=["node", "n", "own", "l", "prefix"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -173,6 +181,28 @@ def _close(a: str, b: str) -> str:
     return f"{a} * {UNDER} >= {b} * {OVER} AND {b} * {UNDER} >= {a} * {OVER}"
 
 
+def candidates(placed: DataFrame) -> DataFrame:
+    """Pairs (a, b), a the smaller set, that are in different components and share enough prefix shingles.
+
+    ``placed``: postings (shingle, at, short, node, n, l) with ``root``, and ``home``, the largest component of the
+    shingle's list. Similar sets of a and b shingles share o or more, so the first a - o + l and b - o + l of them have l
+    in common, for the smaller l of the two; entries beyond those places say nothing about this pair.
+    """
+    columns = ("node", "n", "l", "at", "root")
+    few = placed.where("short").select("shingle", "home", *(F.col(c).alias(f"{c}_a") for c in columns))
+    many = placed.select("shingle", *(F.col(c).alias(f"{c}_b") for c in columns), (F.col("root") != F.col("home")).alias("stranger"))
+    reach = f"least(l_a, l_b) - ceil((n_a + n_b) * {OVER} / {OVER + UNDER})"
+    fits = (
+        f"root_a <> root_b AND (n_a < n_b OR n_a = n_b AND node_a < node_b) AND {_close('n_a', 'n_b')}"
+        f" AND at_a < n_a + {reach} AND at_b < n_b + {reach}"
+    )
+    # The component that is at home in a list is not paired with itself.
+    met = few.where("root_a <> home").join(many, "shingle").where(fits).select("node_a", "node_b", "l_a", "l_b")
+    met = met.unionAll(few.where("root_a = home").join(many.where("stranger"), "shingle").where(fits).select(*met.columns))
+    shared = met.groupBy("node_a", "node_b").agg(F.count("*").alias("hits"), F.first(F.least("l_a", "l_b")).alias("l"))
+    return shared.where("hits >= l").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+
 def node_components(docs: DataFrame, nodes: DataFrame, low: DataFrame) -> DataFrame:
     """(node, root) of the nodes that link with another node."""
     spark = docs.sparkSession
@@ -183,8 +213,12 @@ def node_components(docs: DataFrame, nodes: DataFrame, low: DataFrame) -> DataFr
     shared = written(shared_shingles(full), "jaccard-shared")
     release(spark)
     sets = shared.select("node", "n", F.col("shared.shingle").alias("shared"))
-    prefixes = shared.mapInArrow(_prefixes, "node bigint, n bigint, own bigint, matches bigint, prefix array<bigint>")
-    postings = written(prefixes.select("node", "n", "own", "matches", F.explode("prefix").alias("shingle")), "jaccard-postings")
+    prefixes = shared.mapInArrow(_prefixes, "node bigint, n bigint, own bigint, l bigint, prefix array<bigint>")
+    postings = prefixes.select("node", "n", "own", "l", F.posexplode("prefix").alias("at", "shingle"))
+    # As the smaller of two sets, a node needs only its first shingles: the larger one has to have more of them.
+    postings = postings.withColumn("at", F.col("own") + F.col("at"))
+    short = F.col("at") < F.col("n") - F.ceil(F.col("n") * (2 * OVER) / (OVER + UNDER)) + F.col("l")
+    postings = written(postings.select("node", "n", "own", "l", "at", "shingle", short.alias("short")), "jaccard-postings")
 
     central = postings.groupBy("shingle").agg(F.min(F.struct(F.col("own") / F.col("n"), F.col("node").alias("b"), F.col("n").alias("n_b"))).alias("c"))
     stars = (
@@ -203,16 +237,7 @@ def node_components(docs: DataFrame, nodes: DataFrame, low: DataFrame) -> DataFr
     by_root = placed.groupBy("shingle", "root").agg(F.count("*").alias("c"))
     homes = by_root.groupBy("shingle").agg(F.max_by("root", F.struct("c", "root")).alias("home"), F.count("*").alias("roots")).where("roots > 1")
     placed = written(placed.join(homes.select("shingle", "home"), "shingle"), "jaccard-open")
-    strangers = placed.where("root <> home").select("shingle", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "matches", "root")))
-    others = placed.select("shingle", "home", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "matches", "root")))
-    rest = (
-        strangers.join(others, "shingle")
-        .where(f"root_a <> root_b AND (root_b = home OR node_a < node_b) AND {_close('n_a', 'n_b')}")
-        .groupBy(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
-        .agg(F.count("*").alias("hits"), F.min(F.least("matches_a", "matches_b")).alias("matches"))
-        .where("hits >= matches")
-        .select("a", "b")
-    )
+    rest = candidates(placed)
     more = written(verified(rest, sets), "jaccard-rest")
     if more.isEmpty():
         return roots
