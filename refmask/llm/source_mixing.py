@@ -24,6 +24,8 @@ MAX_REPEATS = 3
 WEIGHTS = (1, 2, 3)
 BUCKET_ROWS = 2000
 FILLS = 4
+#: Sources up to which their table is broadcast; beyond it Spark chooses the join.
+BROADCAST_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 RANDOM = "conv(substr(md5(concat('mix|', coalesce(cast(doc_id as string), ''), '|', coalesce(md5(text), ''))), 1, 13), 16, 10)"
 
@@ -72,7 +74,9 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats
         ),
         "mix-sizes",
     )
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
+    sources = written(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows")), "mix-sources")
+    # A table with one row a source, joined to all documents: broadcast it, so that no source's rows move to one task.
+    small = F.broadcast if sources.count() <= BROADCAST_SOURCES else lambda df: df
     targets = source_targets(sources, weights, max_repeats).withColumns(
         {
             "whole": F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0),
@@ -85,7 +89,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats
     inclusion = F.least(F.lit(0.999), F.greatest(F.lit(1e-6), F.try_divide(share * 2 * mean, mean + F.col("size"))))
     targets = targets.withColumnRenamed("source", "s")
     ranked = (
-        sized.join(targets, F.col("source").eqNullSafe(F.col("s")))
+        sized.join(small(targets), F.col("source").eqNullSafe(F.col("s")))
         .withColumn("pi", inclusion)
         .withColumn("rank", F.col("u") / (1 - F.col("u")) / (F.col("pi") / (1 - F.col("pi"))))
         .withColumn("bucket", F.floor(F.col("rank") / (1 + F.col("rank")) * F.col("buckets")))
@@ -99,7 +103,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats
     edge = filled.where("over").groupBy("source").agg(F.min_by(F.struct("bucket", (F.col("need") - F.col("upto") + F.col("words")).alias("gap")), "bucket").alias("e"))
     edge = edge.select(F.col("source").alias("s"), F.col("e.bucket").alias("edge"), F.col("e.gap").alias("gap"))
     # A source whose sampled words are never exceeded (need = 0 and no words) has no edge: everything is before it.
-    placed = ranked.join(edge, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    placed = ranked.join(small(edge), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     outside = placed.where("edge is null or bucket <> edge").select("*", F.expr("coalesce(bucket < edge, true)").alias("extra"))
     inside = placed.where("bucket = edge").withColumn("extra", F.lit(False))
     order = Window.partitionBy("source").orderBy("rank", "size", "doc_id", "u")
