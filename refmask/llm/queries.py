@@ -178,3 +178,36 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     trees = token_trees(docs, "doc_id", "edits").withColumnRenamed("n_tokens", "n_tokens_before")
     edited = apply_edits(trees, "doc_id", "n_tokens_before")
     return edited.select("doc_id", "n_tokens_before", F.col("n_tokens").alias("n_tokens_after"), F.length("text").cast("bigint").alias("n_chars_after"), "encoded")
+
+
+def _rules_oracle() -> str:
+    from .quality_rules import DELTA, RISK, RULES, STEPS
+
+    share = RISK / len(RULES)
+    steps = ", ".join(f"CASE WHEN {b} > 0 THEN LEAST({STEPS}, {a} * {STEPS} // {b}) ELSE 0 END AS step_{r}" for r, (a, b) in ((r, x.split(" / ")) for r, x in RULES.items()))
+    long = " UNION ALL ".join(f"SELECT r, stratum, '{r}' AS rule, step_{r} AS step FROM st" for r in RULES)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, COALESCE(lang, '') AS stratum, COALESCE(text, '') AS text, regexp_extract_all(COALESCE(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents)
+, l AS (SELECT r, COUNT(*) AS n_lines, COUNT(*) - COUNT(DISTINCT u) AS n_dup_lines FROM (SELECT r, unnest(str_split(text, chr(10))) AS u FROM d)
+  WHERE regexp_matches(u, '[^\\x20\\x09-\\x0D]') GROUP BY r)
+, g AS (SELECT r, i, w[i:i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d))
+, t AS (SELECT r, i FROM (SELECT r, i, COUNT(*) OVER (PARTITION BY r, g) AS c FROM g) WHERE c > 1)
+, p AS (SELECT r, COUNT(DISTINCT place) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS place FROM t) GROUP BY r)
+, s AS (SELECT d.r, doc_id, stratum, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, length(regexp_replace(text, '[^A-ZÀ-ÖØ-Þ]', '', 'g'))::BIGINT AS n_capitals,
+    COALESCE(n_lines, 0)::BIGINT AS n_lines, COALESCE(n_dup_lines, 0)::BIGINT AS n_dup_lines, COALESCE(n_repeat_words, 0)::BIGINT AS n_repeat_words
+  FROM d LEFT JOIN l USING (r) LEFT JOIN p USING (r))
+, st AS (SELECT *, {steps} FROM s)
+, lg AS ({long})
+, good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING MIN(quality) = 1)
+, c AS (SELECT stratum, rule, step, COUNT(*) AS n FROM lg WHERE r IN (SELECT r FROM s JOIN good USING (doc_id)) GROUP BY ALL)
+, k AS (SELECT stratum, rule, cut, SUM(n) AS n, COALESCE(SUM(n) FILTER (step > cut), 0) AS k FROM c, range({STEPS}) x(cut) GROUP BY ALL)
+, b AS (SELECT stratum, rule, cut, n, k, unnest(range(0, k::BIGINT + 1)) AS i FROM k WHERE k < n)
+, f AS (SELECT stratum, rule, cut, SUM(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({share}) + (n - i) * ln(1 - {share}))) AS p FROM b GROUP BY ALL)
+, cuts AS (SELECT stratum, rule, MIN(cut) AS cut FROM f WHERE p <= {DELTA} / (SELECT COUNT(*) FROM (SELECT DISTINCT stratum, rule FROM c)) GROUP BY ALL)
+, bad AS (SELECT DISTINCT r FROM lg JOIN cuts USING (stratum, rule) WHERE step > cut)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND r NOT IN (SELECT r FROM bad) AS kept
+FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s)"""
+
+
+ORACLES["op1_quality_rules"] = _rules_oracle()
