@@ -274,13 +274,20 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows without words all stay. Of a component of null ids alone one row for each set stays.
     """
-    found = similar_documents(docs)
+    spark = docs.sparkSession
+    found = written(similar_documents(docs), "jaccard-found")
+    release(spark)
     worded = found.where("n_shingles > 0")
     # A null component_id stands for components without any id; they are told apart by the row's key.
     group = F.when(F.col("component_id").isNotNull(), F.struct("component_id", F.lit(0).cast("bigint").alias("k"))).otherwise(F.struct("component_id", F.col("key").alias("k")))
     best = worded.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("m"))
-    kept = best.select(F.col("m.key").alias("__kept"))
+    kept = best.select(F.col("m.key").alias("__kept"), F.lit(True).alias("__once"))
+    wordless = found.where("n_shingles = 0").select(F.col("key").alias("__kept"), F.lit(False).alias("__once")).distinct()
+    keep = written(kept.unionAll(wordless), "jaccard-kept")
     keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    wordless = found.where("n_shingles = 0").select(F.col("key").alias("__kept")).distinct()
-    one = keyed.join(kept, F.col("__key") == F.col("__kept"), "left_semi").dropDuplicates(["__key"])
-    return one.unionByName(keyed.join(wordless, F.col("__key") == F.col("__kept"), "left_semi")).drop("__key")
+    repeated = worded.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")
+    if repeated.join(keep, F.col("key") == F.col("__kept"), "left_semi").isEmpty():
+        return keyed.join(keep, F.col("__key") == F.col("__kept"), "left_semi").drop("__key")
+    # Some row that stays is there several times, equal in id and text.
+    out = keyed.join(keep, F.col("__key") == F.col("__kept"))
+    return out.where("NOT __once").unionAll(out.where("__once").dropDuplicates(["__key"])).drop("__key", "__kept", "__once")
