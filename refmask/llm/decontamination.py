@@ -24,8 +24,9 @@ from .common import written
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Block widths of the fingerprint; RADIUS is what they guarantee with FLIPS bits of difference allowed in each.
-WIDTHS = (13, 13, 13, 13, 12)
+#: Block widths of the fingerprint; RADIUS is what they guarantee with FLIPS bits of difference allowed in each. Two sets
+#: at SIMILARITY differ in 10 bits on average and in more than RADIUS = 20 about once in 1000.
+WIDTHS = (10, 9, 9, 9, 9, 9, 9)
 FLIPS = 2
 RADIUS = len(WIDTHS) * (FLIPS + 1) - 1
 #: Item shingles are broadcast to the scan of the documents up to this many rows, and beyond it joined by shuffling.
@@ -107,7 +108,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     ``key`` is a hash of a row's id and text, so rows equal in both are one document. Null and empty texts and items hold
     nothing. Rows with a null item id are items too. Items that share an id count as one item, best match first. A pair
     whose fingerprints are more than RADIUS bits apart is not found even if its similarity reaches the threshold; at a
-    similarity of 0.8 that is about one pair in twenty, and none among exact copies.
+    similarity of 0.8 that is about one pair in 1000, and none among exact copies.
     """
     items = written(item_sets(benchmark), "benchmark-items")
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("bigint").alias("doc_id"), F.expr(WORDS).alias("w"))

@@ -99,6 +99,28 @@ def test_passages_are_found_and_clean_documents_left(spark, documents):
     assert contaminated(docs.limit(0), bench).count() == 0 and contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_nearly_all_pairs_at_the_threshold_are_found(spark, documents):
+    random.seed(8)
+    items, rows = [], []
+    for i in range(1000):
+        item = [f"w{random.randrange(5000)}" for _ in range(random.randrange(34, 60))]
+        items.append((i, " ".join(item)))
+        passage = [*item]
+        # A run of changed words at one end: as many as leave a similarity of 0.8 to 0.84.
+        for k in range(1, len(item)):
+            passage[-k] = f"changed{k}"
+            have, want = weights(low(" ".join(passage))), weights(low(" ".join(item)))
+            both = sum(have[g] for g in have if g in want)
+            if both < 0.84 * (sum(have.values()) + sum(want.values()) - both):
+                break
+        rows.append((i, " ".join(passage)))
+    want = {(d, i) for d, i in ((k, k) for k in range(len(items))) if brute([rows[d]], [items[i]])}
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in contaminated(documents(*rows), bench).collect()}
+    print(f"{len(want)} pairs at 0.8 to 0.84, {len(want - got)} lost")
+    assert len(want) > 300 and got <= want and len(want - got) <= len(want) // 200
+
+
 def test_items_are_joined_the_same_without_a_broadcast(documents, spark, monkeypatch):
     rows = [(i, f"start {i} one two three four five six seven eight end") for i in range(20)]
     bench = spark.createDataFrame([(1, "one two three four five six seven eight")], "item_id bigint, text string")
