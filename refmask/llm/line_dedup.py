@@ -4,6 +4,12 @@ A line's digest is the MD5 of its normalised form: A-Z in lower case, runs of wh
 Digests are grouped over all documents. The occurrence that ranks first stays: the smallest (doc_id, place in the
 document); the rest are removed. A digest's occurrences are never brought together: each task first reduces its own to
 the smallest and a count, and the join that finds the others is an ordinary equi-join, whose large keys are split.
+
+With ``passages``, lines of fewer than ``min_words`` words are compared too, as stretches of consecutive short lines (blank
+ones aside) that are just long enough: from each short line, the fewest lines onward, and the fewest backward, that have
+``min_words`` words together. A repeated stretch loses all its lines, so a copied passage of short lines goes whole. The
+line that stays for a removed one ranks before it, so of each line's text one occurrence always stays. Short lines that
+repeat outside such a stretch stay.
 """
 
 from __future__ import annotations
@@ -31,6 +37,27 @@ def line_units(docs: DataFrame, min_words: int) -> DataFrame:
     )
 
 
+def passage_units(docs: DataFrame, min_words: int) -> DataFrame:
+    """(key, doc_id, line, digest, lines) of every stretch of short lines; ``line`` is the first of its ``lines``."""
+    units = F.transform(F.split("text", "\n", -1), lambda u, i: F.struct(i.alias("line"), _normal(u).alias("unit")))
+    full = F.transform(F.filter(units, lambda u: u["unit"] != ""), lambda u: F.struct(u["line"], u["unit"], (F.regexp_count(u["unit"], F.lit(" ")) + 1).alias("n")))
+    rows = docs.select("key", "doc_id", full.alias("u")).where("size(u) > 1")
+
+    def fewest(part: str) -> str:
+        """SQL for how many lines of ``part`` reach the minimum, 0 if a long line or the end comes first."""
+        step = f"CASE WHEN s.n < 0 OR s.n >= {min_words} THEN s WHEN x.n >= {min_words} THEN named_struct('n', -1, 'k', 0) ELSE named_struct('n', s.n + x.n, 'k', s.k + 1) END"
+        return f"aggregate({part}, named_struct('n', 0, 'k', 0), (s, x) -> {step}, s -> IF(s.n >= {min_words}, s.k, 0))"
+
+    # A stretch has at most min_words lines, since each has a word.
+    onward = f"transform(u, (x, i) -> named_struct('at', i, 'k', {fewest(f'slice(u, i + 1, {min_words})')}))"
+    first = f"greatest(i - {min_words - 1}, 0)"
+    back = f"transform(u, (x, i) -> named_struct('end', i, 'k', {fewest(f'reverse(slice(u, {first} + 1, i - {first} + 1))')}))"
+    spans = f"array_union(filter({onward}, w -> w.k > 0), transform(filter({back}, w -> w.k > 0), w -> named_struct('at', w.end - w.k + 1, 'k', w.k)))"
+    cut = F.expr("transform(spans, w -> slice(u, w.at + 1, w.k))")
+    rows = rows.withColumn("spans", F.expr(spans)).select("key", "doc_id", F.explode(cut).alias("w"))
+    return rows.select("key", "doc_id", F.expr("w[0].line").alias("line"), F.unhex(F.md5(F.array_join("w.unit", "\n"))).alias("digest"), F.col("w.line").alias("lines"))
+
+
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row for each line to remove: key, doc_id, line, kept_doc_id and kept_line (where the text stays).
 
@@ -45,15 +72,29 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return rest.select("key", "doc_id", "line", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line").alias("kept_line"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """As ``repeated_lines``, with the short lines of repeated stretches; the first of a line's kept places is given."""
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    units = line_units(keyed, min_words).withColumn("lines", F.array("line")).unionByName(passage_units(keyed, min_words))
+    units = written(units, "passage-units")
+    where = F.struct("doc_id", "key", "line", "lines")
+    first = units.groupBy("digest").agg(F.min(where).alias("kept"), F.count("*").alias("n")).where("n > 1").select("digest", "kept")
+    rest = units.join(first, "digest").where(~where.eqNullSafe(F.col("kept")))
+    pairs = rest.select("key", "doc_id", "kept.doc_id", F.explode(F.arrays_zip("lines", F.col("kept.lines").alias("kept_lines"))).alias("p")).toDF("key", "doc_id", "kept_doc_id", "p")
+    pairs = pairs.select("key", "doc_id", F.col("p.lines").alias("line"), F.struct("kept_doc_id", F.col("p.kept_lines").alias("kept_line")).alias("kept"))
+    return pairs.groupBy("key", "doc_id", "line").agg(F.min("kept").alias("kept")).select("key", "doc_id", "line", "kept.*")
+
+
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, passages: bool = False) -> DataFrame:
     """``docs`` with text reduced to the lines that stay, and ``removed``: array<struct<start, length, kept_doc_id, kept_line>>.
 
     ``start`` and ``length`` are offsets in characters of the original text, in rising order, with the line end that goes
     with a removed line. Null texts stay null, and nothing is removed from empty ones; a text all of whose lines go
-    becomes empty, not null. All other columns are kept; equal rows stay as many as they were.
+    becomes empty, not null. All other columns are kept; equal rows stay as many as they were. ``passages`` removes
+    repeated stretches of short lines as well.
     """
     gone = (
-        repeated_lines(docs, min_words)
+        (repeated_passages if passages else repeated_lines)(docs, min_words)
         .groupBy("key")
         # Rows that repeat whole list each line once for each of them.
         .agg(F.array_sort(F.collect_set(F.struct("line", "kept_doc_id", "kept_line"))).alias("__gone"))

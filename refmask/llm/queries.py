@@ -68,6 +68,15 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", "r.start", "r.length", "r.kept_doc_id", "r.kept_line")
 
 
+@query
+def op9_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op9_line_dedup, with the short lines of repeated stretches."""
+    from .line_dedup import dedup_lines
+
+    spans = dedup_lines(table(spark, sf_dir, "documents"), passages=True).select("doc_id", F.explode("removed").alias("r"))
+    return spans.select("doc_id", "r.start", "r.length", "r.kept_doc_id", "r.kept_line")
+
+
 @query
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import Rule, filter_urls, labelled_urls
@@ -139,6 +148,26 @@ SELECT doc_id, start::BIGINT AS start, (length(u) + CASE WHEN line + 1 < n THEN
 FROM q WHERE k > 1"""
 
 
+ORACLES["op9_passage_dedup"] = """
+WITH n AS (SELECT row_number() OVER () AS r, doc_id, str_split(text, chr(10)) AS parts FROM documents)
+, l AS (SELECT r, doc_id, len(parts) AS n, unnest(parts) AS u, unnest(range(len(parts))) AS line FROM n)
+, p AS (SELECT *, COALESCE(SUM(length(u) + 1) OVER (PARTITION BY r ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+    trim(regexp_replace(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') AS norm FROM l)
+, f AS (SELECT *, len(str_split(norm, ' ')) AS words, row_number() OVER (PARTITION BY r ORDER BY line) AS i FROM p WHERE norm <> '')
+, c AS (SELECT *, SUM(words) OVER o AS upto, SUM((words >= 20)::INT) OVER o AS longs FROM f WINDOW o AS (PARTITION BY r ORDER BY i))
+, s AS (SELECT a.r, a.doc_id, a.i AS i, b.i AS j FROM c a JOIN c b ON a.r = b.r AND b.i BETWEEN a.i + 1 AND a.i + 19 AND a.longs = b.longs AND a.words < 20
+  WHERE b.upto - a.upto + a.words >= 20 AND (b.upto - b.words - a.upto + a.words < 20 OR b.upto - a.upto < 20))
+, t AS (SELECT s.r, s.doc_id, s.i, s.j, string_agg(norm, chr(10) ORDER BY c.i) AS text FROM s JOIN c ON c.r = s.r AND c.i BETWEEN s.i AND s.j GROUP BY ALL
+  UNION ALL SELECT r, doc_id, i, i, norm FROM c WHERE words >= 20)
+, k AS (SELECT *, first_value(r) OVER w AS kept_r, first_value(i) OVER w AS kept_i, row_number() OVER w AS place FROM t
+  WINDOW w AS (PARTITION BY text ORDER BY doc_id NULLS FIRST, i))
+, g AS (SELECT r, unnest(range(i, j + 1)) AS i, kept_r, unnest(range(kept_i, kept_i + j - i + 1)) AS kept_i FROM k WHERE place > 1)
+, h AS (SELECT g.r, g.i, c.doc_id AS kept_doc_id, c.line AS kept_line, row_number() OVER (PARTITION BY g.r, g.i ORDER BY c.doc_id NULLS FIRST, c.line) AS first
+  FROM g JOIN c ON c.r = g.kept_r AND c.i = g.kept_i)
+SELECT doc_id, start::BIGINT AS start, (length(u) + CASE WHEN line + 1 < n THEN 1 ELSE 0 END)::BIGINT AS length, kept_doc_id, kept_line::INT AS kept_line
+FROM h JOIN c USING (r, i) WHERE first = 1"""
+
+
 @query
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_jaccard import similar_documents

@@ -180,3 +180,50 @@ def test_repeated_rows_and_empty_tables(documents):
     # Rows equal in id and text are one document: its lines stay in each of them, or go from each.
     assert got == [(1, text), (1, text), (2, ""), (2, "")]
     assert dedup_lines(docs.limit(0)).count() == 0
+
+
+def brute_stretches(rows, min_words):
+    """Per row the lines to remove: every stretch just long enough is looked for among those that rank before it."""
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0))
+    seen, gone = set(), {i: set() for i in order}
+    for i in order:
+        lines = [(k, normal(x)) for k, x in enumerate((rows[i][1] or "").split("\n")) if low(x)]
+        size = [len(x.split(" ")) for _, x in lines]
+        units = []
+        for a in range(len(lines)):
+            for b in range(a, len(lines)):
+                short = a < b and max(size[a : b + 1]) < min_words <= sum(size[a : b + 1])
+                if short and min(sum(size[a:b]), sum(size[a + 1 : b + 1])) < min_words or a == b and size[a] >= min_words:
+                    units.append((a, b))
+        for a, b in sorted(units):
+            text = tuple(x for _, x in lines[a : b + 1])
+            if text in seen:
+                gone[i] |= {k for k, _ in lines[a : b + 1]}
+            seen.add(text)
+    return gone
+
+
+def test_passages_of_short_lines_go_whole(documents):
+    passage = "\n".join(f"part {k} of a wrapped passage" for k in range(11))
+    rows = [(1, "before\n" + passage), (2, passage.upper() + "\nafter"), (3, "\n\n".join(passage.split("\n"))), (4, "part 1 of a wrapped passage\nelse")]
+    got = {r.doc_id: r.text for r in dedup_lines(documents(*rows), passages=True).collect()}
+    assert got[1] == rows[0][1] and got[2] == "after" and got[3].strip() == "" and got[4] == rows[3][1]
+    same = dedup_lines(documents((1, "\n".join(["the same short line"] * 58))), passages=True).first()
+    assert same.text == "the same short line"
+
+
+def test_stretches_equal_a_plain_version(documents):
+    random.seed(13)
+    pool = ["a b", "A  b", "c", "d e f", "", " ", "g h i j k l m", "n o p q"]
+    rows = [(i, "\n".join(random.choice(pool) for _ in range(random.randrange(12)))) for i in range(120)] + [(300, None), (None, "a b\nc\nd e f")]
+    want = brute_stretches(rows, 6)
+    kept = set()
+    got = {r.doc_id: r for r in dedup_lines(documents(*rows), 6, passages=True).collect()}
+    for i, (d, text) in enumerate(rows):
+        lines = (text or "").split("\n")
+        left = [x for k, x in enumerate(lines) if k not in want[i]]
+        assert (got[d].text or "") == "\n".join(left)
+        kept |= {normal(x) for x in left}
+    # Of every line's text one occurrence stays.
+    assert kept >= {normal(x) for _, text in rows for x in (text or "").split("\n") if low(x)}
+    assert sum(map(len, want.values())) > 100
