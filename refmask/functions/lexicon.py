@@ -217,9 +217,13 @@ TABLE_NUMBERS = rf"{WORD_START}redacted\.Table_([0-9]+){WORD_END}"
 COLUMN_NUMBERS = rf"{WORD_START}redacted\.Col_([0-9]+){WORD_END}"
 
 # -- names anywhere in a text ------------------------------------------------------------------
-# A dotted path of bare or back-ticked or bracketed parts, wherever it stands: in code, comments or strings.
-_AUDIT_PART = r"(?>\[[^\]\n]++\]|`[^`\n]++`|" + _BARE + ")"
-AUDIT_PATH = rf"(?<![\w$#]){_AUDIT_PART}(?:{_DOT}{_AUDIT_PART})*+"
+# A dotted path of bare or quoted parts, wherever it stands: in code, comments or strings. Double quotes may also be those
+# of a string around paths, so AUDIT_PATH takes no such parts; AUDIT_QUOTED looks from every place that does not follow a
+# dot, whatever the quotes before it are paired with, for a path that may have them.
+AUDIT_PART = r"(?>\[[^\]\n]++\]|`[^`\n]++`|" + _BARE + ")"
+AUDIT_PATH = rf"(?<![\w$#]){AUDIT_PART}(?:{_DOT}{AUDIT_PART})*+"
+AUDIT_QUOTED_PART = r'(?>"(?:[^"\n]++|"")++"|"[^"\n]++"|\[[^\]\n]++\]|`[^`\n]++`|' + _BARE + ")"
+AUDIT_QUOTED = rf"(?<![\w$#])(?<!\.{SPACE}{{0,9}})(?=({AUDIT_QUOTED_PART}(?:{_DOT}{AUDIT_QUOTED_PART})*+))"
 
 # -- quotes and white space -------------------------------------------------------------------------------
 IDENTIFIER_QUOTES = r'(?s)\A(?:"(.*)"|`(.*)`|\[(.*)\])\z'

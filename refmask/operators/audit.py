@@ -33,14 +33,22 @@ def typo_rollup(findings: DataFrame, keys=KEYS) -> DataFrame:
     )
 
 
+def _fronts(path: str, group: int, part: str) -> str:
+    """SQL for all paths of a text and all their fronts: of a.b.c also a.b and a. Parts are joined without white space."""
+    parts = f"transform(regexp_extract_all(text, {pattern(path)}, {group}), p -> regexp_extract_all(p, {pattern(part)}, 0))"
+    return f"flatten(transform({parts}, q -> transform(sequence(1, size(q)), k -> slice(q, 1, k))))"
+
+
 def leak_audit(redacted: DataFrame, mapping: DataFrame, keys=KEYS) -> DataFrame:
     """``keys…, kind, canon, times``: originals of a script that its redacted text still names.
 
-    Every dotted path of the text is looked up among the script's own originals, also in comments,
-    strings and places that the redaction rules leave alone. Paths are counted before the join.
+    Every dotted path of the text, and every front of one, is looked up among the script's own originals, also in
+    comments, strings and places that the redaction rules leave alone. Paths are counted before the join.
     """
-    paths = f"regexp_extract_all(text, {pattern(lx.AUDIT_PATH)}, 0)"
-    named = explode_rows(redacted, keys, f"array_compact({paths})")
+    # Fronts without a double-quoted part come from the first scan only.
+    quoted = f"filter({_fronts(lx.AUDIT_QUOTED, 1, lx.AUDIT_QUOTED_PART)}, q -> exists(q, p -> left(p, 1) = '\"'))"
+    fronts = f"transform(concat({_fronts(lx.AUDIT_PATH, 0, lx.AUDIT_PART)}, {quoted}), q -> array_join(q, '.'))"
+    named = explode_rows(redacted, keys, fronts)
     counted = (
         named.select(*keys, F.expr(tx.canonical_ref("row")).alias("canon"))
         .groupBy(*keys, "canon")
