@@ -1,4 +1,4 @@
-"""From raw documents to a training mix: quality, near copies, repeated lines, benchmark passages, source weights.
+"""From raw documents to a training mix: quality, near copies, repeated passages, benchmark passages, source weights.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the next one gets it as written and read again. All but the
 last return the columns of ``docs``. Nulls, empty and repeated rows are handled as the operators' docstrings say: a stage
@@ -33,8 +33,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_one(docs).select(*docs.columns)
 
 
-def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove lines that an earlier document or line has; no document goes. ``n_chars`` follows a changed text."""
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Remove passages that an earlier document or place has; no document goes. ``n_chars`` follows a changed text."""
     out = dedup_lines(docs)
     n_chars = F.when(F.col("removed").isNotNull(), F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", n_chars).select(*docs.columns)
@@ -53,7 +53,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", quality),
     ("n-gram Jaccard join", near_copies),
-    ("substring dedup", repeated_lines),
+    ("substring dedup", repeated_passages),
     ("benchmark decontamination", benchmark_passages),
     ("mixing sources to target weights", mix),
 ]

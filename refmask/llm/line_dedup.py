@@ -1,120 +1,177 @@
-"""Remove lines that repeat an earlier line anywhere in the corpus; one kept line for each text, offsets retained.
-
-A line's digest is the MD5 of its normalised form: A-Z in lower case, runs of white space as one space, ends trimmed.
-Digests are grouped over all documents. The occurrence that ranks first stays: the smallest (doc_id, place in the
-document); the rest are removed. A digest's occurrences are never brought together: each task first reduces its own to
-the smallest and a count, and the join that finds the others is an ordinary equi-join, whose large keys are split.
-
-With ``passages``, lines of fewer than ``min_words`` words are compared too, as stretches of consecutive short lines (blank
-ones aside) that are just long enough: from each short line, the fewest lines onward, and the fewest backward, that have
-``min_words`` words together. A repeated stretch loses all its lines, so a copied passage of short lines goes whole. The
-line that stays for a removed one ranks before it, so of each line's text one occurrence always stays. Short lines that
-repeat outside such a stretch stay.
-"""
+"""Remove passages that repeat an earlier passage anywhere in the corpus; the earliest stays, offsets are retained.
 
-from __future__ import annotations
+Units are hashed, and their digests grouped over all documents. A text is cut into units in two ways: at its line ends, and
+at borders that follow from the words themselves, wherever lines are wrapped: between two words whose MD5 digests agree
+in their first BORDER_BITS bits (one place in four). A passage is thus cut alike in every text, however the words around
+it are arranged. What is compared are stretches: from each unit the fewest units onward that have ``min_words`` words
+together. So a long line is a stretch of its own, short lines and units are compared together with those that follow. Words are compared with A-Z in lower case and white space as one space, by MD5.
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+The occurrence that ranks first stays: the smallest (doc_id, hash of the text, place); the words of all others go. The
+place that stays for a removed word may itself lie in another repeated stretch, but ranks before it, so of every
+passage one occurrence stays.
+
+An occurrence that repeats another of its own Arrow batch is removed then and there, so a digest sends at most one row a
+batch to the shuffle, however often it occurs.
+"""
 
-from .common import SPACES, written
+from __future__ import annotations
 
-#: Shorter lines stay: headings, licence lines and stock phrases repeat in texts that copy nothing else.
-MIN_WORDS = 20
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+from collections.abc import Iterator
+from hashlib import md5
+from itertools import chain
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
-def _normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(line, UPPER, UPPER.lower()), SPACES, " "))
+from . import kernels as K
+from .common import written
 
+#: Shorter stretches stay: stock phrases and licence lines repeat in texts that copy nothing else.
+MIN_WORDS = 30
+BORDER_BITS = 2
+#: Bytes of text whose stretches are compared within a task before they are shuffled; a longer text is taken alone.
+TASK_BYTES = 1 << 24
+#: Removed places are broadcast to the scan of the texts up to this many, and beyond it joined by shuffling.
+BROADCAST_SPANS = 500_000
+_WORDS_KEPT = 1 << 20
 
-def line_units(docs: DataFrame, min_words: int) -> DataFrame:
-    """(key, doc_id, line, digest) of every line with at least ``min_words`` words; ``line`` counts from 0."""
-    lines = docs.select("key", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "unit"))
-    lines = lines.select("key", "doc_id", "line", _normal(F.col("unit")).alias("unit"))
-    return lines.where((F.col("unit") != "") & (F.regexp_count("unit", F.lit(" ")) + 1 >= min_words)).select(
-        "key", "doc_id", "line", F.unhex(F.md5("unit")).alias("digest")
-    )
 
+class _Bits(dict):
+    """First bits of the MD5 of words, by word."""
 
-def passage_units(docs: DataFrame, min_words: int) -> DataFrame:
-    """(key, doc_id, line, digest, lines) of every stretch of short lines; ``line`` is the first of its ``lines``."""
-    units = F.transform(F.split("text", "\n", -1), lambda u, i: F.struct(i.alias("line"), _normal(u).alias("unit")))
-    full = F.transform(F.filter(units, lambda u: u["unit"] != ""), lambda u: F.struct(u["line"], u["unit"], (F.regexp_count(u["unit"], F.lit(" ")) + 1).alias("n")))
-    rows = docs.select("key", "doc_id", full.alias("u")).where("size(u) > 1")
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > _WORDS_KEPT:
+            self.clear()
+        self[word] = bits = md5(word).digest()[0] >> (8 - BORDER_BITS)
+        return bits
 
-    def fewest(part: str) -> str:
-        """SQL for how many lines of ``part`` reach the minimum, 0 if a long line or the end comes first."""
-        step = f"CASE WHEN s.n < 0 OR s.n >= {min_words} THEN s WHEN x.n >= {min_words} THEN named_struct('n', -1, 'k', 0) ELSE named_struct('n', s.n + x.n, 'k', s.k + 1) END"
-        return f"aggregate({part}, named_struct('n', 0, 'k', 0), (s, x) -> {step}, s -> IF(s.n >= {min_words}, s.k, 0))"
 
-    # A stretch has at most min_words lines, since each has a word.
-    onward = f"transform(u, (x, i) -> named_struct('at', i, 'k', {fewest(f'slice(u, i + 1, {min_words})')}))"
-    first = f"greatest(i - {min_words - 1}, 0)"
-    back = f"transform(u, (x, i) -> named_struct('end', i, 'k', {fewest(f'reverse(slice(u, {first} + 1, i - {first} + 1))')}))"
-    spans = f"array_union(filter({onward}, w -> w.k > 0), transform(filter({back}, w -> w.k > 0), w -> named_struct('at', w.end - w.k + 1, 'k', w.k)))"
-    cut = F.expr("transform(spans, w -> slice(u, w.at + 1, w.k))")
-    rows = rows.withColumn("spans", F.expr(spans)).select("key", "doc_id", F.explode(cut).alias("w"))
-    return rows.select("key", "doc_id", F.expr("w[0].line").alias("line"), F.unhex(F.md5(F.array_join("w.unit", "\n"))).alias("digest"), F.col("w.line").alias("lines"))
+def stretches(ends: np.ndarray, rows: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words of the stretches, and the words after their last. ``ends``: whether a unit ends after a word, always so
+    after a text's last; ``rows``: the text each word is in."""
+    bounds = np.concatenate([[0], np.flatnonzero(ends) + 1])
+    onward = np.searchsorted(bounds, bounds[:-1] + min_words)
+    a, b = bounds[:-1], bounds[np.minimum(onward, len(bounds) - 1)]
+    fits = (onward < len(bounds)) & (rows[a] == rows[b - 1])
+    return a[fits], b[fits]
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row for each line to remove: key, doc_id, line, kept_doc_id and kept_line (where the text stays).
+def text_stretches(data: np.ndarray, at: np.ndarray, bits: _Bits, min_words: int) -> tuple[np.ndarray, ...]:
+    """Row, start and end in characters, and digest (n x 2) of the stretches of some texts, given as bytes and offsets.
 
-    ``key`` is a hash of a row's id and text. Rows equal in both are one document here: what is removed from one is
-    removed from each. Documents rank by doc_id, null first, then by that hash.
+    A stretch ends where the next word begins, or with the text.
+    """
+    starts, ends, rows = K.spans(data, at, K.separators("spaces"))
+    if not len(starts):
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros((0, 2), np.int64),)
+    low = data.tobytes().lower()
+    words = list(chain.from_iterable(low[a:b].split() for a, b in zip(at[:-1], at[1:], strict=True)))
+    code = np.fromiter(map(bits.__getitem__, words), np.int64, len(words))
+    last = np.append(rows[1:] != rows[:-1], True)
+    breaks = np.concatenate([[0], np.cumsum(data == 10)])
+    by_line = last | np.append(breaks[starts[1:]] > breaks[ends[:-1]], True)
+    by_words = last | np.append(code[1:] == code[:-1], True)
+    first, after = np.divmod(np.unique(np.concatenate([a * len(words) + b - 1 for a, b in (stretches(cut, rows, min_words) for cut in (by_line, by_words))])), len(words))
+    after += 1
+    # Digests of the words with one space between them.
+    normal = b" ".join(words)
+    places = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
+    a, b = places[first].tolist(), (places[after] - 1).tolist()
+    digests = np.frombuffer(b"".join([md5(normal[i:j]).digest() for i, j in zip(a, b, strict=True)]), np.int64).reshape(-1, 2)
+    # Characters: bytes that do not continue one.
+    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    row = rows[first]
+    base = chars[at[row]]
+    end = np.where(last[after - 1], at[row + 1], np.append(starts, len(data))[after])
+    return row, chars[starts[first]] - base, chars[end] - base, digests
+
+
+def _units(min_words: int):
+    names = ["doc_id", "key", "start", "end", "high", "low", "again"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = _Bits()
+        for batch in batches:
+            ids, keys = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
+            null = ids.is_null().to_numpy(zero_copy_only=False)
+            number = ids.fill_null(0).to_numpy(zero_copy_only=False)
+            held, size = [], 0
+            for lo, hi, data, at in K.pieces(batch.column(2)):
+                row, start, end, digest = text_stretches(data, at, bits, min_words)
+                held.append((row + lo, start, end, digest))
+                size += len(data)
+                if size < TASK_BYTES and hi < batch.num_rows:
+                    continue
+                row, start, end, digest = (np.concatenate(x) for x in zip(*held, strict=True))
+                held, size = [], 0
+                order = np.lexsort((start, keys[row], number[row], ~null[row], digest[:, 1], digest[:, 0]))
+                row, start, end, digest = row[order], start[order], end[order], digest[order]
+                doc = np.stack([null[row], number[row], keys[row], start], 1)
+                same = np.append(False, (digest[1:] == digest[:-1]).all(1))
+                # Rows that are equal in id and text are one document.
+                first = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
+                again = same & (doc != doc[first]).any(1)
+                kept = ~same | again
+                columns = [pa.array(number[row][kept], pa.int64(), mask=null[row][kept]), keys[row][kept], start[kept], end[kept], digest[kept, 0], digest[kept, 1], again[kept]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    return run
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
+
+
+def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, key, start, length) of every place to remove, in characters of the original text, apart from each other.
+
+    ``key`` is a hash of the text. Rows equal in id and text are one document here: what is removed from one is removed
+    from each. Documents rank by doc_id, null first, then by key. A place runs from its first word to where the next
+    word begins, or to the end of the text. Null, empty and short texts have none.
     """
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    units = written(line_units(keyed, min_words), "line-units")
-    where = F.struct("doc_id", "key", "line")
-    first = units.groupBy("digest").agg(F.min(where).alias("kept"), F.count("*").alias("n")).where("n > 1").select("digest", "kept")
-    rest = units.join(first, "digest").where(~where.eqNullSafe(F.col("kept")))
-    return rest.select("key", "doc_id", "line", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line").alias("kept_line"))
-
-
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """As ``repeated_lines``, with the short lines of repeated stretches; the first of a line's kept places is given."""
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    units = line_units(keyed, min_words).withColumn("lines", F.array("line")).unionByName(passage_units(keyed, min_words))
-    units = written(units, "passage-units")
-    where = F.struct("doc_id", "key", "line", "lines")
-    first = units.groupBy("digest").agg(F.min(where).alias("kept"), F.count("*").alias("n")).where("n > 1").select("digest", "kept")
-    rest = units.join(first, "digest").where(~where.eqNullSafe(F.col("kept")))
-    pairs = rest.select("key", "doc_id", "kept.doc_id", F.explode(F.arrays_zip("lines", F.col("kept.lines").alias("kept_lines"))).alias("p")).toDF("key", "doc_id", "kept_doc_id", "p")
-    pairs = pairs.select("key", "doc_id", F.col("p.lines").alias("line"), F.struct("kept_doc_id", F.col("p.kept_lines").alias("kept_line")).alias("kept"))
-    return pairs.groupBy("key", "doc_id", "line").agg(F.min("kept").alias("kept")).select("key", "doc_id", "line", "kept.*")
-
-
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, passages: bool = False) -> DataFrame:
-    """``docs`` with text reduced to the lines that stay, and ``removed``: array<struct<start, length, kept_doc_id, kept_line>>.
-
-    ``start`` and ``length`` are offsets in characters of the original text, in rising order, with the line end that goes
-    with a removed line. Null texts stay null, and nothing is removed from empty ones; a text all of whose lines go
-    becomes empty, not null. All other columns are kept; equal rows stay as many as they were. ``passages`` removes
-    repeated stretches of short lines as well.
+    schema = "doc_id bigint, key bigint, start bigint, end bigint, high bigint, low bigint, again boolean"
+    units = _keyed(docs).where("text is not null").mapInArrow(_units(min_words), schema)
+    # What is known to be repeated only passes through: dealt out by its place, not by the digest that may be frequent.
+    units = units.withColumn("apart", F.when(F.col("again"), F.xxhash64("doc_id", "key", "start")))
+    by_digest = Window.partitionBy("high", "low", "apart").orderBy(F.col("doc_id").asc_nulls_first(), "key", "start")
+    where = F.struct("doc_id", "key", "start")
+    ranked = units.withColumn("first", F.first(where).over(by_digest))
+    gone = ranked.where(F.col("again") | ~where.eqNullSafe(F.col("first"))).select("doc_id", "key", "start", "end")
+    by_text = Window.partitionBy("doc_id", "key").orderBy("start", "end")
+    reached = F.max("end").over(by_text.rowsBetween(Window.unboundedPreceding, -1))
+    apart = gone.withColumn("new", F.coalesce(F.col("start") > reached, F.lit(True)).cast("int"))
+    apart = apart.withColumn("part", F.sum("new").over(by_text.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = apart.groupBy("doc_id", "key", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return spans.select("doc_id", "key", "start", (F.col("end") - F.col("start")).alias("length"))
+
+
+def _without(text: pd.Series, starts: pd.Series, lengths: pd.Series) -> pd.Series:
+    def cut(t, a, n):
+        if t is None or a is None:
+            return None
+        edges = [0, *(x for i, k in zip(a, n, strict=True) for x in (i, i + k)), len(t)]
+        return "".join(t[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True))
+
+    return pd.Series([cut(*x) for x in zip(text, starts, lengths, strict=True)], dtype=object)
+
+
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` with text reduced to what stays, and ``removed``: array<struct<start bigint, length bigint>>, in order.
+
+    ``start`` and ``length`` are in characters of the original text; ``removed`` is null where nothing goes. Null texts
+    stay null, and nothing is removed from empty ones; a text all of whose words go becomes empty or white space, not null.
+    All other columns are kept, whatever their names, but for one named ``removed``, which is replaced; equal rows stay as
+    many as they were. Only ``__id``, ``__key`` and ``__spans`` are reserved.
     """
-    gone = (
-        (repeated_passages if passages else repeated_lines)(docs, min_words)
-        .groupBy("key")
-        # Rows that repeat whole list each line once for each of them.
-        .agg(F.array_sort(F.collect_set(F.struct("line", "kept_doc_id", "kept_line"))).alias("__gone"))
-    )
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text")).withColumn("__doc", F.col("doc_id"))
-    joined = keyed.join(gone, F.col("__key") == F.col("key"), "left").drop("key")
-    lines = F.split("text", "\n", -1)
-    joined = joined.withColumn("__lines", F.when(F.col("__gone").isNotNull(), lines))
-    out = joined.withColumns(
-        {
-            # Start of each line: the lengths of the lines before, and a line end for each.
-            "__kept": F.expr("filter(__lines, (l, i) -> NOT array_contains(__gone.line, i))"),
-            "removed": F.expr(
-                """transform(__gone, g -> struct(
-                    cast(length(array_join(slice(__lines, 1, g.line), '\n')) + if(g.line > 0, 1, 0) as bigint) as start,
-                    cast(length(__lines[g.line]) + if(g.line + 1 < size(__lines), 1, 0) as bigint) as length,
-                    g.kept_doc_id, g.kept_line))"""
-            ),
-        }
-    )
-    return out.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join("__kept", "\n"))).drop(
-        "__key", "__doc", "__gone", "__lines", "__kept"
-    )
+    spans = written(repeated_spans(docs, min_words), "repeated")
+    gone = spans.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("__spans"))
+    if spans.count() <= BROADCAST_SPANS:
+        gone = F.broadcast(gone)
+    same: Column = F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
+    out = docs.drop("removed").join(gone, same, "left")
+    hit = F.col("__spans").isNotNull()
+    cut = F.pandas_udf(_without, "string")(F.when(hit, F.col("text")), F.col("__spans.start"), F.col("__spans.length"))
+    return out.withColumn("removed", F.col("__spans")).withColumn("text", F.when(hit, cut).otherwise(F.col("text"))).drop("__id", "__key", "__spans")

@@ -61,20 +61,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each removed line, with its place in the original text and where the text stays."""
-    from .line_dedup import dedup_lines
+    """One row for each removed place, in characters of the original text."""
+    from .line_dedup import repeated_spans
 
-    spans = dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", F.explode("removed").alias("r"))
-    return spans.select("doc_id", "r.start", "r.length", "r.kept_doc_id", "r.kept_line")
-
-
-@query
-def op9_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op9_line_dedup, with the short lines of repeated stretches."""
-    from .line_dedup import dedup_lines
-
-    spans = dedup_lines(table(spark, sf_dir, "documents"), passages=True).select("doc_id", F.explode("removed").alias("r"))
-    return spans.select("doc_id", "r.start", "r.length", "r.kept_doc_id", "r.kept_line")
+    return repeated_spans(table(spark, sf_dir, "documents")).drop("key")
 
 
 @query
@@ -137,35 +127,28 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
 
 
-ORACLES["op9_line_dedup"] = """
-WITH n AS (SELECT row_number() OVER () AS r, doc_id, str_split(text, chr(10)) AS parts FROM documents)
-, l AS (SELECT r, doc_id, len(parts) AS n, unnest(parts) AS u, unnest(range(len(parts))) AS line FROM n)
-, p AS (SELECT *, COALESCE(SUM(length(u) + 1) OVER (PARTITION BY r ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
-    trim(regexp_replace(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') AS norm FROM l)
-, q AS (SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value(line) OVER w AS kept_line, row_number() OVER w AS k FROM p
-  WHERE norm <> '' AND len(str_split(norm, ' ')) >= 20 WINDOW w AS (PARTITION BY norm ORDER BY doc_id NULLS FIRST, line))
-SELECT doc_id, start::BIGINT AS start, (length(u) + CASE WHEN line + 1 < n THEN 1 ELSE 0 END)::BIGINT AS length, kept_doc_id, kept_line::INT AS kept_line
-FROM q WHERE k > 1"""
-
-
-ORACLES["op9_passage_dedup"] = """
-WITH n AS (SELECT row_number() OVER () AS r, doc_id, str_split(text, chr(10)) AS parts FROM documents)
-, l AS (SELECT r, doc_id, len(parts) AS n, unnest(parts) AS u, unnest(range(len(parts))) AS line FROM n)
-, p AS (SELECT *, COALESCE(SUM(length(u) + 1) OVER (PARTITION BY r ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
-    trim(regexp_replace(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') AS norm FROM l)
-, f AS (SELECT *, len(str_split(norm, ' ')) AS words, row_number() OVER (PARTITION BY r ORDER BY line) AS i FROM p WHERE norm <> '')
-, c AS (SELECT *, SUM(words) OVER o AS upto, SUM((words >= 20)::INT) OVER o AS longs FROM f WINDOW o AS (PARTITION BY r ORDER BY i))
-, s AS (SELECT a.r, a.doc_id, a.i AS i, b.i AS j FROM c a JOIN c b ON a.r = b.r AND b.i BETWEEN a.i + 1 AND a.i + 19 AND a.longs = b.longs AND a.words < 20
-  WHERE b.upto - a.upto + a.words >= 20 AND (b.upto - b.words - a.upto + a.words < 20 OR b.upto - a.upto < 20))
-, t AS (SELECT s.r, s.doc_id, s.i, s.j, string_agg(norm, chr(10) ORDER BY c.i) AS text FROM s JOIN c ON c.r = s.r AND c.i BETWEEN s.i AND s.j GROUP BY ALL
-  UNION ALL SELECT r, doc_id, i, i, norm FROM c WHERE words >= 20)
-, k AS (SELECT *, first_value(r) OVER w AS kept_r, first_value(i) OVER w AS kept_i, row_number() OVER w AS place FROM t
-  WINDOW w AS (PARTITION BY text ORDER BY doc_id NULLS FIRST, i))
-, g AS (SELECT r, unnest(range(i, j + 1)) AS i, kept_r, unnest(range(kept_i, kept_i + j - i + 1)) AS kept_i FROM k WHERE place > 1)
-, h AS (SELECT g.r, g.i, c.doc_id AS kept_doc_id, c.line AS kept_line, row_number() OVER (PARTITION BY g.r, g.i ORDER BY c.doc_id NULLS FIRST, c.line) AS first
-  FROM g JOIN c ON c.r = g.kept_r AND c.i = g.kept_i)
-SELECT doc_id, start::BIGINT AS start, (length(u) + CASE WHEN line + 1 < n THEN 1 ELSE 0 END)::BIGINT AS length, kept_doc_id, kept_line::INT AS kept_line
-FROM h JOIN c USING (r, i) WHERE first = 1"""
+def _repeats_oracle() -> str:
+    from .line_dedup import BORDER_BITS, MIN_WORDS
+
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, length(text) AS chars, regexp_extract_all(text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+') AS pieces,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents WHERE text IS NOT NULL)
+, p AS (SELECT r, chars, unnest(range(1, len(w) + 1)) AS i, unnest(pieces) AS piece, unnest(w) AS word, len(w) AS n FROM d)
+, q AS (SELECT r, i, n, i = 1 OR contains(piece, chr(10)) AS by_line, chars,
+    i = 1 OR ('0x' || substr(md5(word), 1, 1))::INT // {1 << (4 - BORDER_BITS)} = lag(('0x' || substr(md5(word), 1, 1))::INT // {1 << (4 - BORDER_BITS)}) OVER o AS by_words,
+    SUM(length(piece)) OVER o - length(word) AS start FROM p WINDOW o AS (PARTITION BY r ORDER BY i))
+, u AS (SELECT r, 'line' AS cut, i FROM q WHERE by_line UNION ALL SELECT r, 'words', i FROM q WHERE by_words)
+, b AS (SELECT * FROM u UNION ALL SELECT r, cut, len(w) + 1 FROM d, (VALUES ('line'), ('words')) x(cut) WHERE len(w) > 0)
+, s AS (SELECT DISTINCT u.r, u.i, b.i AS j FROM u ASOF JOIN b ON u.r = b.r AND u.cut = b.cut AND u.i + {MIN_WORDS} <= b.i)
+, t AS (SELECT s.r, doc_id, i, j, md5(array_to_string(w[i:j - 1], ' ')) AS digest FROM s JOIN d USING (r))
+, k AS (SELECT r, i, j FROM t QUALIFY row_number() OVER (PARTITION BY digest ORDER BY doc_id NULLS FIRST, i) > 1)
+, g AS (SELECT *, COALESCE(i > MAX(j) OVER (PARTITION BY r ORDER BY i, j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS new FROM k)
+, h AS (SELECT r, MIN(i) AS i, MAX(j) AS j FROM (SELECT *, SUM(new::INT) OVER (PARTITION BY r ORDER BY i, j ROWS UNBOUNDED PRECEDING) AS part FROM g) GROUP BY r, part)
+SELECT doc_id, a.start::BIGINT AS start, (COALESCE(z.start, d.chars) - a.start)::BIGINT AS length
+FROM h JOIN d USING (r) JOIN q a ON a.r = h.r AND a.i = h.i LEFT JOIN q z ON z.r = h.r AND z.i = h.j"""
+
+
+ORACLES["op9_line_dedup"] = _repeats_oracle()
 
 
 @query

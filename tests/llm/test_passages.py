@@ -1,10 +1,13 @@
 """Benchmark passages and repeated lines against plain versions."""
 
 import random
+import re
+from hashlib import md5
 
 from pyspark.sql import functions as F
 
 from refmask.llm import decontamination as D
+from refmask.llm import line_dedup
 from refmask.llm.decontamination import contaminated, decontaminate
 from refmask.llm.line_dedup import dedup_lines
 
@@ -129,101 +132,92 @@ def test_items_are_joined_the_same_without_a_broadcast(documents, spark, monkeyp
     assert first == sorted(map(tuple, contaminated(documents(*rows), bench).collect())) and len(first) == 20
 
 
-def normal(line):
-    return b" ".join(low(line)).decode()
-
-
-def brute_lines(rows, min_words):
+def brute_spans(rows, min_words):
+    """Per row the (start, length) to remove: every stretch is looked for among those that rank before it."""
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0))
-    seen, out = set(), {}
+    seen, out = set(), {i: [] for i in order}
     for i in order:
-        if rows[i][1] is None:
-            out[i] = (None, [])
-            continue
-        kept, gone, at = [], [], 0
-        lines = rows[i][1].split("\n")
-        for k, line in enumerate(lines):
-            end = at + len(line) + (k + 1 < len(lines))
-            if len(low(line)) >= min_words and normal(line) in seen:
-                gone.append((at, end - at))
+        text = rows[i][1] or ""
+        found = list(re.finditer(r"[^ \t-\r]+", text))
+        words = [normal(m.group()) for m in found]
+        places = [m.start() for m in found] + [len(text)]
+        bits = [md5(w.encode()).digest()[0] >> 6 for w in words]
+        by_line = [k for k in range(len(words)) if not k or "\n" in text[found[k - 1].end() : found[k].start()]]
+        by_words = [k for k in range(len(words)) if not k or bits[k - 1] == bits[k]]
+        gone = set()
+        units = {(a, next(b for b in [*cut, len(words)] if b >= a + min_words)) for cut in (by_line, by_words) for a in cut if len(words) >= a + min_words}
+        for a, b in sorted(units):
+            unit = tuple(words[a:b])
+            if unit in seen:
+                gone |= set(range(a, b))
+            seen.add(unit)
+        for k in sorted(gone):
+            if out[i] and out[i][-1][0] + out[i][-1][1] == places[k]:
+                out[i][-1] = (out[i][-1][0], places[k + 1] - out[i][-1][0])
             else:
-                kept.append(line)
-                if len(low(line)) >= min_words:
-                    seen.add(normal(line))
-            at = end
-        out[i] = ("\n".join(kept), gone)
+                out[i].append((places[k], places[k + 1] - places[k]))
     return out
 
 
-def test_lines_equal_a_plain_version(documents):
-    random.seed(12)
-    pool = ["One two  three", "one two three", "four", "", " ", "five é six seven", "a b\tc d e f", "𝒳 y z", "unique"]
-    rows = [(i, "\n".join(random.choice(pool) + random.choice(["", "", " ", f" {random.randrange(9)}"]) for _ in range(random.randrange(7)))) for i in range(120)]
-    rows += [(400, None), (401, ""), (None, "one two three\nleft over words")]
-    docs = documents(*rows).withColumn("line", F.lit("x")).withColumn("digest", F.lit(1))
-    out = dedup_lines(docs, min_words=3)
-    assert out.columns == [*docs.columns, "removed"]
-    got = {r.doc_id: (r.text, [(x.start, x.length) for x in r.removed or []]) for r in out.collect()}
-    want = brute_lines(rows, 3)
-    assert got == {rows[i][0]: w for i, w in want.items()}
-    by_id = dict(rows)
-    for r in out.collect():
-        for x in r.removed or []:
-            line = by_id[r.doc_id][x.start : x.start + x.length].removesuffix("\n")
-            assert normal(by_id[x.kept_doc_id].split("\n")[x.kept_line]) == normal(line)
+def without(text, spans):
+    for a, n in reversed(spans):
+        text = text[:a] + text[a + n :]
+    return text
 
 
-def test_repeated_rows_and_empty_tables(documents):
-    text = "the same line here\nand more of it"
-    docs = documents((1, text), (1, text), (2, text), (2, "the same line here"))
-    got = sorted((r.doc_id, r.text) for r in dedup_lines(docs, min_words=3).collect())
-    # Rows equal in id and text are one document: its lines stay in each of them, or go from each.
-    assert got == [(1, text), (1, text), (2, ""), (2, "")]
-    assert dedup_lines(docs.limit(0)).count() == 0
+def normal(word):
+    return b" ".join(low(word)).decode()
 
 
-def brute_stretches(rows, min_words):
-    """Per row the lines to remove: every stretch just long enough is looked for among those that rank before it."""
-    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0))
-    seen, gone = set(), {i: set() for i in order}
-    for i in order:
-        lines = [(k, normal(x)) for k, x in enumerate((rows[i][1] or "").split("\n")) if low(x)]
-        size = [len(x.split(" ")) for _, x in lines]
-        units = []
-        for a in range(len(lines)):
-            for b in range(a, len(lines)):
-                short = a < b and max(size[a : b + 1]) < min_words <= sum(size[a : b + 1])
-                if short and min(sum(size[a:b]), sum(size[a + 1 : b + 1])) < min_words or a == b and size[a] >= min_words:
-                    units.append((a, b))
-        for a, b in sorted(units):
-            text = tuple(x for _, x in lines[a : b + 1])
-            if text in seen:
-                gone[i] |= {k for k, _ in lines[a : b + 1]}
-            seen.add(text)
-    return gone
+def test_spans_equal_a_plain_version(documents):
+    random.seed(13)
+    pool = ["a b", "A  b", "c", "d e f", "", " ", "g h i j k l m", "n \xa0o p q", "𝒳 y", "a b c d e f g h"]
+    rows = [(i, "\n".join(random.choice(pool) + random.choice(["", " \t", f" {i}"]) for _ in range(random.randrange(12)))) for i in range(150)]
+    rows += [(300, None), (301, ""), (302, "x " * 30_000), (303, "\n".join(["the same short line"] * 58)), (None, "a b\nc\nd e f")]
+    want = brute_spans(rows, 6)
+    docs = documents(*rows).withColumn("key", F.lit("k")).withColumn("start", F.lit(1)).withColumn("spans", F.lit(2))
+    out = dedup_lines(docs.repartition(5), 6)
+    assert out.columns == [*docs.columns, "removed"]
+    got = {r.doc_id: r for r in out.collect()}
+    for i, (d, text) in enumerate(rows):
+        assert [tuple(x) for x in got[d].removed or []] == want[i]
+        assert got[d].text == (None if text is None else without(text, want[i])) and (got[d].removed is None) == (not want[i])
+        assert (got[d].key, got[d].start, got[d].spans) == ("k", 1, 2)
+    assert sum(map(bool, want.values())) > 50 and len(got[302].text) < 20 and len(got[303].text) < 60
+    # Of every word one occurrence stays.
+    kept = {w for r in got.values() for w in low(r.text)}
+    assert kept == {w for _, text in rows for w in low(text)}
+
+
+def test_passages_go_however_they_are_wrapped(documents):
+    random.seed(14)
+    words = lambda n: [f"w{random.randrange(10**6)}" for _ in range(n)]
+    caught, rows = 0, []
+    for i in range(60):
+        passage = words(random.randrange(52, 90))
+        wrapped = "".join(w + random.choice([" ", " ", "  ", "\n", " \n"]) for w in passage)
+        rows += [(2 * i, " ".join([*words(30), *passage, *words(30)])), (2 * i + 1, " ".join(words(30)) + " " + wrapped.upper() + " ".join(words(30)))]
+    got = {r.doc_id: r for r in dedup_lines(documents(*rows)).collect()}
+    for i in range(60):
+        assert got[2 * i].removed is None
+        left = len(got[2 * i + 1].text.split()) - 60
+        caught += left * 2 <= len(rows[2 * i + 1][1].split()) - 60
+    assert caught >= 58
 
 
-def test_passages_of_short_lines_go_whole(documents):
-    passage = "\n".join(f"part {k} of a wrapped passage" for k in range(11))
-    rows = [(1, "before\n" + passage), (2, passage.upper() + "\nafter"), (3, "\n\n".join(passage.split("\n"))), (4, "part 1 of a wrapped passage\nelse")]
-    got = {r.doc_id: r.text for r in dedup_lines(documents(*rows), passages=True).collect()}
-    assert got[1] == rows[0][1] and got[2] == "after" and got[3].strip() == "" and got[4] == rows[3][1]
-    same = dedup_lines(documents((1, "\n".join(["the same short line"] * 58))), passages=True).first()
-    assert same.text == "the same short line"
+def test_repeated_rows_and_empty_tables(documents):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = documents((1, text), (1, text), (2, text), (2, text + " more"), (None, None), (None, None))
+    got = sorted((str(r.doc_id), r.text) for r in dedup_lines(docs.withColumn("removed", F.lit("x"))).collect())
+    # Rows equal in id and text are one document: its words stay in each of them, or go from each.
+    assert [r for r in got if r[0] != "2"] == [("1", text), ("1", text), ("None", None), ("None", None)]
+    assert got[2][1] == "" and len(got[3][1].split()) <= 15
+    assert dedup_lines(docs.limit(0)).count() == 0
 
 
-def test_stretches_equal_a_plain_version(documents):
-    random.seed(13)
-    pool = ["a b", "A  b", "c", "d e f", "", " ", "g h i j k l m", "n o p q"]
-    rows = [(i, "\n".join(random.choice(pool) for _ in range(random.randrange(12)))) for i in range(120)] + [(300, None), (None, "a b\nc\nd e f")]
-    want = brute_stretches(rows, 6)
-    kept = set()
-    got = {r.doc_id: r for r in dedup_lines(documents(*rows), 6, passages=True).collect()}
-    for i, (d, text) in enumerate(rows):
-        lines = (text or "").split("\n")
-        left = [x for k, x in enumerate(lines) if k not in want[i]]
-        assert (got[d].text or "") == "\n".join(left)
-        kept |= {normal(x) for x in left}
-    # Of every line's text one occurrence stays.
-    assert kept >= {normal(x) for _, text in rows for x in (text or "").split("\n") if low(x)}
-    assert sum(map(len, want.values())) > 100
+def test_places_are_joined_the_same_without_a_broadcast(documents, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(50))
+    docs = documents(*((i, f"{i} " * i + text) for i in range(20)), (None, text))
+    first = sorted(map(str, dedup_lines(docs).collect()))
+    monkeypatch.setattr(line_dedup, "BROADCAST_SPANS", 0)
+    assert first == sorted(map(str, dedup_lines(docs).collect()))
