@@ -223,3 +223,61 @@ FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 
 
 ORACLES["op1_quality_rules"] = _rules_oracle()
+
+
+def _crc32_sql(points: str) -> str:
+    """DuckDB text for the unsigned CRC-32 of the UTF-8 form of a list of code points below 2048."""
+    utf8 = f"flatten(list_transform({points}, lambda c: CASE WHEN c < 128 THEN [c] ELSE [192 + c // 64, 128 + c % 64] END))"
+    byte = "list_reduce(list_concat([xor(c, b)], range(8)::BIGINT[]), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)"
+    return f"xor(list_reduce(list_concat([4294967295], {utf8}::BIGINT[]), lambda c, b: {byte}), 4294967295)"
+
+
+def _points_sql(text: str) -> str:
+    return f"list_transform(str_split({text}, ''), lambda c: unicode(c)::BIGINT)"
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every text; in one document of ten the words from some place on are first made to repeat."""
+    from .periodic_runs import periodic_runs
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.expr("crc32(cast(doc_id as string))").alias("h"))
+    # Only texts that are changed are cut into words here.
+    words = "filter(split(text, '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w != '')"
+    docs = docs.withColumn("w", F.expr(f"CASE WHEN h % 10 = 0 THEN {words} END"))
+    docs = docs.withColumn("a", F.expr("(h DIV 10) % size(w)")).withColumn("p", F.expr("1 + (size(w) - a) DIV (3 + (h DIV 10) % 8)"))
+    repeated = "array_join(transform(w, (x, i) -> IF(i < a, x, w[cast(a + (i - a) % p as int)])), ' ')"
+    docs = docs.withColumn("text", F.expr(f"CASE WHEN size(w) > 0 THEN {repeated} ELSE text END"))
+    out = periodic_runs(docs, "doc_id")
+    # Runs come by start and period, so of equal ratios the first stays.
+    most = F.expr("aggregate(slice(runs, 2, size(runs)), runs[0], (m, r) -> IF(r.length * m.period > m.length * r.period, r, m))")
+    out = out.withColumn("m", F.when(F.size("runs") > 0, most))
+    lines = "array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')"
+    return out.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        "m.start",
+        "m.length",
+        "m.period",
+        F.expr("1000 * m.length DIV m.period").alias("exponent_milli"),
+        F.sha2(F.expr(lines), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+ORACLES["op12_periodic_runs"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, COALESCE(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w, {_crc32_sql(_points_sql("doc_id::VARCHAR"))} AS h FROM documents)
+, e AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d)
+, f AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM e)
+, x AS (SELECT r, doc_id, n, unnest(range(n)) AS i, unnest(w) AS own, w, a, p FROM f)
+, v AS MATERIALIZED (SELECT r, n, i, CASE WHEN a IS NULL OR i < a THEN own ELSE w[a + (i - a) % p + 1] END AS word FROM x)
+, m AS (SELECT b.r, b.i - a.i AS q, a.i FROM v a JOIN v b ON a.r = b.r AND a.word = b.word AND b.i > a.i AND 4 * (b.i - a.i) <= a.n)
+, g AS (SELECT r, q, MIN(i) AS start, COUNT(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS part FROM m) GROUP BY r, q, part HAVING COUNT(*) + q >= GREATEST(6, 4 * q))
+, t AS (SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM g s WHERE s.r = g.r AND s.q < g.q AND s.start <= g.start AND s.start + s.length >= g.start + g.length))
+, c AS (SELECT r, COUNT(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS lines FROM t GROUP BY r)
+, top AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY r ORDER BY length::DOUBLE / q DESC, start, q) = 1)
+, gone AS (SELECT DISTINCT r, unnest(range(start + q, start + length)) AS i FROM t)
+, k AS (SELECT v.r, string_agg(word, ' ' ORDER BY v.i) AS text FROM v ANTI JOIN gone ON gone.r = v.r AND gone.i = v.i GROUP BY v.r)
+SELECT doc_id, COALESCE(n_runs, 0)::BIGINT AS n_runs, top.start::BIGINT AS start, top.length::BIGINT AS length, top.q::BIGINT AS period, (1000 * top.length // top.q)::BIGINT AS exponent_milli,
+  sha256(COALESCE(lines, '')) AS runs_sha256, sha256(COALESCE(k.text, '')) AS collapsed_sha256
+FROM d LEFT JOIN c USING (r) LEFT JOIN top USING (r) LEFT JOIN k USING (r)"""
