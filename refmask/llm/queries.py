@@ -281,3 +281,26 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, COALESCE(regexp_extract_all
 SELECT doc_id, COALESCE(n_runs, 0)::BIGINT AS n_runs, top.start::BIGINT AS start, top.length::BIGINT AS length, top.q::BIGINT AS period, (1000 * top.length // top.q)::BIGINT AS exponent_milli,
   sha256(COALESCE(lines, '')) AS runs_sha256, sha256(COALESCE(k.text, '')) AS collapsed_sha256
 FROM d LEFT JOIN c USING (r) LEFT JOIN top USING (r) LEFT JOIN k USING (r)"""
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all texts with their spelling variants; one run of letters in 31 has lost a letter."""
+    from .spelling import spelling_variants, word_counts
+
+    return spelling_variants(word_counts(table(spark, sf_dir, "documents"), every=31))
+
+
+ORACLES["op13_spelling_variants"] = f"""
+WITH RECURSIVE t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]{{7,}}')) AS run FROM documents)
+, u AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, COUNT(*) AS n FROM t GROUP BY ALL)
+, h AS (SELECT *, {_crc32_sql(_points_sql("doc_id::VARCHAR || ':' || run"))} AS h FROM u)
+, c AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM h)
+, v AS MATERIALIZED (SELECT word, SUM(n)::BIGINT AS n FROM c WHERE length(word) >= 7 GROUP BY word HAVING SUM(n) >= 2)
+, x AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v))
+, p AS (SELECT a.word, b.word AS near, b.n AS near_n FROM x a JOIN x b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT x.word, v.word, v.n FROM x JOIN v ON x.rest = v.word UNION SELECT v.word, x.word, x.n FROM x JOIN v ON x.rest = v.word)
+, f AS (SELECT word, COUNT(*) AS n_near, MAX(near_n) AS form_n, MIN(near) FILTER (near_n = most) AS form FROM (SELECT *, MAX(near_n) OVER (PARTITION BY word) AS most FROM p) GROUP BY word)
+, w AS MATERIALIZED (SELECT v.word, v.n, COALESCE(n_near, 0)::BIGINT AS n_near, CASE WHEN form_n >= 10 * v.n THEN form END AS form, CASE WHEN form_n >= 10 * v.n THEN form_n END AS form_n FROM v LEFT JOIN f USING (word))
+, s AS (SELECT word, word AS at, form AS next FROM w UNION ALL SELECT s.word, w.word, w.form FROM s JOIN w ON s.next = w.word)
+SELECT w.word, form, s.at AS root, n, n_near, form_n FROM w JOIN s ON s.word = w.word AND s.next IS NULL"""
