@@ -4,7 +4,8 @@ Units are hashed, and their digests grouped over all documents. A text is cut in
 at borders that follow from the words themselves, wherever lines are wrapped: between two words whose MD5 digests agree
 in their first BORDER_BITS bits (one place in four). A passage is thus cut alike in every text, however the words around
 it are arranged. What is compared are stretches: from each unit the fewest units onward that have ``min_words`` words
-together. So a long line is a stretch of its own, short lines and units are compared together with those that follow. Words are compared with A-Z in lower case and white space as one space, by MD5.
+together. So a long line is a stretch of its own, short lines and units are compared together with those that follow. Words are compared with A-Z in lower case and white space as one space, by 96
+bits of their MD5.
 
 The occurrence that ranks first stays: the smallest (doc_id, hash of the text, place); the words of all others go. The
 place that stays for a removed word may itself lie in another repeated stretch, but ranks before it, so of every
@@ -90,7 +91,9 @@ def text_stretches(data: np.ndarray, at: np.ndarray, bits: _Bits, min_words: int
 
 
 def _units(min_words: int):
-    names = ["doc_id", "key", "start", "end", "high", "low", "again"]
+    """Stretches as (doc_id, key, high, low, length): ``high`` and the upper half of ``low`` are 96 bits of the digest, the
+    lower half of ``low`` is the start. A negative length marks a repeat of a stretch of the same batch."""
+    names = ["doc_id", "key", "high", "low", "length"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = _Bits()
@@ -115,7 +118,12 @@ def _units(min_words: int):
                 first = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
                 again = same & (doc != doc[first]).any(1)
                 kept = ~same | again
-                columns = [pa.array(number[row][kept], pa.int64(), mask=null[row][kept]), keys[row][kept], start[kept], end[kept], digest[kept, 0], digest[kept, 1], again[kept]]
+                length = np.where(again, start - end, end - start)
+                # Known repeats are dealt out by their place, not by the digest that may be frequent.
+                place = K.mix(keys[row].view(K.U) + start.astype(K.U)).view(np.int64)
+                high = np.where(again, place, digest[:, 0])
+                low = (digest[:, 1] << 32) | start
+                columns = [pa.array(number[row][kept], pa.int64(), mask=null[row][kept]), keys[row][kept], high[kept], low[kept], length[kept]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
     return run
@@ -132,14 +140,15 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     from each. Documents rank by doc_id, null first, then by key. A place runs from its first word to where the next
     word begins, or to the end of the text. Null, empty and short texts have none.
     """
-    schema = "doc_id bigint, key bigint, start bigint, end bigint, high bigint, low bigint, again boolean"
-    units = _keyed(docs).where("text is not null").mapInArrow(_units(min_words), schema)
-    # What is known to be repeated only passes through: dealt out by its place, not by the digest that may be frequent.
-    units = units.withColumn("apart", F.when(F.col("again"), F.xxhash64("doc_id", "key", "start")))
-    by_digest = Window.partitionBy("high", "low", "apart").orderBy(F.col("doc_id").asc_nulls_first(), "key", "start")
+    schema = "doc_id bigint, key bigint, high bigint, low bigint, length bigint"
+    # Narrow rows, since every stretch is shuffled once; the rest is unpacked beyond the exchange.
+    units = _keyed(docs).where("text is not null").mapInArrow(_units(min_words), schema).repartition("high")
+    units = units.selectExpr("doc_id", "key", "high", "shiftright(low, 32) AS rest", "low & 4294967295 AS start", "length")
+    by_digest = Window.partitionBy("high", "rest").orderBy(F.col("doc_id").asc_nulls_first(), "key", "start")
     where = F.struct("doc_id", "key", "start")
     ranked = units.withColumn("first", F.first(where).over(by_digest))
-    gone = ranked.where(F.col("again") | ~where.eqNullSafe(F.col("first"))).select("doc_id", "key", "start", "end")
+    gone = ranked.where((F.col("length") < 0) | ~where.eqNullSafe(F.col("first")))
+    gone = gone.select("doc_id", "key", "start", (F.col("start") + F.abs("length")).alias("end"))
     by_text = Window.partitionBy("doc_id", "key").orderBy("start", "end")
     reached = F.max("end").over(by_text.rowsBetween(Window.unboundedPreceding, -1))
     apart = gone.withColumn("new", F.coalesce(F.col("start") > reached, F.lit(True)).cast("int"))
