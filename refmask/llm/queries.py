@@ -304,3 +304,14 @@ WITH RECURSIVE t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00
 , w AS MATERIALIZED (SELECT v.word, v.n, COALESCE(n_near, 0)::BIGINT AS n_near, CASE WHEN form_n >= 10 * v.n THEN form END AS form, CASE WHEN form_n >= 10 * v.n THEN form_n END AS form_n FROM v LEFT JOIN f USING (word))
 , s AS (SELECT word, word AS at, form AS next FROM w UNION ALL SELECT s.word, w.word, w.form FROM s JOIN w ON s.next = w.word)
 SELECT w.word, form, s.at AS root, n, n_near, form_n FROM w JOIN s ON s.word = w.word AND s.next IS NULL"""
+
+
+@query
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of what the fixed patterns find in every text, and all spans."""
+    from .personal_data import KINDS, find_personal_data, fit
+
+    found = find_personal_data(table(spark, sf_dir, "documents"), fit(), "doc_id")
+    joined = "array_join(transform({}, s -> concat(s.kind, ':', s.start, ':', s.end)), ',')"
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(F.expr(joined.format("base")), 256).alias("base_sha256"), F.expr(joined.format("spans")).alias("spans"))
