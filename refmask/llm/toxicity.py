@@ -21,12 +21,15 @@ from .common import labelled_sample
 BITS = 20
 #: Bound of the labelled sample that a model is fitted on.
 SAMPLE_ROWS = 8000
-ALPHA, BETA, L1, L2 = 2.0, 1.0, 8.0, 0.0
+ALPHA, BETA, L2 = 2.0, 1.0, 0.0
+#: L1 for a sample of L1_ROWS rows. Sums of slopes that are mere chance grow with the root of the rows, and so does L1.
+L1, L1_ROWS = 8.0, 3000
 #: A toxic example counts so many times; there are fewer of them.
 TOXIC_WEIGHT = 2.0
 #: Longer words also count by their first so many bytes, since endings vary.
 STEMS = (4, 5, 6)
-PASSES = 4
+#: Few examples are gone through more often: until so many are seen, within these numbers of passes.
+SEEN, PASSES = 40_000, (4, 20)
 
 
 @dataclass
@@ -62,9 +65,9 @@ def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(sample: list[tuple[str, int]]) -> Model:
-    """FTRL-proximal over the sample, in its order, PASSES times. Nothing to learn from: all weights zero, score 0.5."""
+    """FTRL-proximal over the sample, in its order, several times. Nothing to learn from: all weights zero, score 0.5."""
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)  # the last is the bias, without L1
-    shrink = np.full(len(z), L1)
+    shrink = np.full(len(z), L1 * np.sqrt(len(sample) / L1_ROWS))
     shrink[-1] = 0.0
     rows = []
     for lo in range(0, len(sample), 256):
@@ -79,7 +82,7 @@ def train(sample: list[tuple[str, int]]) -> Model:
         zi = z[i]
         return np.where(np.abs(zi) <= shrink[i], 0.0, (np.sign(zi) * shrink[i] - zi) / ((BETA + np.sqrt(n[i])) / ALPHA + L2))
 
-    for _ in range(PASSES):
+    for _ in range(min(max(SEEN // max(len(sample), 1), PASSES[0]), PASSES[1])):
         for bucket, label in rows:
             i = np.append(bucket, 1 << BITS)
             w = weights(i)

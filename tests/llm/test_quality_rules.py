@@ -60,7 +60,7 @@ def test_verdicts_by_stratum(documents, labels, spark):
     got = {r.doc_id: r for r in out.collect()}
     assert out.count() == len(rows)
     assert all(got[i].kept for i in range(700)) and got[1003].kept and got[1004].kept
-    assert not got[1000].kept and not got[1000].base_failed and got[1000].failed_rules == ["symbols"]
+    assert not got[1000].kept and not got[1000].base_failed and got[1000].failed_rules == ["symbols", "repeated_phrases"]
     assert got[1001].base_failed and got[1002].base_failed and not got[1002].kept
     assert quality_rules(docs, labels()).where("kept").count() == 704
     assert quality_rules(docs.limit(0), labels()).count() == 0
