@@ -38,7 +38,7 @@ def brute(counts, ratio=10):
 
 
 def test_levels_end():
-    assert boundaries(7, 9) == [3, 4, 5, 6, 7, 8, 9, 10]
+    assert boundaries(7, 9) == [3, 4, 5, 6, 7, 8, 10]
     assert len(boundaries(7, 100_000)) < 60
 
 
