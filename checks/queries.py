@@ -19,6 +19,7 @@ from refmask.operators import mapping as mp
 from refmask.operators import references as rf
 from refmask.operators import restoration as rs
 from refmask.operators import typos as ty
+from refmask.operators.intermediate import computed_once
 from refmask.plans.jobs import Options, fix_corpus, redact_corpus, restore_corpus
 from refmask.sources.mapping_json import export_mapping, import_mapping
 from refmask.sources.runs import sanitise_options, touched_runs
@@ -621,14 +622,52 @@ _NAMES = (
 )
 
 
+# Some scripts bring placeholders along: numbers in between, a long run of them, and one that is no number of ours.
+_LITERAL = (
+    "CASE WHEN o_orderkey % 11 = 0 THEN ' -- was redacted.Table_' || CAST(o_custkey % 40 * 2 + 1 AS STRING) "
+    "WHEN o_orderkey % 11 = 1 THEN ' -- not redacted.Table_' || CAST(30 + o_custkey % 25 AS STRING) || ', redacted.Table_02 or redacted.Table_99999999999999999999' ELSE '' END"
+)
+_LITERAL_SCRIPTS = f"SELECT o_orderkey AS script_id, {co.order_script(co.ORDER_TABLE, co.PRIORITY_TABLE)} || {_LITERAL} AS text FROM orders"
+_FIRST_RUN = "o_orderkey % 11 < 5"
+
+
+def _free(taken_where: str, above: str = "0") -> str:
+    """DuckDB text: the numbers above ``above`` that no script holds, ranked."""
+    taken = f"SELECT CASE o_orderkey % 11 WHEN 0 THEN o_custkey % 40 * 2 + 1 ELSE 30 + o_custkey % 25 END FROM orders WHERE o_orderkey % 11 < 2 AND {taken_where}"
+    return f"SELECT n, row_number() OVER (ORDER BY n) AS k FROM (SELECT unnest(range(1, 2000)) AS n) WHERE n > {above} AND n NOT IN ({taken})"
+
+
+_AROUND = f"SELECT canon, f.n FROM ({_NAMES}) a JOIN ({_free('true')}) f ON f.k = a.n"
+
+
 @query(
-    f"WITH names AS ({_NAMES}) SELECT o_orderkey AS script_id, "
+    f"WITH names AS ({_AROUND}) SELECT o_orderkey AS script_id, "
     + co.order_script("'redacted.Table_' || a.n", "'redacted.Table_' || b.n")
-    + f" AS text FROM orders JOIN names a ON a.canon = {co.ORDER_TABLE} JOIN names b ON b.canon = {co.PRIORITY_TABLE}"
+    + f" || {_LITERAL} AS text FROM orders JOIN names a ON a.canon = {co.ORDER_TABLE} JOIN names b ON b.canon = {co.PRIORITY_TABLE}"
 )
 def x5_corpus_redact(spark, sf_dir):
-    job = _sql(spark, sf_dir)
-    return cp.redact_with_dictionary(job.redacted, job.mapping, cp.corpus_dictionary(job.mapping))
+    """One dictionary around the placeholders that some scripts bring along."""
+    scripts = co.frame(spark, sf_dir, _LITERAL_SCRIPTS)
+    job = redact_corpus(scripts)
+    dictionary = cp.corpus_dictionary(job.mapping, taken=cp.taken_numbers(scripts))
+    return cp.redact_with_dictionary(job.redacted, job.mapping, dictionary)
+
+
+@query(
+    f"WITH old AS (SELECT DISTINCT canon FROM (SELECT {co.ORDER_TABLE} AS canon FROM orders WHERE {_FIRST_RUN} UNION SELECT {co.PRIORITY_TABLE} FROM orders WHERE {_FIRST_RUN})), "
+    f"one AS (SELECT canon, f.n FROM (SELECT canon, row_number() OVER (ORDER BY substr(md5(canon), 1, 2), canon) AS k FROM old) JOIN ({_free(_FIRST_RUN)}) f USING (k)), "
+    f"new AS (SELECT canon FROM ({_NAMES}) WHERE canon NOT IN (SELECT canon FROM old)), "
+    f"two AS (SELECT canon, f.n FROM (SELECT canon, row_number() OVER (ORDER BY substr(md5(canon), 1, 2), canon) AS k FROM new) JOIN ({_free('true', '(SELECT max(n) FROM one)')}) f USING (k)) "
+    "SELECT 'table' AS kind, canon, canon AS original, n, 'redacted.Table_' || n AS placeholder, CAST(version AS BIGINT) AS version "
+    "FROM (SELECT *, 1 AS version FROM one UNION ALL SELECT *, 2 FROM two)"
+)
+def x5_dictionary_grows(spark, sf_dir):
+    """A first run over part of the scripts, a second one over all: no number of the first changes."""
+    scripts = co.frame(spark, sf_dir, _LITERAL_SCRIPTS)
+    early = scripts.filter("script_id % 11 < 5")
+    one = computed_once(cp.corpus_dictionary(redact_corpus(early).mapping, taken=cp.taken_numbers(early)), "dictionary-1")
+    two = cp.grow_dictionary(one, redact_corpus(scripts).mapping, taken=cp.taken_numbers(scripts))
+    return one.withColumn("version", F.lit(1).cast("bigint")).unionByName(two.withColumn("version", F.lit(2).cast("bigint")))
 
 
 @query(f"SELECT 'table' AS kind, canon, canon AS original, n, 'redacted.Table_' || n AS placeholder FROM ({_NAMES})")
