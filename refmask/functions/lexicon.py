@@ -223,7 +223,12 @@ COLUMN_NUMBERS = rf"{WORD_START}redacted\.Col_([0-9]+){WORD_END}"
 AUDIT_PART = r"(?>\[[^\]\n]++\]|`[^`\n]++`|" + _BARE + ")"
 AUDIT_PATH = rf"(?<![\w$#]){AUDIT_PART}(?:{_DOT}{AUDIT_PART})*+"
 AUDIT_QUOTED_PART = r'(?>"(?:[^"\n]++|"")++"|"[^"\n]++"|\[[^\]\n]++\]|`[^`\n]++`|' + _BARE + ")"
-AUDIT_QUOTED = rf"(?<![\w$#])(?<!\.{SPACE}{{0,9}})(?=({AUDIT_QUOTED_PART}(?:{_DOT}{AUDIT_QUOTED_PART})*+))"
+AUDIT_BARE = rf"\A{_BARE}"
+_AUDIT_FROM = rf"(?=({AUDIT_QUOTED_PART}(?:{_DOT}{AUDIT_QUOTED_PART})*+))"
+AUDIT_QUOTED = rf"(?<![\w$#])(?<!\.{SPACE}{{0,9}}){_AUDIT_FROM}"
+# A look-behind has a length. Texts with wider gaps after a dot are cut by a pattern that takes such gaps with it.
+AUDIT_WIDE_GAP = rf"\.{SPACE}{{10}}"
+AUDIT_QUOTED_WIDE = rf"\.{SPACE}++{AUDIT_QUOTED_PART}|(?<![\w$#.]){_AUDIT_FROM}"
 
 # -- quotes and white space -------------------------------------------------------------------------------
 IDENTIFIER_QUOTES = r'(?s)\A(?:"(.*)"|`(.*)`|\[(.*)\])\z'

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from refmask.functions import lexicon as lx
 from refmask.functions import text as tx
-from refmask.functions.restore import placeholder_tokens
-from refmask.functions.sqltext import pattern
+from refmask.functions.arrays import lookup
+from refmask.functions.sqltext import keep_if, let, pattern, struct, transform, when
+from refmask.operators.intermediate import computed_once
 from refmask.operators.references import table_references
-from refmask.operators.restoration import with_entries
 from refmask.operators.rows import explode_rows
 from refmask.schema import KEYS
 
@@ -33,29 +33,112 @@ def typo_rollup(findings: DataFrame, keys=KEYS) -> DataFrame:
     )
 
 
-def _fronts(path: str, group: int, part: str) -> str:
-    """SQL for all paths of a text and all their fronts: of a.b.c also a.b and a. Parts are joined without white space."""
-    parts = f"transform(regexp_extract_all(text, {pattern(path)}, {group}), p -> regexp_extract_all(p, {pattern(part)}, 0))"
-    return f"flatten(transform({parts}, q -> transform(sequence(1, size(q)), k -> slice(q, 1, k))))"
+# Bits of the filter for first parts: so many for each distinct one, in words of 64.
+_BITS_EACH = 16
+_MOST_WORDS = 1 << 20
+# Names are broadcast to the scan up to this many; beyond it they are joined by shuffling, in so many copies.
+BROADCAST_NAMES = 200_000
+SALTS = 16
 
 
-def leak_audit(redacted: DataFrame, mapping: DataFrame, keys=KEYS) -> DataFrame:
+def _paths(text: str) -> str:
+    """SQL for all dotted paths of a text as ``array<struct<path, quoted>>``: ``quoted`` ones may have double-quoted parts and
+    are looked for only where there are such quotes."""
+
+    def quoted(regex: str) -> str:
+        found = keep_if(f"regexp_extract_all({text}, {pattern(regex)}, 1)", lambda q: f"contains({q}, '\"')")
+        return transform(found, lambda q: struct(path=q, quoted="true"))
+
+    plain = transform(f"regexp_extract_all({text}, {pattern(lx.AUDIT_PATH)}, 0)", lambda p: struct(path=p, quoted="false"))
+    wide = when(f"{text} RLIKE {pattern(lx.AUDIT_WIDE_GAP)}", quoted(lx.AUDIT_QUOTED_WIDE), quoted(lx.AUDIT_QUOTED))
+    return when(f"contains({text}, '\"')", f"concat({plain}, {wide})", plain)
+
+
+def _first_part(name: str) -> str:
+    """SQL for the first part of a path or canonical name, in lower case."""
+    quoted = f"lower(regexp_extract({name}, {pattern(lx.AUDIT_QUOTED_PART)}, 0))"
+    return when(f"left({name}, 1) IN ('[', '`', '\"')", quoted, f"lower(regexp_extract({name}, {pattern(lx.AUDIT_BARE)}, 0))")
+
+
+def _fronts(paths: str) -> str:
+    """SQL for all fronts of paths as canonical names: of a.b.c also a.b and a.
+
+    Fronts of a ``quoted`` path without such a part are those of another path.
+    """
+
+    def of(path: str) -> str:
+        def cut(parts: str) -> str:
+            fronts = transform(f"sequence(1, size({parts}))", lambda k: f"slice({parts}, 1, {k})")
+            kept = keep_if(fronts, lambda f: f"NOT {path}.quoted OR exists({f}, y -> left(y, 1) = '\"')")
+            return transform(kept, lambda f: tx.canonical_ref(f"array_join({f}, '.')"))
+
+        return let(f"regexp_extract_all({path}.path, {pattern(lx.AUDIT_QUOTED_PART)}, 0)", cut)
+
+    return f"flatten({transform(paths, of)})"
+
+
+def leak_audit(annotated: DataFrame, keys=KEYS) -> DataFrame:
     """``keys…, kind, canon, times``: originals of a script that its redacted text still names.
 
     Every dotted path of the text, and every front of one, is looked up among the script's own originals, also in
-    comments, strings and places that the redaction rules leave alone. Paths are counted before the join.
+    comments, strings and places that the redaction rules leave alone. ``annotated`` has the script's ``entries`` in the
+    row, so nothing is joined; only what is found is counted by an aggregate.
     """
-    # Fronts without a double-quoted part come from the first scan only.
-    quoted = f"filter({_fronts(lx.AUDIT_QUOTED, 1, lx.AUDIT_QUOTED_PART)}, q -> exists(q, p -> left(p, 1) = '\"'))"
-    fronts = f"transform(concat({_fronts(lx.AUDIT_PATH, 0, lx.AUDIT_PART)}, {quoted}), q -> array_join(q, '.'))"
-    named = explode_rows(redacted, keys, fronts)
-    counted = (
-        named.select(*keys, F.expr(tx.canonical_ref("row")).alias("canon"))
-        .groupBy(*keys, "canon")
-        .agg(F.count("*").alias("times"))
-    )
-    known = mapping.select(*keys, "kind", "canon").distinct()
-    return known.join(counted, [*keys, "canon"]).select(*keys, "kind", "canon", "times")
+
+    def hits(row: str, fronts: str, kind: str) -> str:
+        names = f"transform(filter({row}.entries, e -> e.kind = '{kind}'), e -> e.canon)"
+        found = let(names, lambda n: f"array_compact({lookup(fronts, n, n)})")
+        return transform(found, lambda c: struct(kind=f"'{kind}'", canon=c))
+
+    def named(row: str, firsts: str) -> str:
+        near = keep_if(_paths(f"{row}.text"), lambda p: f"array_contains({firsts}, {_first_part(f'{p}.path')})")
+        return let(_fronts(near), lambda fronts: f"concat({hits(row, fronts, 'table')}, {hits(row, fronts, 'column')})")
+
+    def of(row: str) -> str:
+        firsts = f"array_distinct({transform(f'{row}.entries', lambda e: _first_part(f'{e}.canon'))})"
+        return when(f"size({row}.entries) > 0", let(firsts, lambda f: named(row, f)))
+
+    # The row's text and entries may be a whole redaction: they are bound once, before any lambda refers to them.
+    rows = explode_rows(annotated, keys, let(struct(text="text", entries="entries"), of))
+    return rows.groupBy(*keys, F.col("row.kind").alias("kind"), F.col("row.canon").alias("canon")).agg(F.count("*").alias("times"))
+
+
+def leak_audit_corpus(redacted: DataFrame, mapping: DataFrame, keys=KEYS) -> DataFrame:
+    """``keys…, kind, canon, times``: originals of any script of the corpus that a redacted text names.
+
+    A name is first reduced to its first part. Whether a path's first part may be one of those is seen from a bit filter
+    of a few bits a distinct first part, in the row, before anything is exploded. Names are joined by broadcast if there
+    are few (their number is counted), and otherwise by shuffling, each in SALTS copies, so that a name that
+    very many scripts hold is dealt out to as many tasks.
+    """
+    names = computed_once(mapping.select("kind", "canon").distinct(), "audit-names")
+    bits, words = _first_part_bits(names)
+
+    def may_be(path: str) -> str:
+        spot = f"pmod(xxhash64({_first_part(f'{path}.path')}), {64 * words}L)"
+        return let(spot, lambda s: f"getbit(get(bits, int(shiftright({s}, 6))), int({s} & 63)) = 1")
+
+    texts = redacted.select(*keys, "text").withColumn("bits", bits)
+    fronts = explode_rows(texts, keys, let("text", lambda text: _fronts(keep_if(_paths(text), may_be))))
+    counted = fronts.groupBy(*keys, F.col("row").alias("canon")).agg(F.count("*").alias("times"))
+    if names.count() <= BROADCAST_NAMES:
+        return counted.join(F.broadcast(names), "canon").select(*keys, "kind", "canon", "times")
+    salted = names.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = counted.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, ["canon", "_salt"]).select(*keys, "kind", "canon", "times")
+
+
+def _first_part_bits(names: DataFrame) -> tuple[Column, int]:
+    """The filter as one array of BIGINT, the same for every row, and its length, a power of two."""
+    firsts = names.select(F.expr(_first_part("canon")).alias("first")).distinct()
+    words = 1
+    while words * 64 < firsts.count() * _BITS_EACH and words < _MOST_WORDS:
+        words *= 2
+    spots = firsts.selectExpr(f"pmod(xxhash64(first), {64 * words}L) AS spot")
+    used = spots.groupBy(F.expr("int(shiftright(spot, 6))").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(spot & 63))")).alias("bits"))
+    every = names.sparkSession.range(words).select(F.col("id").cast("int").alias("at"))
+    filled = every.join(used, "at", "left").select("at", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits"))
+    return filled.agg(F.expr("transform(sort_array(collect_list(struct(at, bits))), x -> x.bits)")).scalar(), words
 
 
 def restore_coverage(edited: DataFrame, packed: DataFrame, keys=KEYS) -> DataFrame:
@@ -65,8 +148,8 @@ def restore_coverage(edited: DataFrame, packed: DataFrame, keys=KEYS) -> DataFra
     are those of the mapping that occur, ``unknown`` those that occur and have no original.
     """
     texts = edited.select(*keys, "text")
-    tokens = explode_rows(with_entries(texts, packed, keys), keys, placeholder_tokens("text", "entries"))
-    used = tokens.select(*keys, F.col("row.token").alias("placeholder")).distinct()
+    tokens = explode_rows(texts, keys, f"array_distinct(regexp_extract_all(text, {pattern(lx.PLACEHOLDER)}, 0))")
+    used = tokens.withColumnRenamed("row", "placeholder").distinct()
     mapped = explode_rows(packed, keys, "entries.placeholder").withColumnRenamed("row", "placeholder").distinct()
     both = mapped.withColumn("mapped", F.lit(1)).join(
         used.withColumn("used", F.lit(1)), [*keys, "placeholder"], "full"

@@ -1,0 +1,65 @@
+"""What changed, what is gone and the newest view, and that texts do not move for it."""
+
+import pytest
+
+from refmask.operators import incremental as inc
+
+
+@pytest.fixture(params=[1_000_000, 0])
+def most(request, monkeypatch):
+    """With the keys broadcast, and with more keys than may be."""
+    monkeypatch.setattr(inc, "BROADCAST_KEYS", request.param)
+    return request.param
+
+
+def frame(spark, *rows):
+    return spark.createDataFrame(list(rows), "script_id BIGINT, text STRING")
+
+
+def test_changed_and_removed(spark, most):
+    old = frame(spark, (1, "a"), (2, "b"), (3, None), (4, "d"), (5, "e"), (5, "f"), (None, "n"))
+    new = frame(spark, (1, "a"), (2, "B"), (3, None), (6, "x"), (6, "x"), (5, "f"), (5, "g"), (None, "n"), (7, ""))
+    hashes = inc.script_hashes(old)
+    got = sorted(map(str, inc.changed_scripts(new, hashes).collect()))
+    assert got == sorted(map(str, frame(spark, (2, "B"), (6, "x"), (6, "x"), (5, "g"), (None, "n"), (7, "")).collect()))
+    assert {r.script_id for r in inc.removed_scripts(new, hashes).collect()} == {4, None}
+    assert inc.changed_scripts(new, inc.script_hashes(new.filter("script_id > 0"))).count() == 1
+    assert inc.changed_scripts(new.limit(0), hashes).isEmpty()
+
+
+def test_newest_view(spark, most):
+    rows = [(1, 1, "a"), (1, 2, "b"), (1, 3, "c"), (2, 1, "B"), (2, 3, "C"), (3, 2, "BB"), (3, 2, "bb")]
+    versions = spark.createDataFrame(rows, "run INT, script_id BIGINT, text STRING")
+    gone = spark.createDataFrame([(2, 2), (3, 3), (1, 9)], "run INT, script_id BIGINT")
+    got = sorted(tuple(r) for r in inc.current_view(versions, "run", removed=gone).collect())
+    assert got == [(2, 1, "B"), (3, 2, "BB"), (3, 2, "bb")]
+    got = sorted(tuple(r) for r in inc.current_view(versions, "run").collect())
+    assert got == [(2, 1, "B"), (2, 3, "C"), (3, 2, "BB"), (3, 2, "bb")]
+
+
+def test_no_text_below_an_exchange(spark, tmp_path):
+    frame(spark, *((i, f"text {i}") for i in range(50))).write.parquet(f"{tmp_path}/now")
+    frame(spark, *((i, f"text {i % 40}") for i in range(45))).write.parquet(f"{tmp_path}/old")
+    now, old = (spark.read.parquet(f"{tmp_path}/{n}") for n in ("now", "old"))
+    hashes = inc.script_hashes(old)
+    hashes.write.parquet(f"{tmp_path}/hashes")
+    changed = inc.changed_scripts(now, spark.read.parquet(f"{tmp_path}/hashes"))
+    assert {r.script_id for r in changed.collect()} == set(range(40, 50))
+    view = inc.current_view(now.selectExpr("1 AS run", "*").unionByName(old.selectExpr("2 AS run", "*")), "run")
+    assert view.count() == 50
+    for result in (changed, view):
+        tree = result._jdf.queryExecution().executedPlan().toString()
+        lines = tree.split("\n")
+        for k, line in enumerate(lines):
+            if "Exchange" in line and "Broadcast" not in line:
+                depth = len(line) - len(line.lstrip(" :+-"))
+                below = [x for x in lines[k + 1 :] if len(x) - len(x.lstrip(" :+-")) > depth]
+                assert not any("text#" in x for x in below if "FileScan" in x)
+
+
+def test_deltas_equal_a_recount(spark):
+    def rollup(*rows):
+        return spark.createDataFrame(list(rows), "canon STRING, scripts BIGINT, refs BIGINT")
+
+    got = inc.usage_delta(rollup(("a", 3, 5), ("b", 1, 1)), rollup(("a", 1, 2), ("b", 1, 1)), rollup(("a", 1, 1), ("c", 1, 4)), ("canon",), ("scripts", "refs"))
+    assert sorted(map(tuple, got.collect())) == [("a", 3, 4), ("c", 1, 4)]
