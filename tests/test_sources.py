@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from refmask import Options, redact_corpus, reload_run, restore_corpus
 from refmask.operators.mapping import mapping_table, merge_mappings
@@ -149,7 +150,7 @@ def test_runs(spark, scripts, tmp_path):
     nothing = runs.load_run(spark, path, "r0")
     assert nothing["options"].first() == ("sql", False)
     assert all(nothing[name].isEmpty() for name in runs.TABLES)
-    with pytest.raises(Exception, match="exist"):
+    with pytest.raises(ValueError, match="exist"):
         runs.save_run(path, "r1", scripts=table)
     with pytest.raises(ValueError):
         runs.save_run(path, "r2", other=table)
@@ -201,3 +202,27 @@ def test_runs_with_other_keys(spark, tmp_path):
     loaded = reload_run(spark, str(tmp_path), "r", "file STRING, part INT")
     assert [(r.file, r.part, r.found) for r in loaded["findings"].collect()] == [("x/y.sql", 3, "FROMM")]
     assert loaded["annotated"].first().text == "from redacted.Table_1 FROMM"
+
+
+def test_a_save_that_stops_leaves_nothing_to_read(spark, scripts, tmp_path, monkeypatch):
+    """Between two tables, and before the manifest: the run is absent, and a second try makes it whole."""
+    path = str(tmp_path / "runs")
+    table = scripts("from a.b FROMM", "from c.d")
+    broken = table.select("script_id", F.expr("IF(script_id >= 0, raise_error('stop'), text)").cast("string").alias("text"))
+    with pytest.raises(Exception, match="stop"):
+        runs.save_run(path, "r", scripts=table, edited=broken)
+    assert (tmp_path / "runs" / "scripts").exists()
+    assert not runs.has_table(spark, path, "r", "scripts") and runs.load_table(spark, path, "r", "scripts").isEmpty()
+    with pytest.raises(ValueError, match="without its scripts"):
+        reload_run(spark, path, "r")
+    runs.save_run(path, "r", scripts=table, edited=table)
+    assert runs.load_table(spark, path, "r", "scripts").count() == 2 and reload_run(spark, path, "r")["findings"].count() == 1
+    # What the first try left is not copied either.
+    runs.purge(path, str(tmp_path / "kept"), spark, spark.createDataFrame([(1,)], "script_id BIGINT"))
+    assert [r.text for r in runs.load_table(spark, str(tmp_path / "kept"), "r", "scripts").collect()] == ["from a.b FROMM"]
+    assert runs.manifest(spark, str(tmp_path / "kept"), "r")["scripts"][1] == 1
+
+
+def test_empty_tables_are_saved(spark, scripts, tmp_path):
+    runs.save_run(str(tmp_path), "r", edited=scripts("x").limit(0).select("script_id", "text"))
+    assert runs.has_table(spark, str(tmp_path), "r", "edited") and runs.load_table(spark, str(tmp_path), "r", "edited").isEmpty()
