@@ -35,19 +35,31 @@ def append_to(stream: DataFrame, path: str, checkpoint: str, **trigger) -> Strea
     return writer.option("checkpointLocation", checkpoint).start(path)
 
 
-def restore_streams(edited: DataFrame, packed: DataFrame, within: str = "1 hour", keys=KEYS) -> DataFrame:
+# Copies of each mapping, over which the edits of its script are dealt out.
+SALTS = 8
+
+
+def restore_streams(edited: DataFrame, packed: DataFrame, within: str = "1 hour", keys=KEYS, salts: int = SALTS) -> DataFrame:
     """Edits and packed mappings both as streams: ``keys…, at, status, text``.
 
     Both carry an event time ``at``. An edit may come up to ``within`` (an interval) before or after the
     mapping of its script. Watermarks of that length bound the state: rows later than that are dropped,
     and an edit whose mapping has not come by then is given out as ``no_mapping``. A mapping is one row a
-    script, so the join needs no aggregate before it. All edits of a script within the window are in the
-    state of one task; a script with very many of them needs shorter windows.
+    script, so the join needs no aggregate before it.
+
+    A script with very many edits would have all of them in the state of one task. So an edit goes to one of ``salts`` parts
+    of its script, by a hash of its own text and time, and each mapping is copied to all parts: state of
+    edits is spread, that of mappings grows by the factor.
     """
+    if salts < 1:
+        raise ValueError("salts must be at least 1")
+    # Watermarks before the salt: they belong to the columns that it leaves alone.
     left = edited.select(*keys, "at", "text").withWatermark("at", within)
+    left = left.withColumn("_part", F.pmod(F.xxhash64("text", "at"), F.lit(salts)).cast("int"))
     right = packed.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("at").alias("_at"), "entries")
     right = right.withWatermark("_at", within)
-    same = F.expr(f"_at BETWEEN at - INTERVAL {within} AND at + INTERVAL {within}")
+    right = right.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    same = F.expr(f"_at BETWEEN at - INTERVAL {within} AND at + INTERVAL {within}") & (F.col("_part") == F.col("_copy"))
     for key in keys:
         same = same & (F.col(key) == F.col(f"_{key}"))
     return restore_with_entries(left.join(right, same, "left"), (*keys, "at"))

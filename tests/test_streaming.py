@@ -84,3 +84,24 @@ def test_two_streams_equal_batch(spark, source, tmp_path):
     expected = restore_corpus(edits, packed)
     assert got.exceptAll(expected).isEmpty() and expected.exceptAll(got).isEmpty()
     assert got.filter("status = 'no_mapping'").count() == 5
+
+
+def test_edits_of_a_hot_script_are_spread(spark, tmp_path):
+    """100,000 edits of one script reach all state partitions, and come out as in a batch."""
+    packed = redact_corpus(spark.createDataFrame([(7, "select 1 from a.b")], "script_id BIGINT, text STRING")).annotated
+    edits = spark.range(0, 100_000, 1, 4).selectExpr("7L AS script_id", "concat('drop redacted.Table_1 -- ', id) AS text", "timestamp_seconds(86400 + id % 600) AS at")
+    edits.write.parquet(str(tmp_path / "edits"))
+    packed.selectExpr("script_id", "timestamp_seconds(86400) AS at", "entries").write.parquet(str(tmp_path / "mapping"))
+    stream = restore_streams(
+        stream_of(spark, str(tmp_path / "edits"), "script_id BIGINT, text STRING, at TIMESTAMP"),
+        stream_of(spark, str(tmp_path / "mapping"), f"script_id BIGINT, at TIMESTAMP, entries {ENTRIES_TYPE}"),
+        "2 hours",
+        salts=16,
+    )
+    # The join's tasks are the partitions of the state.
+    out = finish(stream.withColumn("task", F.spark_partition_id()), str(tmp_path / "restored"))
+    tasks = {r.task: r["count"] for r in out.groupBy("task").count().collect()}
+    assert len(tasks) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(tasks.values()) < 60_000
+    got, expected = out.drop("task", "at"), restore_corpus(edits, packed)
+    assert got.count() == 100_000
+    assert got.exceptAll(expected).isEmpty() and expected.exceptAll(got).isEmpty()
