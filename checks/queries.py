@@ -22,7 +22,7 @@ from refmask.operators import typos as ty
 from refmask.operators.intermediate import computed_once
 from refmask.plans.jobs import Options, fix_corpus, redact_corpus, restore_corpus
 from refmask.sources.mapping_json import export_mapping, import_mapping
-from refmask.sources.runs import sanitise_options, touched_runs
+from refmask.sources.runs import sanitise_options, touched_runs, whole_tables
 from refmask.sources.scripts import path_below, scripts_from
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -539,35 +539,49 @@ def p1_redact_job(spark, sf_dir):
 
 
 @query(
-    "SELECT script_id, status, count(*) AS edits FROM (SELECT l_orderkey AS script_id, "
-    "CASE WHEN l_linenumber % 3 = 0 THEN 'blank' WHEN s_suppkey % 5 IN (1, 3) THEN 'ok' ELSE 'no_mapping' END AS status "
-    "FROM lineitem JOIN supplier ON s_suppkey = l_suppkey) GROUP BY ALL"
+    "SELECT file_id, script_id, part, CASE WHEN part % 3 = 0 THEN 'blank' WHEN file_id % 5 IN (1, 3) THEN 'ok' ELSE 'no_mapping' END AS status, "
+    "CASE WHEN part % 3 = 0 THEN NULL WHEN file_id % 5 = 1 THEN 'DELETE FROM cat.s_' || s_nationkey || ' -- ' || part || ', redacted.Table_2' "
+    "WHEN file_id % 5 = 3 THEN 'DELETE FROM redacted.Table_1 -- ' || part || ',  Q.r' END AS text "
+    "FROM (SELECT l_suppkey AS file_id, l_orderkey AS script_id, l_linenumber AS part FROM lineitem) JOIN supplier ON s_suppkey = file_id"
 )
 def p2_restore_status(spark, sf_dir):
     """Many edits per imported mapping: one edit per line item, one mapping file per supplier."""
     edits = co.frame(
         spark,
         sf_dir,
-        "SELECT l_suppkey AS file_id, l_orderkey AS script_id, CASE WHEN l_linenumber % 3 = 0 THEN chr(9) "
-        "ELSE 'DELETE FROM redacted.Table_1' END AS text FROM lineitem",
+        "SELECT l_suppkey AS file_id, l_orderkey AS script_id, l_linenumber AS part, CASE WHEN l_linenumber % 3 = 0 THEN chr(9) "
+        "ELSE 'DELETE FROM redacted.Table_1 -- ' || CAST(l_linenumber AS STRING) || ', redacted.Table_2' END AS text FROM lineitem",
     )
     files = co.frame(spark, sf_dir, co.MAPPING_FILES).withColumnRenamed("script_id", "file_id")
     packed = import_mapping(files, ("file_id",))
     edited = rs.with_entries(edits, packed, ("file_id",))
-    restored = rs.restore_with_entries(edited, ("file_id", "script_id"))
-    return restored.groupBy("script_id", "status").agg(F.count("*").alias("edits"))
+    return _wide(rs.restore_with_entries(edited, ("file_id", "script_id", "part")))
 
 
 @query(
-    f"WITH f AS ({oc.fixed(co.MISSPELT_PROSE)}) SELECT script_id, status, replacements, CAST(0 AS BIGINT) AS findings_after FROM f"
+    f"WITH f AS ({oc.fixed(co.MISSPELT_PROSE)}), g AS (SELECT script_id, count(*) AS n FROM ({oc.findings('SELECT script_id, text FROM f')}) GROUP BY script_id) "
+    "SELECT script_id, status, text, replacements, CAST(coalesce(n, 0) AS BIGINT) AS findings_after FROM f LEFT JOIN g USING (script_id)"
 )
 def p3_fix_job(spark, sf_dir):
+    """Repaired texts, and how many misspellings the second check finds in them."""
     fixed = fix_corpus(co.frame(spark, sf_dir, co.MISSPELT_PROSE))
-    return _wide(
-        fixed.select(
-            "script_id", "status", "replacements", F.size("findings").alias("findings_after")
-        )
-    )
+    return _wide(fixed.select("script_id", "status", "text", "replacements", F.size("findings").alias("findings_after")))
+
+
+_SAVED = "SELECT l_suppkey AS run_id, CASE l_linenumber WHEN 1 THEN 'scripts' WHEN 2 THEN 'annotated' WHEN 3 THEN 'edited' ELSE 'restored' END AS tab, l_orderkey FROM lineitem"
+
+
+@query(
+    f"SELECT run_id, tab AS \"table\", 'a' || run_id AS attempt, CASE WHEN run_id % 3 = 1 AND tab = 'edited' THEN n - 1 ELSE n END AS rows, "
+    "CASE WHEN run_id % 5 = 0 THEN 'unfinished' WHEN run_id % 3 = 1 AND tab = 'edited' THEN 'damaged' ELSE 'whole' END AS status "
+    f"FROM (SELECT run_id, tab, count(*) AS n FROM ({_SAVED}) GROUP BY run_id, tab)"
+)
+def a5_whole_runs(spark, sf_dir):
+    """Manifests of runs against what is there: some saves never ended, some tables have lost a row."""
+    items = co.frame(spark, sf_dir, _SAVED).withColumnRenamed("tab", "table").withColumn("attempt", F.concat(F.lit("a"), F.col("run_id").cast("string")))
+    counts = items.groupBy("run_id", "table", "attempt").agg(F.count("*").alias("rows"))
+    lost = F.when(F.expr("run_id % 3 = 1 AND table = 'edited'"), 1).otherwise(0)
+    return whole_tables(counts.filter("run_id % 5 <> 0"), counts.withColumn("rows", F.col("rows") - lost))
 
 
 # -- views of a corpus ---------------------------------------------------------------------------
@@ -602,8 +616,27 @@ _LEAKY = (
     f"UNION ALL SELECT o_orderkey, 'table', {co.PRIORITY_TABLE}, 1 FROM orders WHERE o_orderkey % 3 < 2"
 )
 def x3_leak_audit(spark, sf_dir):
-    annotated = redact_corpus(co.frame(spark, sf_dir, _LEAKY)).annotated
-    return au.leak_audit(annotated, mp.mapping_table(annotated))
+    return au.leak_audit(redact_corpus(co.frame(spark, sf_dir, _LEAKY)).annotated)
+
+
+# Every script names two tables of other scripts in a comment: one in a longer path, one in capitals and spaced, and one that no script has.
+_ELSEWHERE = "'cat_' || CAST((o_custkey + 1) % 7 AS STRING) || '.silver.ord_' || CAST((o_orderkey + 3) % 11 AS STRING)"
+_OTHER_PRIORITY = "'ref.prio_' || CASE WHEN o_orderkey % 2 = 0 THEN '1_urgent' ELSE '9_none' END"
+_CROSS = (
+    f"SELECT o_orderkey AS script_id, {co.order_script(co.ORDER_TABLE, co.PRIORITY_TABLE)} || ' -- like ' || {_ELSEWHERE} || '.id or ' "
+    f"|| upper(replace({_OTHER_PRIORITY}, '.', ' . ')) || ', not silver.ord_1' AS text FROM orders"
+)
+
+
+@query(
+    f"WITH names AS (SELECT {co.ORDER_TABLE} AS canon FROM orders UNION SELECT {co.PRIORITY_TABLE} FROM orders) "
+    "SELECT script_id, 'table' AS kind, canon, CAST(count(*) AS BIGINT) AS times FROM ("
+    f"SELECT o_orderkey AS script_id, {_ELSEWHERE} AS canon FROM orders UNION ALL SELECT o_orderkey, {_OTHER_PRIORITY} FROM orders) JOIN names USING (canon) GROUP BY ALL"
+)
+def x3_leak_audit_corpus(spark, sf_dir):
+    """Names that another script has redacted and that this one still holds."""
+    annotated = redact_corpus(co.frame(spark, sf_dir, _CROSS)).annotated
+    return au.leak_audit_corpus(annotated, mp.mapping_table(annotated))
 
 
 @query(
@@ -675,13 +708,72 @@ def x5_corpus_dictionary(spark, sf_dir):
     return cp.corpus_dictionary(_sql(spark, sf_dir).mapping)
 
 
+def _before(scripts: DataFrame) -> DataFrame:
+    """The scripts as an earlier run had them: some missing, some with another text, some that are gone now."""
+    earlier = scripts.filter("script_id % 7 <> 1").withColumn(
+        "text", F.when(F.expr("script_id % 3 = 0"), F.concat("text", F.lit(" -- old"))).otherwise(F.col("text"))
+    )
+    return earlier.unionByName(scripts.filter("script_id % 5 = 2").withColumn("script_id", F.expr("-script_id")))
+
+
 @query(f"SELECT script_id, text FROM ({co.SQL_SCRIPTS}) WHERE script_id % 3 = 0 OR script_id % 7 = 1")
 def x6_incremental(spark, sf_dir):
     scripts = co.frame(spark, sf_dir, co.SQL_SCRIPTS)
-    before = scripts.filter("script_id % 7 <> 1").withColumn(
-        "text", F.when(F.expr("script_id % 3 = 0"), F.concat("text", F.lit(" -- old"))).otherwise(F.col("text"))
-    )
-    return inc.changed_scripts(scripts, inc.script_hashes(before))
+    return inc.changed_scripts(scripts, inc.script_hashes(_before(scripts)))
+
+
+@query("SELECT -o_orderkey AS script_id FROM orders WHERE o_orderkey % 5 = 2")
+def x6_removed(spark, sf_dir):
+    scripts = co.frame(spark, sf_dir, co.SQL_SCRIPTS)
+    return inc.removed_scripts(scripts, inc.script_hashes(_before(scripts)))
+
+
+_THREE_RUNS = (
+    f"SELECT 1 AS run, script_id, text FROM ({co.SQL_SCRIPTS}) "
+    f"UNION ALL SELECT 2, script_id, text || ' -- second' FROM ({co.SQL_SCRIPTS}) WHERE script_id % 3 = 0 "
+    f"UNION ALL SELECT 3, script_id, text || ' -- third' FROM ({co.SQL_SCRIPTS}) WHERE script_id % 4 = 0"
+)
+
+
+@query(
+    "SELECT script_id, CAST(max(run) AS BIGINT) AS run, CASE WHEN max(run) = 1 THEN any_value(base) WHEN max(run) = 2 THEN any_value(base) || ' -- second' ELSE any_value(base) || ' -- third' END AS text "
+    f"FROM (SELECT t.*, b.text AS base FROM ({_THREE_RUNS}) t JOIN ({co.SQL_SCRIPTS}) b USING (script_id)) GROUP BY script_id "
+    "HAVING script_id % 10 <> 7 OR max(run) >= 2"
+)
+def x6_current_view(spark, sf_dir):
+    """Three runs, the later two with what had changed; the second found some scripts gone."""
+    versions = co.frame(spark, sf_dir, _THREE_RUNS)
+    gone = versions.filter("run = 1 AND script_id % 10 = 7").select("script_id", F.lit(2).alias("run"))
+    return _wide(inc.current_view(versions, "run", removed=gone))
+
+
+@query(
+    "SELECT name AS canon, count(DISTINCT o_orderkey) AS scripts, count(*) AS refs FROM ("
+    f"SELECT o_orderkey, {co.ORDER_TABLE} AS name FROM orders UNION ALL SELECT o_orderkey, {co.PRIORITY_TABLE} FROM orders "
+    f"UNION ALL SELECT o_orderkey, {co.ORDER_TABLE} FROM orders WHERE o_orderkey % 3 = 0) GROUP BY name"
+)
+def x1_usage_delta(spark, sf_dir):
+    """Table usage after some scripts changed, from the usage before and those scripts alone."""
+    scripts = co.frame(spark, sf_dir, co.SQL_SCRIPTS)
+    before = scripts.withColumn("text", F.when(F.expr("script_id % 3 = 0"), F.lit("SELECT 1 FROM gone.t x JOIN gone.t y ON 1 = 1")).otherwise(F.col("text")))
+    again = f"SELECT o_orderkey AS script_id, {co.order_script(co.ORDER_TABLE, co.PRIORITY_TABLE)} || chr(10) || 'SELECT 1 FROM ' || {co.ORDER_TABLE} || ' z' AS text FROM orders"
+    after = co.frame(spark, sf_dir, again).withColumn("kept", F.expr("script_id % 3 = 0"))
+    after = after.filter("kept").drop("kept").unionByName(scripts.filter("script_id % 3 <> 0"))
+    changed = inc.changed_scripts(after, inc.script_hashes(before))
+    old = before.join(changed.select("script_id"), "script_id", "left_semi")
+    counts = ("scripts", "refs")
+    return inc.usage_delta(au.table_usage(before), au.table_usage(old), au.table_usage(changed), ("canon",), counts)
+
+
+@query(f"SELECT rule, fix, count(DISTINCT script_id) AS scripts, count(*) AS findings FROM ({oc.findings(co.MISSPELT_PROSE)}) GROUP BY rule, fix")
+def x2_rollup_delta(spark, sf_dir):
+    """The roll-up of misspellings after some documents changed."""
+    scripts = co.frame(spark, sf_dir, co.MISSPELT_PROSE)
+    before = scripts.withColumn("text", F.when(F.expr("script_id % 4 = 1"), F.lit("SELECT 1 FROMM a.b INTOO c")).otherwise(F.col("text")))
+    changed = inc.changed_scripts(scripts, inc.script_hashes(before))
+    old = before.join(changed.select("script_id"), "script_id", "left_semi")
+    rollup = [au.typo_rollup(ty.typo_findings(s)) for s in (before, old, changed)]
+    return _wide(inc.usage_delta(*rollup, ("rule", "fix"), ("scripts", "findings")))
 
 
 # -- names the rules must not cut or overlook ----------------------------------------------------
