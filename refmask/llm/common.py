@@ -6,10 +6,12 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SPACES = r"[\x20\x09-\x0D]+"
+#: Bound of the texts of a labelled sample that come to the driver.
+SAMPLE_BYTES = 64 << 20
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -18,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Only where that is unset, as in tests, a folder of this machine."""
+    """The folder named in spark.checkpoint.dir. Only in local mode, as in tests, a folder of this machine where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="refmask-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -48,16 +52,23 @@ def fold(doc_id: Column | str, folds: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % folds
 
 
+def row_key() -> Column:
+    """16 bytes that stand for a row's doc_id and text; null and empty differ."""
+    text = F.when(F.col("text").isNotNull(), F.concat(F.lit("="), F.col("text"))).otherwise("")
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), text)))
+
+
 def held_out(doc_id: Column | str, folds: int, remainder: int) -> Column:
     """Whether a row is in the held-out fold; a row without an id is not, and is never learned from either."""
     return F.coalesce(fold(doc_id, folds) == remainder, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, limit: int) -> list[tuple[str, int]]:
-    """At most ``limit`` (text, label) rows to fit a model on, the same ones on every run.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, limit: int, most_bytes: int = SAMPLE_BYTES) -> list[tuple[str, int]]:
+    """At most ``limit`` (text, label) rows, and ``most_bytes`` of text, to fit a model on, the same ones on every run.
 
     The ids with the smallest hashes are chosen from the label table alone, so what is broadcast to the scan of the
-    texts, and what comes back, is bounded by ``limit``. Ids with two different labels are left out. ``usable`` is a
+    texts is bounded by ``limit``, and what comes back by ``most_bytes`` too: rows count in that order, and those that do not
+    fit in any more are left out. Ids with two different labels are left out. ``usable`` is a
     condition on doc_id that keeps the held-out fold out.
     """
     ids = (
@@ -69,12 +80,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
         .orderBy("rank", "doc_id")
         .limit(limit)
     )
+    sizes = F.sum(F.octet_length("text")).over(Window.orderBy("rank", "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0))
     rows = (
         docs.select("doc_id", "text")
         .where("text is not null")
         .join(F.broadcast(ids), "doc_id")
         .orderBy("rank", "doc_id", "text")
         .limit(limit)
+        .withColumn("upto", sizes)
+        .where(F.col("upto") <= most_bytes)
         .select("text", F.col("label").cast("int"))
     )
     return [(r[0], r[1]) for r in rows.collect()]

@@ -57,8 +57,9 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
 
 
-def pieces(texts: pa.Array | pa.ChunkedArray, most: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, row after the last, bytes, offsets) of runs of texts; a null text counts as empty."""
+def pieces(texts: pa.Array | pa.ChunkedArray, most: int = PIECE_BYTES, most_rows: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, bytes, offsets) of runs of texts, of so many bytes and rows at most; a longer text is a
+    run of its own, a null text counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if texts.null_count:
@@ -70,7 +71,7 @@ def pieces(texts: pa.Array | pa.ChunkedArray, most: int = PIECE_BYTES) -> Iterat
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     lo = 0
     while lo < len(texts):
-        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, side="right")) - 1)
+        hi = max(lo + 1, min(int(np.searchsorted(at, at[lo] + most, side="right")) - 1, lo + most_rows))
         yield lo, hi, data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
         lo = hi
 

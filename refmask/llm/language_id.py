@@ -1,6 +1,7 @@
 """Language identification by error-correcting output codes.
 
-Each language has a codeword of bits. For each bit a naive Bayes classifier over hashed byte n-grams (1 to 4 bytes)
+Each language has a codeword of bits: with up to ALL_SPLITS_UP_TO languages every split in two is a bit, with more the bits are
+random ones. For each bit a naive Bayes classifier over hashed byte n-grams (1 to 4 bytes)
 tells the languages with a 1 from those with a 0. A text's margins are decoded to the codeword with the least
 logistic loss, each bit weighted by how well its two sides are apart. The n-gram counts cover all training texts: every
 task sums a table of languages x buckets, so what reaches the driver depends on the number of languages only.
@@ -23,6 +24,8 @@ ORDERS = (1, 2, 3, 4)
 ALL_SPLITS_UP_TO = 6
 CODE_BITS_PER_LOG2 = 10
 SMOOTHING = 0.5
+#: Texts handled at once: each takes a table of BUCKETS counts.
+PIECE_ROWS = 256
 SHARPNESS = 3.0
 #: The best language is called ambiguous if it has less than this much more probability than the next.
 AMBIGUITY = 0.2
@@ -52,7 +55,7 @@ def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         codes = batch.column(1).dictionary_encode()
         names, index = codes.dictionary.to_pylist(), codes.indices.to_numpy(zero_copy_only=False)
-        for lo, hi, data, at in K.pieces(batch.column(0), 1 << 20):
+        for lo, hi, data, at in K.pieces(batch.column(0), 1 << 20, PIECE_ROWS):
             counts = histograms(data, at)
             for code in np.unique(index[lo:hi]):
                 tables[names[code]] = tables.get(names[code], 0) + counts[index[lo:hi] == code].astype(np.float64).sum(0)
@@ -131,7 +134,7 @@ def identify(docs: DataFrame, model: dict, *keep: Column) -> DataFrame:
             n, text = batch.num_rows, batch.column(batch.num_columns - 1)
             names, score, unsure = np.full(n, "und", object), np.zeros(n), np.ones(n, bool)
             if model["languages"]:
-                for lo, hi, data, at in K.pieces(text, 1 << 20):
+                for lo, hi, data, at in K.pieces(text, 1 << 20, PIECE_ROWS):
                     counts = histograms(data, at)
                     margins = (counts @ model["weights"]) / np.maximum(counts.sum(1, keepdims=True), 1)
                     best, p, lead = decode((margins - model["middle"]) / model["half"], model)

@@ -111,3 +111,20 @@ def test_samples_are_bounded_and_keep_the_held_out_fold_out(documents, labels):
 
     want = sorted((t, i % 2) for i, t in [*((i, f"t{i}") for i in range(100)), (3, "again")] if zlib.crc32(str(i).encode()) % 5 and i != 4)
     assert sorted(every) == want
+
+
+def test_many_short_and_one_very_long_text(documents):
+    """A batch of many short texts takes a bounded table of counts; a long text is handled alone."""
+    rows = [(i, "der hund" if i % 2 else "the cat", "de" if i % 2 else "en") for i in range(3000)] + [(9000, "the cat and " * 100_000, "en")]
+    model = language_id.fit(documents(*rows[:200]))
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(documents(*rows).coalesce(1), model).collect()}
+    assert got == {i: lang for i, _, lang in rows}
+    assert max(hi - lo for lo, hi, _, _ in K.pieces(pa.array([t for _, t, _ in rows]), 1 << 20, language_id.PIECE_ROWS)) == language_id.PIECE_ROWS
+
+
+def test_sampled_texts_are_bounded_in_bytes(documents, labels):
+    docs = documents(*((i, "x" * 1000) for i in range(50)), (60, "y" * 100_000))
+    known = labels(*((i, 1, 0) for i in range(50)), (60, 1, 0))
+    sample = labelled_sample(docs, known, "quality", F.lit(True), 100, most_bytes=20_000)
+    assert 0 < sum(len(t) for t, _ in sample) <= 20_000
+    assert len(labelled_sample(docs, known, "quality", F.lit(True), 100)) == 51
