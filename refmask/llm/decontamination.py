@@ -20,7 +20,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import row_key, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -29,9 +29,11 @@ SIMILARITY = 0.8
 WIDTHS = (10, 9, 9, 9, 9, 9, 9)
 FLIPS = 2
 RADIUS = len(WIDTHS) * (FLIPS + 1) - 1
-#: Item shingles are broadcast to the scan of the documents up to this many rows, and beyond it joined by shuffling.
+#: Item shingles, and keys of documents, are broadcast to the scan of the documents up to this many, and beyond it joined by
+#: shuffling.
 BROADCAST_ROWS = 1_000_000
-WEIGHT_BITS = 10
+#: A shingle weighs as much as it has characters, up to 65,535 of them.
+WEIGHT_BITS = 16
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORDS = f"filter(split(translate(text, '{UPPER}', '{UPPER.lower()}'), '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w != '')"
 
@@ -86,16 +88,24 @@ def item_sets(benchmark: DataFrame) -> DataFrame:
 
 
 def windows(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(key, doc_id, start, n, set, weight, f): the windows to search for; ``docs`` has key, doc_id and words w."""
+    """(key, doc_id, start, n, set, weight, f): the windows to search for; ``docs`` has key, doc_id and text.
+
+    The first scan finds the places that line up with an item. Their documents, which are few, are then picked by a scan that
+    knows their keys, so that texts without such a place are not moved.
+    """
     wanted = items.select("n_words", F.posexplode("codes").alias("at", "code")).distinct()
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     # Items of fewer than five words are looked for as runs of as many words; without such items this adds nothing.
     sizes = [r[0] for r in items.select(F.least("n_words", F.lit(SHINGLE))).distinct().collect()]  # five values at most
-    parts = [docs.select("key", F.posexplode(F.expr(grams("w", k))).alias("pos", "code")) for k in sorted(sizes) or [SHINGLE]]
+    worded = docs.select("key", F.expr(WORDS).alias("w"))
+    parts = [worded.select("key", F.posexplode(F.expr(grams("w", k))).alias("pos", "code")) for k in sorted(sizes) or [SHINGLE]]
     seeds = reduce(DataFrame.unionAll, parts).join(wanted, "code").select("key", F.greatest(F.col("pos") - F.col("at"), F.lit(0)).alias("start"), "n_words").distinct()
-    seeds = seeds.groupBy("key").agg(F.collect_set(F.struct("start", "n_words")).alias("places"))
-    cut = docs.select("key", "doc_id", "w").join(seeds, "key").select("key", "doc_id", F.explode("places").alias("p"), "w")
+    seeds = written(seeds.groupBy("key").agg(F.collect_set(F.struct("start", "n_words")).alias("places")), "benchmark-places")
+    picked, keys = docs.select("key", "doc_id", "text"), seeds.select("key")
+    if keys.count() <= BROADCAST_ROWS:
+        picked = picked.join(F.broadcast(keys), "key", "left_semi")
+    cut = picked.join(seeds, "key").select("key", "doc_id", F.explode("places").alias("p"), F.expr(WORDS).alias("w"))
     cut = cut.select("key", "doc_id", F.col("p.start").alias("start"), F.expr("slice(w, p.start + 1, p.n_words)").alias("w"))
     cut = cut.select("key", "doc_id", "start", F.size("w").alias("n"), F.expr(f"array_distinct({shingles('w')})").alias("set"))
     return cut.withColumn("weight", F.expr(weight_of("set"))).withColumn("f", F.expr(fingerprint("set")))
@@ -105,13 +115,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     """One row for each (document, item) with a similar window: key, doc_id, item_id, and of the most similar window (the
     first of those) ``start`` and ``n_words`` in words, ``similarity`` and ``distance`` (bits).
 
-    ``key`` is a hash of a row's id and text, so rows equal in both are one document. Null and empty texts and items hold
+    ``key`` is a 128-bit hash of a row's id and text, so rows equal in both are one document. Null and empty texts and items hold
     nothing. Rows with a null item id are items too. Items that share an id count as one item, best match first. A pair
     whose fingerprints are more than RADIUS bits apart is not found even if its similarity reaches the threshold; at a
     similarity of 0.8 that is about one pair in 1000, and none among exact copies.
     """
     items = written(item_sets(benchmark), "benchmark-items")
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("bigint").alias("doc_id"), F.expr(WORDS).alias("w"))
+    keyed = docs.select(row_key().alias("key"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     found = written(windows(keyed, items), "benchmark-windows")
 
     entries = items.select(
@@ -138,6 +148,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, all columns kept."""
-    bad = contaminated(docs, benchmark, similarity).select(F.col("key").alias("__key")).distinct()
-    return docs.withColumn("__key", F.xxhash64("doc_id", "text")).join(bad, "__key", "left_anti").drop("__key")
+    """The rows of ``docs`` that hold no benchmark item, all columns kept, whatever their names; only ``__key`` is reserved."""
+    bad = written(contaminated(docs, benchmark, similarity).select(F.col("key").alias("__key")).distinct(), "benchmark-found")
+    if bad.count() <= BROADCAST_ROWS:
+        bad = F.broadcast(bad)
+    return docs.withColumn("__key", row_key()).join(bad, "__key", "left_anti").drop("__key")

@@ -18,7 +18,7 @@ def low(text):
 
 def weights(words):
     grams = [tuple(words[i : i + 5]) for i in range(len(words) - 4)] if len(words) >= 5 else [tuple(words)] if words else []
-    return {g: min(1023, len(b"".join(g).decode())) for g in grams}
+    return {g: min(65535, len(b"".join(g).decode())) for g in grams}
 
 
 def brute(rows, items, least=0.8):
@@ -62,11 +62,11 @@ def test_blocks_cover_negative_fingerprints(spark):
 
 
 def test_fingerprint_is_the_weighted_majority(spark):
-    rows = spark.sql(f"SELECT c, {D.fingerprint('c')} AS f, transform(c, x -> xxhash64(x)) AS h FROM VALUES (array(5L)), (array(1025L, 2050L, 4100L)), (array()) AS t(c)").collect()
+    rows = spark.sql(f"SELECT c, {D.fingerprint('c')} AS f, transform(c, x -> xxhash64(x)) AS h FROM VALUES (array(5L)), (array(65537L, 131074L, 262148L)), (array()) AS t(c)").collect()
     for r in rows:
         want = 0
         for b in range(64):
-            if sum((c & 1023) * (1 if (h >> b) & 1 else -1) for c, h in zip(r.c, r.h, strict=True)) > 0:
+            if sum((c & 65535) * (1 if (h >> b) & 1 else -1) for c, h in zip(r.c, r.h, strict=True)) > 0:
                 want |= 1 << b
         assert r.f % (1 << 64) == want
 
@@ -221,3 +221,26 @@ def test_places_are_joined_the_same_without_a_broadcast(documents, monkeypatch):
     first = sorted(map(str, dedup_lines(docs).collect()))
     monkeypatch.setattr(line_dedup, "BROADCAST_SPANS", 0)
     assert first == sorted(map(str, dedup_lines(docs).collect()))
+
+
+def test_long_texts_and_clashing_names(spark, documents):
+    item = " ".join(f"i{k}" for k in range(40))
+    long = " ".join(f"w{k}" for k in range(60_000))
+    giant = "g" * 3000 + " " + " ".join(["h" * 2000] * 3) + " a b c d e f"
+    docs = documents((1, long + " " + item), (2, long), (3, None), (4, ""), (4, ""), (5, giant), (6, giant.replace(" a b", " a x")), (None, item))
+    docs = docs.withColumn("key", F.lit(1)).withColumn("w", F.lit(2)).withColumn("places", F.lit(3)).withColumn("start", F.lit(4))
+    bench = spark.createDataFrame([(1, item), (2, giant)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()}
+    # A change of two short words in a shingle of thousands of characters weighs little.
+    assert {(1, 1), (5, 2), (None, 1)} <= got <= {(1, 1), (5, 2), (6, 2), (None, 1)}
+    left = decontaminate(docs, bench)
+    assert left.columns == docs.columns and {2, 3, 4} <= {r.doc_id for r in left.collect()} <= {2, 3, 4, 6} and left.where("doc_id = 4").count() == 2
+
+
+def test_texts_without_a_place_are_not_moved(spark, documents, tmp_path):
+    documents(*((i, f"text {i} has words of its own here") for i in range(50))).write.parquet(f"{tmp_path}/d")
+    bench = spark.createDataFrame([(1, "one two three four five six seven")], "item_id bigint, text string")
+    left = decontaminate(spark.read.parquet(f"{tmp_path}/d"), bench)
+    assert left.count() == 50
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
