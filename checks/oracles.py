@@ -10,6 +10,7 @@ from __future__ import annotations
 from checks import corpora as co
 from refmask.functions import lexicon as lx
 
+# Which characters are white space, and which make up an identifier. They must be those of the lexers.
 _W = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 _IDENT = r'(?:\[[^\]]+\]|"(?:[^"]|"")+"|`(?:[^`]|``)+`|[A-Za-z_][A-Za-z0-9_$#]*)'
 _QUOTED = r'(?:\[[^\]]+\]|"(?:[^"]|"")+"|`(?:[^`]|``)+`)'

@@ -843,3 +843,34 @@ def e1_many_names(spark, sf_dir):
         "script_id", "array_join(transform(items, i -> 'SELECT 1 FROM wh.p' || i.l_partkey || ';'), chr(10)) AS text"
     )
     return _wide(redact_corpus(scripts).mapping)
+
+
+# Cases in which a simpler way of replacing goes wrong: script and what it must become, {k} being the customer's number.
+_DEFECTS = (
+    ("from f where x = {k}", "from redacted.Table_1 where x = {k}"),
+    ("SELECT 1 FROM [p$&$1 $$ {k}] x", "SELECT 1 FROM redacted.Table_1 x"),
+    ("-- rows come from\nFROM a.b{k}", "-- rows come from\nFROM redacted.Table_1"),
+    ("SELECT 1 FROM redacted.Table_1 JOIN seg.t{k} ON 1 = 1", "SELECT 1 FROM redacted.Table_1 JOIN redacted.Table_2 ON 1 = 1"),
+    ("SELECT 1 FROM [my t{k}] JOIN [myt{k}] ON 1 = 1", "SELECT 1 FROM redacted.Table_1 JOIN redacted.Table_2 ON 1 = 1"),
+    ("SELECT {k} FROM constructor JOIN s.__proto__ p ON 1 = 1", "SELECT {k} FROM redacted.Table_1 JOIN redacted.Table_2 p ON 1 = 1"),
+    ("SELECT 1 FROM [redacted.Table_2] JOIN c.d{k} ON 1 = 1", "SELECT 1 FROM redacted.Table_1 JOIN redacted.Table_3 ON 1 = 1"),
+    ('SELECT 1 FROM "a""b{k}" x WHERE 1 = 1', "SELECT 1 FROM redacted.Table_1 x WHERE 1 = 1"),
+)
+
+
+def _defects(column: int, name: str) -> str:
+    """SQL text of one row per customer and case."""
+
+    def text(case: str) -> str:
+        return "'" + case.replace("\n", "' || chr(10) || '").replace("{k}", "' || CAST(c_custkey AS STRING) || '") + "'"
+
+    return " UNION ALL ".join(f"SELECT c_custkey * 10 + {i} AS script_id, {text(case[column])} AS {name} FROM customer" for i, case in enumerate(_DEFECTS))
+
+
+@query(f"SELECT script_id, text, restored FROM ({_defects(1, 'text')}) JOIN ({_defects(0, 'restored')}) USING (script_id)")
+def q_defects(spark, sf_dir):
+    """Names inside other words, `$` in names, keywords that end comments, literal placeholders, white space in quotes, names of object
+    members, originals that look like placeholders, doubled quotes: redacted and restored."""
+    job = redact_corpus(co.frame(spark, sf_dir, _defects(0, "text")))
+    restored = rs.restore_with_entries(job.annotated).select("script_id", F.col("text").alias("restored"))
+    return job.redacted.select("script_id", "text").join(restored, "script_id")
