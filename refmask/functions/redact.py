@@ -21,6 +21,9 @@ ENTRIES_TYPE = (
 REFS_TYPE = "array<struct<pos:int,ref:string,canon:string,accepted:boolean>>"
 
 Expression = Callable[[str], str]
+# What an expression gives: the struct, or one of its fields alone. A field of the struct would still cost all of it, since
+# what is bound by ``let`` is hidden from column pruning.
+BOTH, TEXT, ENTRIES = "both", "text", "entries"
 
 
 def sql_table_key(ref: str) -> str:
@@ -36,7 +39,7 @@ def pyspark_table_key(ref: str) -> str:
     return when(tx.is_likely_pyspark_table(ref), tx.canonical_ref(tx.strip_space(ref)))
 
 
-def redact_sql_tables(text: str) -> str:
+def redact_sql_tables(text: str, want: str = BOTH) -> str:
     return _redact(
         text,
         parts=cut(text, lx.SQL_TABLE, lx.KEEP_TABLE),
@@ -45,10 +48,11 @@ def redact_sql_tables(text: str) -> str:
         kind="table",
         prefix=lx.TABLE_PLACEHOLDER,
         taken=lx.TABLE_NUMBERS,
+        want=want,
     )
 
 
-def redact_sql_columns(text: str) -> str:
+def redact_sql_columns(text: str, want: str = BOTH) -> str:
     """Qualified columns; expects a text whose tables are already redacted."""
     return _redact(
         text,
@@ -58,14 +62,19 @@ def redact_sql_columns(text: str) -> str:
         kind="column",
         prefix=lx.COLUMN_PLACEHOLDER,
         taken=lx.COLUMN_NUMBERS,
+        want=want,
     )
 
 
-def redact_sql(text: str, redact_columns: bool = False) -> str:
+def redact_sql(text: str, redact_columns: bool = False, want: str = BOTH) -> str:
     if not redact_columns:
-        return redact_sql_tables(text)
+        return redact_sql_tables(text, want)
+    if want == TEXT:
+        return let(redact_sql_tables(text, TEXT), lambda tables: redact_sql_columns(tables, TEXT))
 
     def columns_of(tables: str) -> str:
+        if want == ENTRIES:
+            return f"concat({tables}.entries, {redact_sql_columns(f'{tables}.text', ENTRIES)})"
         return let(
             redact_sql_columns(f"{tables}.text"),
             lambda columns: struct(
@@ -76,7 +85,7 @@ def redact_sql(text: str, redact_columns: bool = False) -> str:
     return let(redact_sql_tables(text), columns_of)
 
 
-def redact_pyspark(text: str) -> str:
+def redact_pyspark(text: str, want: str = BOTH) -> str:
     return _redact(
         text,
         parts=cut(text, lx.PYSPARK_TABLE, lx.KEEP_PYSPARK),
@@ -85,12 +94,13 @@ def redact_pyspark(text: str) -> str:
         kind="table",
         prefix=lx.TABLE_PLACEHOLDER,
         taken=lx.TABLE_NUMBERS,
+        want=want,
     )
 
 
-def redact(text: str, mode: str, redact_columns: bool = False) -> str:
+def redact(text: str, mode: str, redact_columns: bool = False, want: str = BOTH) -> str:
     """Dispatch on the mode of the row; only the chosen branch is evaluated."""
-    return when(f"{mode} = 'pyspark'", redact_pyspark(text), redact_sql(text, redact_columns))
+    return when(f"{mode} = 'pyspark'", redact_pyspark(text, want), redact_sql(text, redact_columns, want))
 
 
 def _redact(
@@ -101,6 +111,7 @@ def _redact(
     kind: str,
     prefix: str,
     taken: str,
+    want: str,
 ) -> str:
     def from_parts(parts: str) -> str:
         return let(matches(parts), lambda refs: from_refs(parts, refs))
@@ -129,10 +140,8 @@ def _redact(
             ),
         )
         replacements = transform(first_seen_numbers(keys), lambda n: f"get({names}, {n} - 1)")
-        return struct(
-            text=let(replacements, lambda new: join(parts, new)),
-            entries=f"CAST({entries} AS {ENTRIES_TYPE})",
-        )
+        fields = {TEXT: let(replacements, lambda new: join(parts, new)), ENTRIES: f"CAST({entries} AS {ENTRIES_TYPE})"}
+        return struct(**fields) if want == BOTH else fields[want]
 
     return let(parts, from_parts)
 

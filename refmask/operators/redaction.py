@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from refmask.functions import text as tx
-from refmask.functions.redact import ENTRIES_TYPE, redact
+from refmask.functions.redact import BOTH, ENTRIES, ENTRIES_TYPE, TEXT, redact
 from refmask.functions.sqltext import empty, when
 from refmask.functions.typos import FINDINGS_TYPE, find_typos
 from refmask.schema import KEYS
@@ -18,9 +18,12 @@ def redact_scripts(
     redact_columns: bool = False,
     on_typos: str = "continue",
     max_findings: int | None = None,
+    want: str = BOTH,
 ) -> DataFrame:
     """``keys…, mode, status, text, entries, findings`` for ``keys…, text[, mode]``.
 
+    With ``want`` only texts (``TEXT``) or dictionaries (``ENTRIES``) are made; the other column is missing.
+
     ``mode`` is the effective one. ``status`` is ``blank`` (nothing to do), ``typos`` (findings, and
     ``on_typos='skip'``) or ``ok``; only ``ok`` rows have a redacted text.
     """
@@ -39,18 +42,19 @@ def redact_scripts(
         .withColumn("findings", F.expr(findings))
         .withColumn("status", F.expr(when(blank, "'blank'", status)))
         .withColumn(
-            "result", F.expr(when("status = 'ok'", redact("text", "mode", redact_columns)))
-        )
-        .select(
-            *keys,
-            "mode",
-            "status",
-            F.col("result.text").alias("text"),
-            F.expr(f"coalesce(result.entries, {empty(ENTRIES_TYPE)})").alias("entries"),
-            "findings",
+            "result", F.expr(when("status = 'ok'", redact("text", "mode", redact_columns, want)))
         )
+        .select(*keys, "mode", "status", *_outputs(want), "findings")
     )
 
 
+def _outputs(want: str) -> list[Column]:
+    text, entries = ("result.text", "result.entries") if want == BOTH else ("result", "result")
+    return [
+        *([F.col(text).alias("text")] if want != ENTRIES else []),
+        *([F.expr(f"coalesce({entries}, {empty(ENTRIES_TYPE)})").alias("entries")] if want != TEXT else []),
+    ]
+
+
 def redacted_texts(annotated: DataFrame, keys=KEYS) -> DataFrame:
     return annotated.select(*keys, "mode", "text", "status")

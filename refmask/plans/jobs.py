@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from refmask.functions.redact import BOTH, ENTRIES, TEXT
 from refmask.functions.sqltext import empty, when
 from refmask.functions.typos import FINDINGS_TYPE
 from refmask.operators import mapping as mp
@@ -31,19 +33,22 @@ class Options:
 class Redaction:
     """Result of a redaction job: one annotated row per script, and tables derived from it.
 
-    The derived tables recompute ``annotated`` if it is neither persisted nor read from a saved run.
+    The derived tables redact anew if ``annotated`` is not read from a saved run, but only as far as they need: texts
+    without dictionaries, and dictionaries without texts.
     """
 
     annotated: DataFrame
     keys: tuple[str, ...] = KEYS
+    # Texts or dictionaries alone, where they are not read from a saved run.
+    derive: Callable[[str], DataFrame] | None = None
 
     @property
     def redacted(self) -> DataFrame:
-        return redacted_texts(self.annotated, self.keys)
+        return redacted_texts(self.derive(TEXT) if self.derive else self.annotated, self.keys)
 
     @property
     def mapping(self) -> DataFrame:
-        return mp.mapping_table(self.annotated, self.keys)
+        return mp.mapping_table(self.derive(ENTRIES) if self.derive else self.annotated, self.keys)
 
     @property
     def findings(self) -> DataFrame:
@@ -73,16 +78,12 @@ def with_mode(scripts: DataFrame, mode: str) -> DataFrame:
 
 def redact_corpus(scripts: DataFrame, options: Options = Options(), keys=KEYS) -> Redaction:
     """Gate, detect the mode, look for typos, redact; no shuffle."""
-    return Redaction(
-        redact_scripts(
-            with_mode(scripts, options.mode),
-            keys,
-            options.redact_columns,
-            options.on_typos,
-            options.max_findings,
-        ),
-        tuple(keys),
-    )
+
+    def derive(want: str) -> DataFrame:
+        table = with_mode(scripts, options.mode)
+        return redact_scripts(table, keys, options.redact_columns, options.on_typos, options.max_findings, want)
+
+    return Redaction(derive(BOTH), tuple(keys), derive)
 
 
 def restore_corpus(edited: DataFrame, mapping: DataFrame, keys=KEYS) -> DataFrame:

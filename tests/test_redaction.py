@@ -276,3 +276,19 @@ def test_very_long_texts_are_restored(spark, scripts):
     job = redact_corpus(scripts(source))
     restored = restore_with_entries(job.annotated).first()
     assert restored.text == source
+
+
+def test_texts_and_dictionaries_cost_only_themselves(scripts):
+    """Neither is computed for the other, and both agree with the annotated rows."""
+    texts = ("SELECT x.y FROM a.b x JOIN c.d z ON x.k = z.k", "FROM e.f", "", None, 'spark.table("g.h")')
+    for columns in (False, True):
+        job = redact_corpus(scripts(*texts), Options(redact_columns=columns))
+        rows = {r.script_id: r for r in job.annotated.collect()}
+        assert {r.script_id: (r.mode, r.text, r.status) for r in job.redacted.collect()} == {k: (r.mode, r.text, r.status) for k, r in rows.items()}
+        got = sorted((r.script_id, r.placeholder, r.kind, r.n, r.original, r.canon) for r in job.mapping.collect())
+        assert got == sorted((k, e.placeholder, e.kind, e.n, e.original, e.canon) for k, r in rows.items() for e in r.entries) and len(got) > 3
+        plan = job.redacted._jdf.queryExecution().optimizedPlan().toString()
+        assert "canon" not in plan
+        plan = job.mapping._jdf.queryExecution().optimizedPlan().toString()
+        # Texts are joined together again for the columns only, which are looked for in the redacted text.
+        assert plan.count("array_join") == (1 if columns else 0)
