@@ -69,11 +69,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .url_filter import Rule, filter_urls, labelled_urls
+    from .url_filter import Rule, filter_urls, labelled_table
 
     rules = [Rule("net", "/", "block"), Rule("example.net", "/en/", "allow"), Rule("example.com", "/de/", "block"), Rule("org", "/fr/", "allow")]
-    labelled = spark.createDataFrame(labelled_urls(), "url string, label int")
-    return filter_urls(table(spark, sf_dir, "pages"), rules, labelled)
+    return filter_urls(table(spark, sf_dir, "pages"), rules, labelled_table(spark))
 
 
 def _mix_oracle() -> str:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import written
@@ -78,6 +78,11 @@ def labelled_urls() -> list[tuple[str, int]]:
     ]
 
 
+def labelled_table(spark: SparkSession) -> DataFrame:
+    """``labelled_urls`` as a relation of literals: no Python worker takes part."""
+    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{url}', {label})" for url, label in labelled_urls()) + " AS t(url, label)")
+
+
 def _grams(part: str) -> str:
     """Hashed n-grams of a part with its ends marked; which part it is goes into the hash."""
     whole = f"concat('^', {part}, '$')"
