@@ -187,6 +187,8 @@ RESERVED_PAIR = (
     rf"\A(?:(?i:redacted)(?![\w$#])"
     rf"|{_BARE}{_DOT}(?:{_NUMBERED}|\"{_NUMBERED}\"|`{_NUMBERED}`|\[{_NUMBERED}\])\z)"
 )
+# A text of many pairs without this has no reserved pair.
+MAY_BE_RESERVED = rf"(?i)(?=[rtc])(?:redacted|{_NUMBERED})"
 
 # -- PySpark tables ----------------------------------------------------------------------------
 _CALL = (
@@ -209,7 +211,7 @@ PYSPARK_HINT = rf"(?i)(?=[s.])(?:{_PYSPARK_HINT_CALLS}){SPACE}*+\("
 # -- placeholders ------------------------------------------------------------------------------
 _PLACEHOLDER = r"redacted\.(?:Table|Col)_[0-9]+"
 PLACEHOLDER = f"(?i)(?<ref>{_PLACEHOLDER})"
-PLACEHOLDER_WORD = f"{WORD_START}(?i)(?<ref>{_PLACEHOLDER}){WORD_END}"
+PLACEHOLDER_WORD = f"(?=[rR]){WORD_START}(?i)(?<ref>{_PLACEHOLDER}){WORD_END}"
 PLACEHOLDER_KEY = rf"(?i)\A{_PLACEHOLDER}\z"
 IS_TABLE_PLACEHOLDER = r"(?i)\Aredacted\.Table_[0-9]+\z"
 # Numbers of the placeholders a script already contains, spelled the way restoring looks for them.

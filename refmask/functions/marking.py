@@ -22,19 +22,27 @@ def with_marks(text: str, body: Callable[[str, str], str]) -> str:
     tag = when(
         f"contains({text}, {OPEN}) OR contains({text}, {CLOSE})", f"sha2({text}, 256)", "''"
     )
-    return let(tag, lambda tag: body(f"({OPEN} || {tag})", f"({CLOSE} || {tag})"))
+    # Bound, so that they are put together once a row and not at each use.
+    return let(
+        tag,
+        lambda tag: let(f"{OPEN} || {tag}", lambda start: let(f"{CLOSE} || {tag}", lambda stop: body(start, stop))),
+    )
 
 
-def cut(text: str, regex: str, keep: str = "") -> str:
+def cut(text: str, regex: str, keep: str = "", body: Callable[[str, str], str] = lambda parts, _: parts) -> str:
     """``[text, match, text, …]``: odd elements are the group ``ref`` of each match.
 
-    ``keep`` names (as replacement text) the groups that stay in the text before the reference. A
-    match without a reference leaves an empty odd element.
+    ``keep`` names (as replacement text) the groups that stay in the text before the reference. Where there
+    are such groups, a match without a reference is text. ``body`` gets the parts and a mark that none of them holds.
     """
 
-    def marked(mark: str, _: str) -> str:
-        template = f"{literal(keep)} || {mark} || {literal('${ref}')} || {mark}"
-        return f"split(regexp_replace({text}, {pattern(regex)}, {template}), {mark})"
+    def marked(start: str, stop: str) -> str:
+        if not keep:
+            template = f"{start} || {literal('${ref}')} || {start}"
+            return body(f"split(regexp_replace({text}, {pattern(regex)}, {template}), {start})", start)
+        template = f"{literal(keep)} || {start} || {literal('${ref}')} || {stop}"
+        found = f"replace(regexp_replace({text}, {pattern(regex)}, {template}), {start} || {stop}, '')"
+        return body(f"split(replace({found}, {stop}, {start}), {start})", start)
 
     return with_marks(text, marked)
 
@@ -44,12 +52,10 @@ def matches(parts: str) -> str:
     return keep_if(parts, lambda _, i: f"{i} & 1 = 1")
 
 
-def join(parts: str, replacements: str) -> str:
-    """A cut text with its matches replaced; a NULL replacement keeps the match."""
+def join(parts: str, replacement: Callable[[str, str], str]) -> str:
+    """A cut text with ``replacement(match, i)`` in the place of the i-th match, from 0; NULL keeps the match."""
     pieces = transform(
         parts,
-        lambda part, i: when(
-            f"{i} & 1 = 0", part, f"coalesce(get({replacements}, shiftright({i}, 1)), {part})"
-        ),
+        lambda part, i: when(f"{i} & 1 = 0", part, f"coalesce({replacement(part, f'shiftright({i}, 1)')}, {part})"),
     )
     return f"array_join({pieces}, '')"

@@ -11,9 +11,9 @@ from collections.abc import Callable
 
 from refmask.functions import lexicon as lx
 from refmask.functions import text as tx
-from refmask.functions.arrays import first_seen, first_seen_numbers
+from refmask.functions.arrays import LINEAR_SEARCH_MAX, first_seen, first_seen_numbers
 from refmask.functions.marking import cut, join, matches, with_marks
-from refmask.functions.sqltext import keep_if, let, literal, pattern, struct, transform, when
+from refmask.functions.sqltext import empty, keep_if, let, literal, pattern, struct, transform, when
 
 ENTRIES_TYPE = (
     "array<struct<n:int,placeholder:string,kind:string,original:string,canon:string>>"
@@ -42,8 +42,9 @@ def pyspark_table_key(ref: str) -> str:
 def redact_sql_tables(text: str, want: str = BOTH) -> str:
     return _redact(
         text,
-        parts=cut(text, lx.SQL_TABLE, lx.KEEP_TABLE),
-        key_of=sql_table_key,
+        regex=lx.SQL_TABLE,
+        keep=lx.KEEP_TABLE,
+        keys_of=_sql_table_keys,
         original_of=lambda ref: ref,
         kind="table",
         prefix=lx.TABLE_PLACEHOLDER,
@@ -56,8 +57,9 @@ def redact_sql_columns(text: str, want: str = BOTH) -> str:
     """Qualified columns; expects a text whose tables are already redacted."""
     return _redact(
         text,
-        parts=cut(text, lx.SQL_COLUMN, lx.KEEP_COLUMN),
-        key_of=column_key,
+        regex=lx.SQL_COLUMN,
+        keep=lx.KEEP_COLUMN,
+        keys_of=_column_keys,
         original_of=tx.column_ref,
         kind="column",
         prefix=lx.COLUMN_PLACEHOLDER,
@@ -88,8 +90,9 @@ def redact_sql(text: str, redact_columns: bool = False, want: str = BOTH) -> str
 def redact_pyspark(text: str, want: str = BOTH) -> str:
     return _redact(
         text,
-        parts=cut(text, lx.PYSPARK_TABLE, lx.KEEP_PYSPARK),
-        key_of=pyspark_table_key,
+        regex=lx.PYSPARK_TABLE,
+        keep=lx.KEEP_PYSPARK,
+        keys_of=_pyspark_keys,
         original_of=tx.strip_space,
         kind="table",
         prefix=lx.TABLE_PLACEHOLDER,
@@ -105,45 +108,88 @@ def redact(text: str, mode: str, redact_columns: bool = False, want: str = BOTH)
 
 def _redact(
     text: str,
-    parts: str,
-    key_of: Expression,
+    regex: str,
+    keep: str,
+    keys_of: Callable[[str, str], str],
     original_of: Expression,
     kind: str,
     prefix: str,
     taken: str,
     want: str,
 ) -> str:
-    def from_parts(parts: str) -> str:
-        return let(matches(parts), lambda refs: from_refs(parts, refs))
+    """``keys_of(refs, mark)`` gives the keys of all references, NULL where one stays as it is."""
 
-    def from_refs(parts: str, refs: str) -> str:
-        return let(transform(refs, key_of), lambda keys: from_keys(parts, refs, keys))
+    def from_parts(parts: str, mark: str) -> str:
+        nothing = {TEXT: text, ENTRIES: empty(ENTRIES_TYPE)}
+        some = let(matches(parts), lambda refs: let(keys_of(refs, mark), lambda keys: from_keys(parts, refs, keys)))
+        return when(f"size({parts}) = 1", struct(**nothing) if want == BOTH else nothing[want], some)
 
     def from_keys(parts: str, refs: str, keys: str) -> str:
         return let(
-            first_seen(keys),
-            lambda firsts: let(
-                _placeholders(text, f"size({firsts})", prefix, taken),
-                lambda names: result(parts, refs, keys, firsts, names),
+            f"array_distinct(array_compact({keys}))",
+            lambda distinct: let(
+                _placeholders(text, f"size({distinct})", prefix, taken),
+                lambda names: result(parts, refs, keys, distinct, names),
             ),
         )
 
-    def result(parts: str, refs: str, keys: str, firsts: str, names: str) -> str:
-        entries = transform(
-            firsts,
-            lambda first, i: struct(
-                n=f"int(substring_index(get({names}, {i}), '_', -1))",
-                placeholder=f"get({names}, {i})",
-                kind=f"'{kind}'",
-                original=original_of(f"get({refs}, {first}.pos)"),
-                canon=f"{first}.key",
+    def result(parts: str, refs: str, keys: str, distinct: str, names: str) -> str:
+        def entries(first_of: Expression) -> str:
+            return transform(
+                distinct,
+                lambda key, i: struct(
+                    n=f"int(substring_index(get({names}, {i}), '_', -1))",
+                    placeholder=f"get({names}, {i})",
+                    kind=f"'{kind}'",
+                    original=original_of(f"get({refs}, {first_of(key, i)})"),
+                    canon=key,
+                ),
+            )
+
+        few = f"size({distinct}) <= {LINEAR_SEARCH_MAX}"
+        listed = when(
+            few,
+            entries(lambda key, _: f"int(array_position({keys}, {key}) - 1)"),
+            let(first_seen(keys), lambda firsts: entries(lambda _, i: f"get({firsts}, {i}).pos")),
+        )
+        # Numbers by a search for each reference, or for more names all at once.
+        numbers = when(f"NOT ({few})", first_seen_numbers(keys))
+        replaced = let(
+            numbers,
+            lambda numbers: join(
+                parts,
+                lambda _, i: f"get({names}, coalesce(get({numbers}, {i}), int(array_position({distinct}, get({keys}, {i})))) - 1)",
             ),
         )
-        replacements = transform(first_seen_numbers(keys), lambda n: f"get({names}, {n} - 1)")
-        fields = {TEXT: let(replacements, lambda new: join(parts, new)), ENTRIES: f"CAST({entries} AS {ENTRIES_TYPE})"}
+        fields = {TEXT: replaced, ENTRIES: f"CAST({listed} AS {ENTRIES_TYPE})"}
         return struct(**fields) if want == BOTH else fields[want]
 
-    return let(parts, from_parts)
+    return cut(text, regex, keep, lambda parts, mark: let(parts, lambda parts: from_parts(parts, mark)))
+
+
+# Keys of all references of a script at once: joined by a mark that none of them holds, one pass makes them canonical. Names
+# are quoted and closed within a reference, so no pass goes over a mark. Single references are judged only where one of them
+# may have to stay.
+
+
+def _sql_table_keys(refs: str, mark: str) -> str:
+    def split_again(canon: str) -> str:
+        each = transform(refs, sql_table_key)
+        return when(f"contains({canon}, lower('{lx.TABLE_PLACEHOLDER}'))", each, f"split({canon}, {mark})")
+
+    return let(f"concat_ws({mark}, {refs})", lambda joined: let(tx.canonical_ref(joined), split_again))
+
+
+def _column_keys(refs: str, mark: str) -> str:
+    def split_again(joined: str) -> str:
+        plain = f"NOT {joined} RLIKE {pattern(lx.MAY_BE_RESERVED)} AND NOT {joined} RLIKE {pattern(lx.SPACE)}"
+        return when(plain, f"split(lower({joined}), {mark})", transform(refs, column_key))
+
+    return let(f"concat_ws({mark}, {refs})", split_again)
+
+
+def _pyspark_keys(refs: str, _: str) -> str:
+    return transform(refs, pyspark_table_key)
 
 
 def _placeholders(text: str, count: str, prefix: str, taken: str) -> str:
@@ -168,26 +214,53 @@ def _placeholders(text: str, count: str, prefix: str, taken: str) -> str:
 def sql_table_refs(text: str) -> str:
     """All table hits of a SQL text, ``accepted`` or not, as ``array<struct<pos, ref, canon, …>>``."""
 
-    def listed(mark: str, bar: str) -> str:
-        template = " || ".join(
-            (literal("${keep}${lead}${skiplead}"), mark, literal("${ref}"), bar, literal("${skip}"), mark)
-        )
-        marked = f"regexp_replace({text}, {pattern(lx.SQL_TABLE_ALL)}, {template})"
-        hits = keep_if(matches(f"split({marked}, {mark})"), lambda hit: f"{hit} <> {bar}")
-        return transform(
-            hits,
-            lambda hit: struct(
-                ref=f"replace({hit}, {bar}, '')", accepted=f"NOT startswith({hit}, {bar})"
-            ),
-        )
+    def listed(parts: str) -> str:
+        found = transform(parts, lambda part, j: struct(ref=part, at=f"{j} % 3"))
+        return keep_if(found, lambda hit: f"{hit}.at > 0 AND {hit}.ref <> ''")
 
     return _numbered_refs(
-        with_marks(text, listed),
-        lambda hit: f"{hit}.accepted AND {tx.is_likely_table(f'{hit}.ref')}",
+        let(sql_table_parts(text), listed),
+        lambda hit: f"{hit}.at = 1 AND {tx.is_likely_table(f'{hit}.ref')}",
         tx.canonical_ref,
     )
 
 
+def sql_table_parts(text: str) -> str:
+    """A SQL text cut into ``[text, name, skipped name, text, …]``, of each hit one name that is not empty."""
+
+    def listed(mark: str, _: str) -> str:
+        template = " || ".join(
+            (literal("${keep}${lead}${skiplead}"), mark, literal("${ref}"), mark, literal("${skip}"), mark)
+        )
+        marked = f"regexp_replace({text}, {pattern(lx.SQL_TABLE_ALL)}, {template})"
+        # Text that is never looked into has no name; three marks meet nowhere else, for a hit begins with a keyword.
+        return f"split(replace({marked}, {mark} || {mark} || {mark}, ''), {mark})"
+
+    return with_marks(text, listed)
+
+
+def pyspark_table_parts(text: str) -> str:
+    """The same for a PySpark text, where nothing is skipped."""
+
+    def listed(mark: str, _: str) -> str:
+        template = f"{literal(lx.KEEP_PYSPARK)} || {mark} || {literal('${ref}')} || {mark} || {mark}"
+        return f"split(regexp_replace({text}, {pattern(lx.PYSPARK_TABLE)}, {template}), {mark})"
+
+    return with_marks(text, listed)
+
+
+def table_parts(text: str, mode: str) -> str:
+    return when(f"{mode} = 'pyspark'", pyspark_table_parts(text), sql_table_parts(text))
+
+
+def table_canon(ref: str, mode: str) -> str:
+    return tx.canonical_ref(when(f"{mode} = 'pyspark'", tx.strip_space(ref), ref))
+
+
+def is_table(ref: str, mode: str) -> str:
+    return when(f"{mode} = 'pyspark'", tx.is_likely_pyspark_table(ref), tx.is_likely_table(ref))
+
+
 def column_refs(text: str) -> str:
     return _plain_refs(
         cut(text, lx.SQL_COLUMN, lx.KEEP_COLUMN),
@@ -196,18 +269,6 @@ def column_refs(text: str) -> str:
     )
 
 
-def pyspark_table_refs(text: str) -> str:
-    return _plain_refs(
-        cut(text, lx.PYSPARK_TABLE, lx.KEEP_PYSPARK),
-        tx.is_likely_pyspark_table,
-        lambda ref: tx.canonical_ref(tx.strip_space(ref)),
-    )
-
-
-def table_refs(text: str, mode: str) -> str:
-    return when(f"{mode} = 'pyspark'", pyspark_table_refs(text), sql_table_refs(text))
-
-
 def _plain_refs(parts: str, accepts: Expression, canon: Expression) -> str:
     hits = transform(
         keep_if(matches(parts), lambda ref: f"{ref} <> ''"), lambda ref: struct(ref=ref)

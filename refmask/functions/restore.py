@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from refmask.functions import lexicon as lx
 from refmask.functions import text as tx
-from refmask.functions.arrays import lookup
+from refmask.functions.arrays import LINEAR_SEARCH_MAX, lookup
 from refmask.functions.marking import cut, join, matches
 from refmask.functions.sqltext import let, struct, transform, when
 
@@ -16,11 +16,16 @@ def restore(text: str, entries: str) -> str:
     taken literally and never searched again.
     """
 
-    def from_parts(parts: str) -> str:
-        originals = lookup(matches(parts), f"{entries}.placeholder", f"{entries}.original")
-        return let(originals, lambda new: join(parts, new))
+    def from_parts(parts: str, names: str, originals: str) -> str:
+        few = join(parts, lambda match, _: f"get({originals}, int(array_position({names}, {match}) - 1))")
+        many = let(lookup(matches(parts), names, originals), lambda new: join(parts, lambda _, i: f"get({new}, {i})"))
+        return when(f"size({names}) <= {LINEAR_SEARCH_MAX}", few, many)
 
-    return let(cut(text, lx.PLACEHOLDER_WORD), from_parts)
+    def with_names(parts: str) -> str:
+        found = let(f"{entries}.placeholder", lambda names: let(f"{entries}.original", lambda originals: from_parts(parts, names, originals)))
+        return when(f"size({parts}) = 1", text, found)
+
+    return let(cut(text, lx.PLACEHOLDER_WORD), with_names)
 
 
 def placeholder_tokens(text: str, entries: str) -> str:

@@ -40,9 +40,10 @@ def let(value: str, body: Callable[[str], str]) -> str:
     """Evaluate ``value`` once per row and hand it to ``body``.
 
     The optimiser may copy a projected expression into a lambda of the next projection, where it
-    would run once per element; a lambda variable is never copied.
+    would run once per element; a lambda variable is never copied. An aggregate over nothing gives its
+    start value to its last step as it is, while ``transform`` would copy what each level gives.
     """
-    return f"transform(array({value}), {_lambda(body)})[0]"
+    return f"aggregate(array(), {value}, {_lambda(lambda value, _: value)}, {_lambda(body)})"
 
 
 def when(condition: str, then: str, otherwise: str = "NULL") -> str:

@@ -85,7 +85,7 @@ def fix_typos(text: str) -> str:
         def replaced(parts: str, found: str) -> str:
             fixes = transform(found, lambda f: _correction(_rule_number(f)))
             return struct(
-                text=let(fixes, lambda new: join(parts, new)), replacements=f"size({found})"
+                text=let(fixes, lambda new: join(parts, lambda _, i: f"get({new}, {i})")), replacements=f"size({found})"
             )
 
         return let(
