@@ -14,51 +14,80 @@ _MISSPELLINGS = "array(" + ", ".join(f"'{bad}'" for bad, _ in lx.TYPO_RULES) + "
 _CORRECTIONS = "array(" + ", ".join(f"'{fix}'" for _, fix in lx.TYPO_RULES) + ")"
 
 
-def _rule_number(found: str) -> str:
-    spelled = f"upper(regexp_replace({found}, {pattern(lx.SPACE + '++')}, ' '))"
+def _spelled(found: str) -> str:
+    return f"upper(regexp_replace({found}, {pattern(lx.SPACE + '++')}, ' '))"
+
+
+def _rule(spelled: str) -> str:
     return f"int(array_position({_MISSPELLINGS}, {spelled}))"
 
 
+def _rule_number(found: str) -> str:
+    return _rule(_spelled(found))
+
+
 def _correction(rule: str) -> str:
     return f"get({_CORRECTIONS}, {rule} - 1)"
 
 
-def _scan(text: str, rules) -> str:
-    """Hits of rules that cannot overlap, with the line each starts in."""
+def _scan(text: str) -> str:
+    """Hits of all rules with the line each starts in, in one pass.
+
+    A nested rule's hit ends in a misspelling of its own, one word, which is a second hit.
+    """
+    nested = [bad for bad, _ in lx.NESTED_RULES]
 
     def marked_text(open_mark: str, close_mark: str) -> str:
         template = f"{open_mark} || {literal('${ref}')} || {close_mark}"
-        marked = f"regexp_replace({text}, {pattern(lx.typo_pattern(rules))}, {template})"
+        marked = f"regexp_replace({text}, {pattern(lx.typo_pattern((*lx.NESTED_RULES, *lx.FLAT_RULES)))}, {template})"
         return let(marked, lambda m: hits(m, open_mark, close_mark))
 
     def hits(marked: str, open_mark: str, close_mark: str) -> str:
-        found = matches(f"split({marked}, {open_mark} || '|' || {close_mark})")
+        found = matches(f"split(replace({marked}, {close_mark}, {open_mark}), {open_mark})")
         # One line number per opening mark, in the order of the hits.
         lines = transform(
             f"split({marked}, chr(10))",
             lambda line, i: f"array_repeat({i} + 1, size(split({line}, {open_mark})) - 1)",
         )
+        # Hits are letters and white space: brought to one spelling all at once.
         return let(
-            f"flatten({lines})",
-            lambda lines: transform(
-                found,
-                lambda f, i: struct(
-                    rule=_rule_number(f), pos=i, line=f"get({lines}, {i})", found=f
+            found,
+            lambda found: let(
+                _spelled(f"concat_ws(',', {found})"),
+                lambda spelled: let(
+                    f"split({spelled}, ',')",
+                    lambda names: let(f"flatten({lines})", lambda lines: listed(found, spelled, names, lines)),
                 ),
             ),
         )
 
+    def listed(found: str, spelled: str, names: str, lines: str) -> str:
+        outer = transform(
+            found,
+            lambda f, i: struct(rule=_rule(f"get({names}, {i})"), pos=i, line=f"get({lines}, {i})", found=f),
+        )
+        every = transform(
+            found,
+            lambda f, i: when(
+                f"get({names}, {i}) IN ({', '.join(repr(bad) for bad in nested)})",
+                struct(
+                    rule=_rule(f"substring_index(get({names}, {i}), ' ', -1)"),
+                    pos=i,
+                    line=f"get({lines}, {i}) + length({f}) - length(replace({f}, chr(10), ''))",
+                    found=f"regexp_extract({f}, r'[A-Za-z]++$', 0)",
+                ),
+            ),
+        )
+        some = " OR ".join(f"contains({spelled}, '{bad}')" for bad in nested)
+        inner = when(some, f"array_compact({every})", empty(_HITS_TYPE))
+        return f"concat({outer}, {inner})"
+
     return with_marks(text, marked_text)
 
 
 def find_typos(text: str, max_findings: int | None = None) -> str:
     """Findings in order of rule, then position; all, or the first ``max_findings`` of them."""
-    nested = when(
-        f"{text} RLIKE {pattern(lx.typo_pattern(lx.NESTED_RULES))}",
-        _scan(text, lx.NESTED_RULES),
-        empty(_HITS_TYPE),
-    )
-    ordered = f"sort_array(concat({_scan(text, lx.FLAT_RULES)}, {nested}))"
+    ordered = f"sort_array({_scan(text)})"
     if max_findings is not None:
         ordered = f"slice({ordered}, 1, {max_findings})"
     findings = transform(
