@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from refmask.functions import lexicon as lx
 from refmask.functions import text as tx
 from refmask.functions.arrays import lookup
+from refmask.functions.marking import with_marks
 from refmask.functions.sqltext import keep_if, let, pattern, struct, transform, when
 from refmask.operators.intermediate import computed_once
 from refmask.operators.references import table_references
@@ -41,40 +44,47 @@ BROADCAST_NAMES = 200_000
 SALTS = 16
 
 
-def _paths(text: str) -> str:
-    """SQL for all dotted paths of a text as ``array<struct<path, quoted>>``: ``quoted`` ones may have double-quoted parts and
-    are looked for only where there are such quotes."""
+def _fronts(text: str, near: Callable[[str], str]) -> str:
+    """SQL for all fronts of the dotted paths of a text as canonical names: of a.b.c also a.b and a.
 
-    def quoted(regex: str) -> str:
-        found = keep_if(f"regexp_extract_all({text}, {pattern(regex)}, 1)", lambda q: f"contains({q}, '\"')")
-        return transform(found, lambda q: struct(path=q, quoted="true"))
+    Only paths are taken whose first part is ``near``. All paths of a text are made canonical at once, joined by a mark; their
+    quotes are closed. Paths that may have double-quoted parts are looked for only where there are such quotes, and of those
+    the fronts without such a part are those of another path.
+    """
 
-    plain = transform(f"regexp_extract_all({text}, {pattern(lx.AUDIT_PATH)}, 0)", lambda p: struct(path=p, quoted="false"))
-    wide = when(f"{text} RLIKE {pattern(lx.AUDIT_WIDE_GAP)}", quoted(lx.AUDIT_QUOTED_WIDE), quoted(lx.AUDIT_QUOTED))
-    return when(f"contains({text}, '\"')", f"concat({plain}, {wide})", plain)
+    def of(found: str, quoted: bool) -> str:
+        def cut(parts: str) -> str:
+            fronts = transform(f"sequence(1, size({parts}))", lambda k: f"slice({parts}, 1, {k})")
+            if quoted:
+                fronts = keep_if(fronts, lambda f: f"exists({f}, y -> left(y, 1) = '\"')")
+            return transform(fronts, lambda f: f"array_join({f}, '.')")
 
+        def all_fronts(path: str) -> str:
+            parts = let(f"regexp_extract_all({path}, {pattern(lx.AUDIT_QUOTED_PART)}, 0)", cut)
+            return parts if quoted else when(f"contains({path}, '.')", parts, f"array({path})")
 
-def _first_part(name: str) -> str:
-    """SQL for the first part of a path or canonical name, in lower case."""
-    quoted = f"lower(regexp_extract({name}, {pattern(lx.AUDIT_QUOTED_PART)}, 0))"
-    return when(f"left({name}, 1) IN ('[', '`', '\"')", quoted, f"lower(regexp_extract({name}, {pattern(lx.AUDIT_BARE)}, 0))")
+        canon = with_marks(text, lambda mark, _: let(f"concat_ws({mark}, {found})", lambda joined: f"split({tx.canonical_ref(joined)}, {mark})"))
+        paths = keep_if(canon, lambda p: f"{p} <> '' AND {near(_first_of(p))}")
+        return f"flatten({transform(paths, all_fronts)})"
 
+    def with_quotes(regex: str) -> str:
+        return of(keep_if(f"regexp_extract_all({text}, {pattern(regex)}, 1)", lambda q: f"contains({q}, '\"')"), True)
 
-def _fronts(paths: str) -> str:
-    """SQL for all fronts of paths as canonical names: of a.b.c also a.b and a.
+    plain = of(f"regexp_extract_all({text}, {pattern(lx.AUDIT_PATH)}, 0)", False)
+    wide = when(f"{text} RLIKE {pattern(lx.AUDIT_WIDE_GAP)}", with_quotes(lx.AUDIT_QUOTED_WIDE), with_quotes(lx.AUDIT_QUOTED))
+    return when(f"contains({text}, '\"')", f"concat({plain}, {wide})", plain)
 
-    Fronts of a ``quoted`` path without such a part are those of another path.
-    """
 
-    def of(path: str) -> str:
-        def cut(parts: str) -> str:
-            fronts = transform(f"sequence(1, size({parts}))", lambda k: f"slice({parts}, 1, {k})")
-            kept = keep_if(fronts, lambda f: f"NOT {path}.quoted OR exists({f}, y -> left(y, 1) = '\"')")
-            return transform(kept, lambda f: tx.canonical_ref(f"array_join({f}, '.')"))
+def _first_of(path: str) -> str:
+    """SQL for the first part of a canonical path."""
+    quoted = f"regexp_extract({path}, {pattern(lx.AUDIT_QUOTED_PART)}, 0)"
+    return when(f"left({path}, 1) IN ('[', '`', '\"')", quoted, f"substring_index({path}, '.', 1)")
 
-        return let(f"regexp_extract_all({path}.path, {pattern(lx.AUDIT_QUOTED_PART)}, 0)", cut)
 
-    return f"flatten({transform(paths, of)})"
+def _first_part(name: str) -> str:
+    """SQL for the first part of a name, in lower case."""
+    quoted = f"lower(regexp_extract({name}, {pattern(lx.AUDIT_QUOTED_PART)}, 0))"
+    return when(f"left({name}, 1) IN ('[', '`', '\"')", quoted, f"lower(regexp_extract({name}, {pattern(lx.AUDIT_BARE)}, 0))")
 
 
 def leak_audit(annotated: DataFrame, keys=KEYS) -> DataFrame:
@@ -86,16 +96,17 @@ def leak_audit(annotated: DataFrame, keys=KEYS) -> DataFrame:
     """
 
     def hits(row: str, fronts: str, kind: str) -> str:
-        names = f"transform(filter({row}.entries, e -> e.kind = '{kind}'), e -> e.canon)"
+        names = f"filter({row}.entries, e -> e.kind = '{kind}').canon"
         found = let(names, lambda n: f"array_compact({lookup(fronts, n, n)})")
         return transform(found, lambda c: struct(kind=f"'{kind}'", canon=c))
 
     def named(row: str, firsts: str) -> str:
-        near = keep_if(_paths(f"{row}.text"), lambda p: f"array_contains({firsts}, {_first_part(f'{p}.path')})")
-        return let(_fronts(near), lambda fronts: f"concat({hits(row, fronts, 'table')}, {hits(row, fronts, 'column')})")
+        near = let(f"{row}.text", lambda text: _fronts(text, lambda first: f"array_contains({firsts}, {first})"))
+        found = lambda fronts: f"concat({hits(row, fronts, 'table')}, {hits(row, fronts, 'column')})"
+        return let(near, lambda fronts: when(f"size({fronts}) > 0", found(fronts)))
 
     def of(row: str) -> str:
-        firsts = f"array_distinct({transform(f'{row}.entries', lambda e: _first_part(f'{e}.canon'))})"
+        firsts = f"array_distinct({transform(f'{row}.entries', lambda e: _first_of(f'{e}.canon'))})"
         return when(f"size({row}.entries) > 0", let(firsts, lambda f: named(row, f)))
 
     # The row's text and entries may be a whole redaction: they are bound once, before any lambda refers to them.
@@ -114,12 +125,12 @@ def leak_audit_corpus(redacted: DataFrame, mapping: DataFrame, keys=KEYS) -> Dat
     names = computed_once(mapping.select("kind", "canon").distinct(), "audit-names")
     bits, words = _first_part_bits(names)
 
-    def may_be(path: str) -> str:
-        spot = f"pmod(xxhash64({_first_part(f'{path}.path')}), {64 * words}L)"
+    def may_be(first: str) -> str:
+        spot = f"pmod(xxhash64({first}), {64 * words}L)"
         return let(spot, lambda s: f"getbit(get(bits, int(shiftright({s}, 6))), int({s} & 63)) = 1")
 
     texts = redacted.select(*keys, "text").withColumn("bits", bits)
-    fronts = explode_rows(texts, keys, let("text", lambda text: _fronts(keep_if(_paths(text), may_be))))
+    fronts = explode_rows(texts, keys, let("text", lambda text: _fronts(text, may_be)))
     counted = fronts.groupBy(*keys, F.col("row").alias("canon")).agg(F.count("*").alias("times"))
     if names.count() <= BROADCAST_NAMES:
         return counted.join(F.broadcast(names), "canon").select(*keys, "kind", "canon", "times")
