@@ -32,10 +32,12 @@ def changed_scripts(scripts: DataFrame, previous: DataFrame, keys=KEYS) -> DataF
     there several times, with different texts, is changed for those rows whose text is not among the old ones. Null keys
     are never known, so their rows are always new.
     """
-    known = previous.select(*keys, "text_hash")
-    current = script_hashes(scripts, keys)
+    # Hashes move as 32 bytes instead of 64 digits.
+    digest = F.unhex("text_hash").alias("text_hash")
+    known = previous.select(*keys, digest)
+    current = script_hashes(scripts, keys).select(*keys, digest)
     changed = computed_once(current.join(known, [*keys, "text_hash"], "left_anti").distinct(), "changed-keys")
-    marked = scripts.withColumn("_hash", text_hash())
+    marked = scripts.withColumn("_hash", F.unhex(text_hash()))
     same = F.col("_hash") == F.col("_changed_hash")
     for key in keys:
         same = same & F.col(key).eqNullSafe(F.col(f"_changed_{key}"))
