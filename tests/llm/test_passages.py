@@ -4,6 +4,7 @@ import random
 import re
 from hashlib import md5
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from refmask.llm import decontamination as D
@@ -215,6 +216,13 @@ def test_repeated_rows_and_empty_tables(documents):
     assert dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_batches_without_a_stretch():
+    """A task whose texts have no words, or that has no rows, gives no units."""
+    for texts in ([], ["", " \n "], [None]):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "key", "text"])
+        assert sum(units.num_rows for units in line_dedup._units(30)([batch])) == 0
+
+
 def test_places_are_joined_the_same_without_a_broadcast(documents, monkeypatch):
     text = " ".join(f"w{i}" for i in range(50))
     docs = documents(*((i, f"{i} " * i + text) for i in range(20)), (None, text))
