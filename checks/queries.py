@@ -21,7 +21,7 @@ from refmask.operators import restoration as rs
 from refmask.operators import typos as ty
 from refmask.operators.intermediate import computed_once
 from refmask.plans.jobs import Options, fix_corpus, redact_corpus, restore_corpus
-from refmask.sources.mapping_json import export_mapping, import_mapping
+from refmask.sources.mapping_json import export_mapping, import_mapping, imported_mapping
 from refmask.sources.runs import sanitise_options, touched_runs, whole_tables
 from refmask.sources.scripts import path_below, scripts_from
 
@@ -364,7 +364,7 @@ def e4_mapping_union(spark, sf_dir):
     """Tables of a run, columns of imported mappings."""
     pairs = " || ',' || ".join(f"'\"redacted.Col_{i}\":\"' || {ref} || '\"'" for i, ref in enumerate(_COLUMN_REFS, 1))
     files = co.frame(spark, sf_dir, f"SELECT o_orderkey AS script_id, '{{' || {pairs} || '}}' AS json FROM orders")
-    union = mp.mapping_union(_sql(spark, sf_dir).mapping, mp.mapping_table(import_mapping(files)))
+    union = mp.mapping_union(_sql(spark, sf_dir).mapping, imported_mapping(files))
     return _wide(mp.mapping_table(mp.pack_mapping(union)))
 
 

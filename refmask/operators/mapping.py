@@ -28,10 +28,10 @@ def pack_mapping(mapping: DataFrame, keys=KEYS) -> DataFrame:
     """
     order = (F.col("kind") == "column").cast("int")
     entry = F.struct("n", "placeholder", "kind", "original", "canon")
-    ranked = F.struct(order.alias("rank"), F.col("n"), F.col("placeholder"), entry.alias("entry"))
-    sorted_entries = F.array_sort(F.collect_set(ranked))
+    ranked = F.struct(order.alias("rank"), entry.alias("entry"))
+    sorted_entries = F.sort_array(F.collect_set(ranked))
     once = F.filter(
-        "ranked", lambda r, i: (i == 0) | (r.placeholder != F.get("ranked", i - 1).placeholder)
+        "ranked", lambda r, i: (i == 0) | (r.entry.placeholder != F.get("ranked", i - 1).entry.placeholder)
     )
     return (
         mapping.groupBy(*keys)

@@ -9,6 +9,7 @@ from refmask.functions import text as tx
 from refmask.functions.arrays import first_seen
 from refmask.functions.redact import ENTRIES_TYPE
 from refmask.functions.sqltext import empty, keep_if, let, struct, transform, when
+from refmask.operators.rows import explode_rows
 from refmask.schema import KEYS
 from refmask.sources.scripts import path_below
 
@@ -46,9 +47,6 @@ def import_mapping(files: DataFrame, keys=KEYS) -> DataFrame:
     placeholder as key and a non-blank string as value; others are dropped. A repeated key has its
     last value. (A key repeated deeper inside, in a value that would be dropped, counts as bad JSON.)
     """
-    # In an array of its own, anything after the object makes the document invalid.
-    wrapped = F.concat(F.lit("["), F.regexp_replace("json", "\\A\uFEFF", ""), F.lit("]"))
-    parsed = F.from_json(wrapped, "array<map<string,variant>>", _STRICT)
     # Parsed again only where it is not a single object, to tell bad JSON from other JSON.
     other = F.try_parse_json("wrapped")
     is_one_value = other.isNotNull() & (
@@ -61,9 +59,8 @@ def import_mapping(files: DataFrame, keys=KEYS) -> DataFrame:
         .otherwise("bad_json")
     )
     return (
-        files.select(*keys, wrapped.alias("wrapped"), parsed.alias("parsed"))
-        .withColumn("object", F.when(F.size("parsed") == 1, F.get("parsed", F.lit(0))))
-        .withColumn("valid", F.expr(_valid_entries("map_entries(object)")))
+        _objects(files, keys)
+        .withColumn("valid", F.expr(_valid_entries("object", "texts")))
         .select(
             *keys,
             status.alias("status"),
@@ -72,34 +69,67 @@ def import_mapping(files: DataFrame, keys=KEYS) -> DataFrame:
     )
 
 
-def _valid_entries(pairs: str) -> str:
-    def last_of_each(reverse: str) -> str:
-        return transform(first_seen(f"{reverse}.key"), lambda s: f"get({reverse}, {s}.pos)")
+def imported_mapping(files: DataFrame, keys=KEYS) -> DataFrame:
+    """``keys…, placeholder, kind, n, original, canon``: the entries of ``import_mapping`` as one row each.
 
-    strings = keep_if(
-        let(f"reverse({pairs})", last_of_each),
-        lambda p: f"schema_of_variant({p}.value) = 'STRING'",
-    )
-    texts = transform(
-        strings, lambda p: struct(key=f"{p}.key", original=f"CAST({p}.value AS STRING)")
-    )
-    valid = keep_if(texts, lambda p: tx.is_mapping_entry(f"{p}.key", f"{p}.original"))
+    What concerns one entry is done after the explode, as ordinary columns.
+    """
+    pairs = explode_rows(_objects(files, keys), keys, _pairs("object", "texts"))
+    valid = pairs.filter(tx.is_mapping_entry("row.key", "row.original")).selectExpr(*keys, "row.key AS placeholder", "row.original")
+    kind, n = when(_is_column("placeholder"), "'column'", "'table'"), _number("placeholder")
+    return valid.selectExpr(*keys, "placeholder", f"{kind} AS kind", f"{n} AS n", "original", f"{tx.canonical_ref('original')} AS canon")
+
+
+def _objects(files: DataFrame, keys) -> DataFrame:
+    """``keys…, wrapped, parsed, object, texts``; ``object`` is NULL where the document is not a single object."""
+    # In an array of its own, anything after the object makes the document invalid.
+    wrapped = F.concat(F.lit("["), F.regexp_replace("json", "\\A\uFEFF", ""), F.lit("]"))
+    # Variants tell strings from other values, but taking a string out of one is slower than reading all as texts.
+    read = [F.from_json(wrapped, f"array<map<string,{t}>>", _STRICT).alias(name) for t, name in (("variant", "parsed"), ("string", "texts"))]
+    one = F.when(F.size("parsed") == 1, F.get("parsed", F.lit(0)))
+    return files.select(*keys, wrapped.alias("wrapped"), *read).withColumn("object", one).withColumn("texts", F.get("texts", F.lit(0)))
+
+
+def _pairs(values: str, texts: str) -> str:
+    """``array<struct<key, original>>`` of one object, of a repeated key the last; ``original`` is NULL for what is no string."""
+
+    def last_of_each(pairs: str) -> str:
+        last = let(f"reverse({pairs})", lambda r: transform(first_seen(f"{r}.key"), lambda s: f"get({r}, {s}.pos)"))
+        return when(f"size(array_distinct({pairs}.key)) = size({pairs})", pairs, last)
+
+    def pairs(texts: str) -> str:
+        def pair(p: str, i: str) -> str:
+            is_text = f"schema_of_variant({p}.value) = 'STRING'"
+            return struct(key=f"{p}.key", original=when(is_text, f"coalesce(get({texts}, {i}), CAST({p}.value AS STRING))"))
+
+        return let(transform(f"map_entries({values})", pair), last_of_each)
+
+    return let(f"map_values({texts})", pairs)
+
+
+def _is_column(placeholder: str) -> str:
+    return f"startswith(lower({placeholder}), 'redacted.col')"
+
+
+def _number(placeholder: str) -> str:
+    return f"try_cast(substring_index({placeholder}, '_', -1) AS INT)"
+
+
+def _valid_entries(values: str, texts: str) -> str:
+    valid = keep_if(_pairs(values, texts), lambda p: tx.is_mapping_entry(f"{p}.key", f"{p}.original"))
 
     def ranked(p: str) -> str:
-        is_column = f"startswith(lower({p}.key), 'redacted.col')"
-        return struct(
-            rank=is_column,
-            n=f"try_cast(substring_index({p}.key, '_', -1) AS INT)",
-            placeholder=f"{p}.key",
-            kind=when(is_column, "'column'", "'table'"),
-            original=f"{p}.original",
-            canon=tx.canonical_ref(f"{p}.original"),
-        )
+        return struct(rank=_is_column(f"{p}.key"), n=_number(f"{p}.key"), placeholder=f"{p}.key", original=f"{p}.original")
 
-    fields = "n placeholder kind original canon".split()
     entries = transform(
         f"sort_array({transform(valid, ranked)})",
-        lambda e: struct(**{field: f"{e}.{field}" for field in fields}),
+        lambda e: struct(
+            n=f"{e}.n",
+            placeholder=f"{e}.placeholder",
+            kind=when(f"{e}.rank", "'column'", "'table'"),
+            original=f"{e}.original",
+            canon=tx.canonical_ref(f"{e}.original"),
+        ),
     )
     return f"CAST({entries} AS {ENTRIES_TYPE})"
 
