@@ -683,7 +683,7 @@ def x5_corpus_redact(spark, sf_dir):
     scripts = co.frame(spark, sf_dir, _LITERAL_SCRIPTS)
     job = redact_corpus(scripts)
     dictionary = cp.corpus_dictionary(job.mapping, taken=cp.taken_numbers(scripts))
-    return cp.redact_with_dictionary(job.redacted, job.mapping, dictionary)
+    return cp.redact_annotated_with_dictionary(job.annotated, dictionary)
 
 
 @query(

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from refmask.functions import lexicon as lx
+from refmask.functions.redact import ENTRIES_TYPE
 from refmask.functions.restore import restore
-from refmask.functions.sqltext import pattern
+from refmask.functions.sqltext import keep_if, let, pattern, struct, transform
 from refmask.operators.intermediate import computed_once
-from refmask.operators.mapping import pack_mapping
+from refmask.operators.mapping import mapping_table, pack_mapping
 from refmask.operators.ranking import running_total
 from refmask.operators.restoration import with_entries
 from refmask.operators.rows import explode_rows
 from refmask.schema import KEYS
 
+# Up to so many names are looked up in the script's row; more are joined. The rows are the same.
+ROW_NAMES = 10_000
 # Names are dealt out by the first digits of a hash; each share is numbered on its own.
 _SHARE_DIGITS = 2
 DICTIONARY = ("kind", "canon", "original", "n", "placeholder")
@@ -130,3 +133,50 @@ def redact_with_dictionary(redacted: DataFrame, mapping: DataFrame, dictionary:
     packed = pack_mapping(renamed, keys)
     texts = with_entries(redacted.select(*keys, "text"), packed, keys)
     return texts.select(*keys, F.expr(restore("text", "entries")).alias("text"))
+
+
+def redact_annotated_with_dictionary(annotated: DataFrame, dictionary: DataFrame, keys=KEYS) -> DataFrame:
+    """``redact_with_dictionary`` for scripts that carry their own ``entries``: the same rows.
+
+    Few names are looked up in the row, so that neither texts nor names move; only keys are shuffled, to find those that
+    several scripts have. These take a mapping of all of them, and scripts without a key keep their own placeholders, as
+    in the join.
+    """
+    dictionary = computed_once(dictionary, "corpus-dictionary")
+    count = dictionary.count()
+    if count > ROW_NAMES:
+        return redact_with_dictionary(annotated, mapping_table(annotated, keys), dictionary, keys)
+    own = annotated.select(*keys, "text", "entries").withColumn("_names", _by_hash(dictionary, count))
+    renamed = own.select(*keys, "text", F.expr(f"CAST({_renamed(count)} AS {ENTRIES_TYPE})").alias("entries"))
+    repeated = computed_once(annotated.groupBy(*keys).agg(F.count("*").alias("_scripts")).filter("_scripts > 1").drop("_scripts"), "corpus-repeated-keys")
+    if not repeated.isEmpty():
+        once = renamed.join(repeated, list(keys), "left_anti")
+        several = renamed.join(repeated, list(keys), "left_semi")
+        renamed = once.unionByName(with_entries(several.drop("entries"), pack_mapping(mapping_table(several, keys), keys), keys))
+    has_key = " AND ".join(f"`{key}` IS NOT NULL" for key in keys)
+    return renamed.select(*keys, F.expr(f"CASE WHEN {has_key} THEN {restore('text', 'entries')} ELSE text END").alias("text"))
+
+
+def _by_hash(dictionary: DataFrame, count: int) -> Column:
+    """The dictionary as one array, the same for every row: at each place the names whose hash falls there."""
+    name = F.struct("kind", "canon", "placeholder")
+    used = dictionary.groupBy(F.expr(_place("kind", "canon", count)).alias("at")).agg(F.collect_list(name).alias("names"))
+    places = dictionary.sparkSession.range(max(count, 1)).select(F.col("id").cast("int").alias("at"))
+    return places.join(used, "at", "left").agg(F.expr("transform(sort_array(collect_list(struct(at, names))), x -> x.names)")).scalar()
+
+
+def _place(kind: str, canon: str, count: int) -> str:
+    return f"int(pmod(xxhash64({kind}, {canon}), {max(count, 1)}L))"
+
+
+def _renamed(count: int) -> str:
+    """SQL for ``entries`` with the dictionary's placeholders as originals, without the names that it lacks."""
+
+    def of(names: str) -> str:
+        def name(e: str) -> str:
+            same = keep_if(f"get({names}, {_place(f'{e}.kind', f'{e}.canon', count)})", lambda x: f"{x}.kind = {e}.kind AND {x}.canon = {e}.canon")
+            return struct(n=f"{e}.n", placeholder=f"{e}.placeholder", kind=f"{e}.kind", original=f"get({same}, 0).placeholder", canon=f"{e}.canon")
+
+        return keep_if(let("entries", lambda entries: transform(entries, name)), lambda e: f"{e}.original IS NOT NULL")
+
+    return let("_names", of)
